@@ -1,6 +1,5 @@
 """Registry of the library's own queries and the SQL that each must agree with."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
