@@ -11,13 +11,23 @@ DISCOUNT_RANK = {"free": 3, "percent": 2, "fixed": 1}
 
 
 def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float = 0.6) -> DataFrame:
-    """(dup_id, keep_id): each item with the first earlier item of its host that has all its magnitudes and a like text."""
-    a = items.select(host, F.col(key).alias("dup_id"), F.col(tokens).alias("t1"), F.col(magnitudes).alias("m1")).filter(F.size("m1") > 0)
-    b = items.select(host, F.col(key).alias("keep_id"), F.col(tokens).alias("t2"), F.explode(magnitudes).alias("one"), F.col(magnitudes).alias("m2"))
-    # an equality join on host and one magnitude, the first, that the other must have
-    pairs = a.withColumn("one", F.array_min("m1")).join(b, [host, "one"]).filter("keep_id < dup_id")
-    union, both = F.size(F.array_union("t1", "t2")), F.size(F.array_intersect("t1", "t2"))
-    pairs = pairs.filter((F.size(F.array_except("m1", "m2")) == 0) & (F.size("t1") > 0) & (F.size("t2") > 0) & (both >= threshold * union))
+    """(dup_id, keep_id): each item with the first earlier item of its host that has all its magnitudes and a like text.
+
+    Like texts share one of their rarest tokens, so candidates come from an equality
+    join on host and those (prefix filter); they are compared exactly afterwards.
+    """
+    base = items.select(host, F.col(key).alias("id"), F.col(tokens).alias("t"), F.col(magnitudes).alias("m")).filter((F.size("m") > 0) & (F.size("t") > 0))
+    each = base.select(host, "id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    rarity = each.groupBy(host, "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = each.join(rarity, [host, "token"]).groupBy(host, "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    # tokens of one item alone come first and are not in x
+    kept = F.size("x") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    short = ranked.select(host, "id", "n", F.explode(F.slice("x", F.lit(1), F.greatest(kept, F.lit(0)).cast("int"))["token"]).alias("token"))
+    other = short.select(host, "token", F.col("id").alias("keep_id"), F.col("n").alias("n2"))
+    near = short.join(other, [host, "token"]).filter((F.col("keep_id") < F.col("id")) & (F.least("n", "n2") >= F.greatest("n", "n2") * threshold)).select(F.col("id").alias("dup_id"), "keep_id").distinct()
+    pairs = near.join(base.select(F.col("id").alias("dup_id"), F.col("t").alias("t1"), F.col("m").alias("m1")), "dup_id").join(base.select(F.col("id").alias("keep_id"), F.col("t").alias("t2"), F.col("m").alias("m2")), "keep_id")
+    both = F.size(F.array_intersect("t1", "t2"))
+    pairs = pairs.filter((F.size(F.array_except("m1", "m2")) == 0) & (both >= threshold * F.size(F.array_union("t1", "t2"))))
     return pairs.groupBy("dup_id").agg(F.min("keep_id").alias("keep_id"))
 
 
