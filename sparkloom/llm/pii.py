@@ -216,7 +216,9 @@ def _examples(text: str) -> tuple[np.ndarray, ...] | None:
             counts[a, y[b]] += 1
             counts[b, y[a]] += 1
         near.append(counts)
-    return graph.x, y, *near
+    # a unit without a base label that resembles one with a label is unknown, not negative
+    sure = (y > 0) | (near[1][:, 1:].sum(1) == 0)
+    return graph.x[sure], y[sure], near[0][sure], near[1][sure]
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
