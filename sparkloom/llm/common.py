@@ -9,15 +9,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Python workers give large freed blocks back to the system at once, so that an idle worker holds little.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 #: Rows of at most two narrow columns that may be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it; settings of their memory that are given stay."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     return spark
 
 
