@@ -48,3 +48,23 @@ def page_cursor(rows: DataFrame, key: str, order: list[str], new: Column, page_c
 def cooldown(failures: Column, base: float, cap: float, jitter: Column | float = 0.0) -> Column:
     """Seconds to wait after so many failures in a row."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), failures - 1), F.lit(cap)) * (1 + jitter)
+
+
+def backoff_state(rows: DataFrame, key: str, order: list[str], at: Column, blocked: Column, base: float, cap: float, threshold: int = 0, quarantine: float = 0.0, reprobe: float = 0.0, jitter: Column | float = 0.0) -> DataFrame:
+    """(key, fails, cooldown_until, quarantined_until, next_reprobe_at) after all attempts; only a success resets them.
+
+    From threshold failures in a row on (0: never) each failure extends the quarantine and puts off the next trial.
+    """
+    j = jitter if isinstance(jitter, Column) else F.lit(float(jitter))
+    h = _history(rows, key, order, t=at.cast("double"), b=blocked, j=j)
+    names = ("fails", "cooldown_until", "quarantined_until", "next_reprobe_at")
+    state = lambda *v: F.struct(*(x.alias(n) for n, x in zip(names, v)))
+    zero = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+
+    def step(a: Column, x: Column) -> Column:
+        fails = a["fails"] + 1
+        held = (fails >= threshold) & F.lit(threshold > 0)
+        until = lambda wait, old: F.when(held, x["t"] + wait).otherwise(a[old])
+        return F.when(~x["b"], zero).otherwise(state(fails, x["t"] + cooldown(fails, base, cap, x["j"]), until(quarantine, names[2]), until(reprobe, names[3])))
+
+    return h.withColumn("f", F.aggregate("h", zero, step)).select(key, F.col("f.fails").cast("long").alias("fails"), *(f"f.{n}" for n in names[1:]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import facets, feeds, folds, hosts, mining, resolution, upserts
+from ..operators import facets, feeds, folds, hosts, mining, places, resolution, upserts
 from ..sources import html
 from ..streaming import streams
 
@@ -321,6 +321,22 @@ def promo_duplicates(t, spark, sf):
     return resolution.promo_duplicates(_items(t), "source", "doc_id", "t", "m")
 
 
+_FORMS = [("and", "And", False), ("AND", "Other", False), ("der", "Der", False), ("pour", "Pour", False), ("par", "Par", False), ("en", "En", True), ("of", "Of", True)]
+_FORM_ROWS = ", ".join(f"({i}, '{form}', '{name}', {str(marked).lower()})" for i, (form, name, marked) in enumerate(_FORMS))
+_CHARS = places.TOKEN_CHARS.replace("'", "''")
+
+
+@query(f"""with d as (select lower(form) as form, arg_min(name, position) as name, arg_min(marked, position) as marked from (values {_FORM_ROWS}) v(position, form, name, marked) group by 1),
+w as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^{_CHARS}]+'), lambda x: x <> ''), lambda x: trim(x, '''’')) as t from documents),
+x as (select doc_id, t, unnest(range(1, len(t) + 1)) as p from w),
+h as (select doc_id, name, min(p) as p from x join d on d.form = t[p] where not marked or (p > 1 and t[p - 1] in ('the', 'la')) group by 1, 2)
+select doc_id, coalesce(names, '') as names from documents left join (select doc_id, string_agg(name, ',' order by p) as names from h group by 1) using (doc_id)""")
+def place_names(t, spark, sf):
+    forms = spark.createDataFrame([(i, *x) for i, x in enumerate(_FORMS)], "position long, form string, name string, marked boolean")
+    found = places.find_names(t("documents").select("doc_id", "text"), "doc_id", "text", forms, ("the", "la"))
+    return found.select("doc_id", F.array_join("names", ",").alias("names"))
+
+
 @query()
 def leader_clusters(t, spark, sf):
     return resolution.leader_clusters(_items(t).withColumn("decided", c("doc_id") % 4 == 0), "source", "doc_id", "t", "m", "decided")
@@ -427,6 +443,20 @@ def page_cursors(t, spark, sf):
     return folds.page_cursor(t("events"), "user_id", ["ts", "event_id"], c("event_type").isin("view", "click").cast("int"), 5)
 
 
+_BACKOFF = """with e as (select user_id, event_id, ts, epoch_us(ts) // 1000000 as t, event_type = 'error' as bad from events where event_type in ('error', 'purchase')),
+g as (select *, count(*) filter (where not bad) over (partition by user_id order by ts, event_id) as run from e),
+f as (select user_id, count(*) filter (where bad) as fails, max(t) filter (where bad) as t from g join (select user_id, max(run) as run from g group by 1) using (user_id, run) group by 1)
+select user_id, fails, coalesce(t + least(60.0 * pow(2, fails - 1), 3600.0), 0)::double as cooldown_until,
+  (case when fails >= 2 then t + 86400 else 0 end)::double as quarantined_until, (case when fails >= 2 then t + 21600 else 0 end)::double as next_reprobe_at from f"""
+_WAITS = {"base": 60.0, "cap": 3600.0, "threshold": 2, "quarantine": 86400.0, "reprobe": 21600.0}
+
+
+@query(_BACKOFF)
+def backoff_state(t, spark, sf):
+    tried = t("events").filter("event_type in ('error', 'purchase')")
+    return folds.backoff_state(tried, "user_id", ["ts", "event_id"], c("ts").cast("timestamp").cast("long"), c("event_type") == "error", **_WAITS)
+
+
 # ---- snapshots ----
 
 
@@ -513,6 +543,13 @@ def stream_scores(t, spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(_BACKOFF)
+def stream_backoff(t, spark, sf):
+    s = streams.table_stream(spark, f"{sf}/events.parquet").filter("event_type in ('error', 'purchase')")
+    s = s.withColumn("t", F.floor(c("ts").cast("double")).cast("double")).withColumn("bad", c("event_type") == "error")
+    return streams.drained(streams.backoff_states(s, "user_id", ["ts", "event_id"], "t", "bad", **_WAITS), "update", _folder(spark), lambda rows: streams.latest(rows, "user_id"))
+
+
 # ---- beyond the reference: plain relational forms ----
 
 

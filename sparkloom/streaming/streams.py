@@ -61,6 +61,24 @@ def decayed_scores(stream: DataFrame, key: str, order: list[str], gain: str, dec
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, score double, passes long", "score double, passes long", "update", GroupStateTimeout.NoTimeout)
 
 
+def backoff_states(stream: DataFrame, key: str, order: list[str], at: str, blocked: str, base: float, cap: float, threshold: int, quarantine: float, reprobe: float) -> DataFrame:
+    """Keyed failures in a row with the times until which the key rests, is in quarantine and waits for a trial; a success resets all."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        for t, bad in zip(rows[at], rows[blocked]):
+            fails = now[0] + 1
+            held = 0 < threshold <= fails
+            now = (fails, t + min(base * 2 ** (fails - 1), cap), t + quarantine if held else now[2], t + reprobe if held else now[3]) if bad else (0, 0.0, 0.0, 0.0)
+        state.update(now)
+        yield pd.DataFrame([(k[0], *now)], columns=[key, "fails", "cooldown_until", "quarantined_until", "next_reprobe_at"])
+
+    kept = "fails long, cooldown_until double, quarantined_until double, next_reprobe_at double"
+    rows = stream.select(key, *dict.fromkeys([*order, at, blocked]))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {kept}", kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def latest(rows: DataFrame, key: str) -> DataFrame:
     """Of update-mode results the last of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (key, "_batch"))), "_batch").alias("x")).select(key, "x.*")

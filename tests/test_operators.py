@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.operators import facets, feeds, folds, hosts, resolution, upserts
+from sparkloom.operators import facets, feeds, folds, hosts, places, resolution, upserts
 from sparkloom.sources import files, html
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,13 @@ def test_files(spark, tmp_path):
     assert files.sitemap_locations(b"junk") == ("urlset", [])
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2, "b": "x"}\n')
     assert {tuple(r) for r in files.json_lines(spark, str(tmp_path / "x.jsonl"), "a int, b string", {"b": ""}).collect()} == {(1, ""), (2, "x")}
+
+
+def test_names_longest_first_and_marked(spark):
+    forms = [(0, "львів", "Львів", False), (1, "львові", "Львів", False), (2, "суми", "Суми", True), (3, "сумах", "Суми", False), (4, "біла церква", "Біла Церква", False), (5, "церква", "Церква", False), (6, "львів", "Інший", False)]
+    forms = spark.createDataFrame(forms, "position long, form string, name string, marked boolean")
+    texts = [(1, "Акція у Львові"), (2, "великі суми грошей"), (3, "м. Суми, центр"), (4, "у Сумах та місто Біла Церква, Львів, ЛЬВІВ"), (5, "Церква біла"), (6, None), (7, ""), (8, "’львів’")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    found = {r.id: r.names for r in places.find_names(docs, "id", "text", forms).collect()}
+    assert found == {1: ["Львів"], 2: [], 3: ["Суми"], 4: ["Суми", "Біла Церква", "Львів"], 5: ["Церква"], 6: [], 7: [], 8: ["Львів"]}
+    assert {r.id: r.names for r in places.find_names(docs, "id", "text", forms.limit(0)).collect()} == {i: [] for i, _ in texts}
