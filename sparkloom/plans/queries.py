@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import facets, feeds, folds, hosts, mining, places, resolution, upserts
+from ..operators import facets, feeds, folds, hosts, mining, places, replay, resolution, upserts
 from ..sources import html
 from ..streaming import streams
 
@@ -337,6 +337,16 @@ def place_names(t, spark, sf):
     return found.select("doc_id", F.array_join("names", ",").alias("names"))
 
 
+@query()
+def submission_replay(t, spark, sf):
+    d, n = t("documents"), c("doc_id")
+    site = F.concat(lit("h"), (n % 97).cast("string"), lit(".example"))
+    page = F.when(n % 5 == 0, site).otherwise(F.concat(site, lit("/"), (n % 13).cast("string")))
+    subs = d.select(n.alias("seq"), F.when(n % 4 != 0, n % 7).alias("source"), F.sha2(F.coalesce("text", lit("")), 256).alias("hash"), page.alias("article"), F.concat(lit("t"), (n % 211).cast("string")).alias("target"),
+                    site.alias("host"), F.array(F.concat(lit("percent:"), (n % 3 * 10).cast("string"))).alias("mags"), T.tokens(c("text")).alias("tokens"), (n % 17 == 0).alias("blocked"), F.when(n % 19 == 0, "published").alias("status"))
+    return replay.resolve(subs)
+
+
 @query()
 def leader_clusters(t, spark, sf):
     return resolution.leader_clusters(_items(t).withColumn("decided", c("doc_id") % 4 == 0), "source", "doc_id", "t", "m", "decided")

@@ -2,13 +2,14 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.operators import facets, feeds, folds, hosts, places, resolution, upserts
+from sparkloom.operators import facets, feeds, folds, hosts, places, replay, resolution, upserts
 from sparkloom.sources import files, html
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,42 @@ def test_names_longest_first_and_marked(spark):
     found = {r.id: r.names for r in places.find_names(docs, "id", "text", forms).collect()}
     assert found == {1: ["Львів"], 2: [], 3: ["Суми"], 4: ["Суми", "Біла Церква", "Львів"], 5: ["Церква"], 6: [], 7: [], 8: ["Львів"]}
     assert {r.id: r.names for r in places.find_names(docs, "id", "text", forms.limit(0)).collect()} == {i: [] for i, _ in texts}
+
+
+def _sub(seq, **given):
+    return {"seq": seq, "source": 1, "hash": f"x{seq}", "article": None, "target": None, "host": None, "mags": [], "tokens": [], "blocked": False, "status": None} | given
+
+
+def test_replay_rules():
+    rule = lambda *subs: [(r[1], r[2], r[3]) for r in replay.replay(list(subs))]
+    page = {"article": "a.example/p", "mags": ["percent:10"]}
+    assert rule(_sub(1, hash="h"), _sub(2, hash="h"), _sub(3, hash="h", source=None)) == [("new", 1, "pending"), ("same_content", 1, None), ("new", 3, "pending")]
+    assert rule(_sub(1, **page), _sub(2, **page)) == [("new", 1, "pending"), ("pending_page", 1, None)]
+    assert rule(_sub(1, **page, status="published"), _sub(2, article=page["article"], mags=["percent:10", "free:"])) == [("given", 1, "published"), ("changed_page", 1, None)]
+    changed = {"article": page["article"], "mags": ["percent:20"]}
+    assert rule(_sub(1, **page, status="published"), _sub(2, **changed), _sub(3, **changed)) == [("given", 1, "published"), ("changed_page", 2, "pending"), ("changed_page", 2, None)]
+    assert rule(_sub(1, **page, status="published"), _sub(2, **changed), _sub(3, hash="x1"))[1:] == [("changed_page", 2, "rejected"), ("same_content", 1, None)]
+    revived = rule(_sub(1, hash="old", status="expired"), _sub(2, **page, status="published"), _sub(3, **changed), _sub(4, **changed, hash="old"))
+    assert revived == [("given", 1, "pending"), ("given", 2, "published"), ("changed_page", 3, "rejected"), ("changed_page", 1, None)]
+    assert rule(_sub(1, source=None, **page), _sub(2, source=None, blocked=True, **page)) == [("new", 1, "pending"), ("sourceless_page", 1, None)]
+    promo = {"host": "a.example", "tokens": ["a", "b", "c"]}
+    assert rule(_sub(1, **promo, mags=["p", "q"]), _sub(2, **promo, mags=["p"]), _sub(3, **promo, mags=["r"])) == [("new", 1, "pending"), ("same_promo", 1, None), ("new", 3, "pending")]
+    front = {"host": "a.example", "mags": ["p"]}
+    assert rule(_sub(1, **front, article="x.example"), _sub(2, **front, article="a.example/deep"), _sub(3, **front, article="a.example"))[2] == ("front_page", 2, None)
+    links = replay.replay([_sub(1, target="t", status="expired"), _sub(2, target="t", host="b"), _sub(3, target="t", host="b"), _sub(4, target="t", blocked=True)])
+    assert [(r[1], r[2]) for r in links] == [("given", 1), ("same_target", 1), ("same_target", 1), ("new", 4)] and links[0][6] == 2 and links[3][3] == "rejected"
+
+
+def test_replay_by_component_is_replay_of_all(spark):
+    r = random.Random(5)
+    pick = lambda *x: r.choice([None, *x])
+    subs = [
+        _sub(i, source=pick(1, 2, 3), hash=pick(*map(str, range(40))), article=pick(*(f"h{j}.example{p}" for j in range(12) for p in ("", "/p", "/q"))), target=pick(*map(str, range(60))), host=pick(*map(str, range(25))),
+             mags=r.sample("pqr", r.randint(0, 2)), tokens=r.sample("abcde", r.randint(0, 4)), blocked=r.random() < 0.1, status=r.choice([None] * 6 + ["published", "expired"]))
+        for i in r.sample(range(1000), 150)
+    ]
+    df = spark.createDataFrame([tuple(s.values()) for s in subs], replay.FIELDS)
+    assert sorted(map(repr, map(tuple, replay.resolve(df).collect()))) == sorted(map(repr, replay.replay(subs)))
+    assert replay.resolve(df.limit(0)).collect() == []
+    pairs = [(1, "a"), (2, "a"), (2, "b"), (9, "b"), (5, "c"), (7, "c"), (8, "d")]
+    assert sorted(map(tuple, replay.key_components(spark.createDataFrame(pairs, "seq long, key string")).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (8, 8), (9, 1)]
