@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[LOWER]
 #: Bytes hashed at a time, unless one text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 
 class _Powers:
