@@ -1,5 +1,6 @@
 """Registry of the library's own queries and the SQL that each must agree with."""
 
+from .plans import cadence as _cadence  # noqa: F401  registers its queries
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.operators import facets, feeds, folds, hosts, places, replay, resolution, upserts
+from sparkloom.operators import cadence, facets, feeds, folds, hosts, places, provenance, replay, resolution, upserts
 from sparkloom.sources import files, html
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +141,66 @@ def test_replay_by_component_is_replay_of_all(spark):
     assert replay.resolve(df.limit(0)).collect() == []
     pairs = [(1, "a"), (2, "a"), (2, "b"), (9, "b"), (5, "c"), (7, "c"), (8, "d")]
     assert sorted(map(tuple, replay.key_components(spark.createDataFrame(pairs, "seq long, key string")).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (8, 8), (9, 1)]
+
+
+def test_walk_goes_around_once(spark):
+    rows = spark.range(5).withColumn("due", F.col("id") != 4)
+    walk = lambda n: cadence.due_walk(rows, "id", 5, 3, F.col("due"), n)
+    assert [r.id for r in walk(3).collect()] == [3, 0, 1]
+    assert cadence.walk_end(walk(3), 5, 3, 3).first().cursor == 2
+    assert cadence.walk_end(walk(9), 5, 3, 9).first().cursor == 3
+    assert cadence.walk_end(walk(0), 5, 3, 0).first().cursor == 3
+
+
+def test_entries_without_a_mark_are_not_drained(spark):
+    cache = spark.createDataFrame([("a", 90.0, False), ("b", 80.0, False), ("c", 95.0, None), ("d", None, False), ("e", 50.0, False)], "k string, at double, harvested boolean")
+    assert [r.k for r in cadence.drain(cache, "at", "harvested", F.lit(100), 50, "k").collect()] == ["b", "a"]
+
+
+def test_a_limiter_lets_requests_through_in_turn(spark):
+    rng = random.Random(5)
+    rows = [(k, i, rng.randrange(60), rng.choice([None, 3, 9])) for k in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i int, at long, delay int")
+    found = {(r.k, r.i): r.start for r in cadence.request_times(df, "k", [F.col("i")], F.col("at"), F.col("delay"), 4).collect()}
+    for k in "ab":
+        last = None
+        for _, i, at, delay in (r for r in rows if r[0] == k):
+            last = at if last is None else max(at, last + max(4, delay or 0))
+            assert found[k, i] == last
+
+
+def test_items_stop_at_the_cursor(spark):
+    items = spark.createDataFrame([(1, 0, "a", "b"), (1, 1, "b", "b"), (1, 2, "c", "b"), (2, 0, "a", None), (2, 1, "b", None)], "s int, p int, k string, cur string")
+    assert {(r.s, r.k) for r in cadence.new_items(items, "s", [F.col("p")], "k", "cur", 1).collect()} == {(1, "a"), (2, "a")}
+    assert {(r.s, r.k) for r in cadence.new_items(items, "s", [F.col("p")], "k", "cur", 9).collect()} == {(1, "a"), (2, "a"), (2, "b")}
+
+
+def test_accounts_without_state_or_past_cooldown_are_usable(spark):
+    accounts = spark.createDataFrame([("x", "a", 0), ("x", "b", 1), ("x", "c", 2), ("y", "d", 0), ("z", "e", 0)], "platform string, name string, pos int")
+    states = spark.createDataFrame([("a", "banned", None), ("b", "cooldown", 10), ("d", "cooldown", 20), ("e", "cooldown", None)], "name string, state string, until long")
+    assert {tuple(r) for r in cadence.acquire(accounts, states, "platform", "name", "pos", F.lit(10)).collect()} == {("x", "b"), ("z", "e")}
+
+
+def test_notes_without_a_mark_count_for_no_phrase(spark):
+    batch = spark.createDataFrame([("p: q",), ("r",)], "phrase string")
+    notes = spark.createDataFrame([("n: p: q",), ("r",), (None,), ("n: ",)], "note string")
+    assert {tuple(r) for r in cadence.yields(batch, "phrase", notes, "note").collect()} == {("p: q", 1), ("r", 0)}
+
+
+def test_a_blocked_host_is_nobodys_offer(spark):
+    def who(**given):
+        empty = {"channel": False, "noise": False, "name": "", "ref": "https://a.ua/x", "brand": "A", "host": "a.ua", "blocks": 5, "outbound": 0, "blocked": False, "article": False, "business": False, "own_words": False, "target": None}
+        return spark.range(1).select(provenance.attribution(**{k: F.lit(v) for k, v in (empty | given).items()}).alias("x")).first().x
+
+    shop = "https://www.shop.ua/y"
+    assert who(blocked=True, target=shop) is None and who() is None and who(article=True, blocks=1) is None
+    assert tuple(who(outbound=3, target=shop, own_words=True)) == ("shop.ua", False, "https://www.shop.ua")
+    assert tuple(who(own_words=True, target=shop)) == ("A", True, "https://a.ua") == tuple(who(blocks=1))
+    assert tuple(who(channel=True, ref="@c")) == ("@c", True, "@c") and who(channel=True, noise=True) is None
+
+
+def test_equal_new_offers_link_once(spark):
+    offers = spark.createDataFrame([(1, "https://a.ua/x", "h", None), (2, "https://a.ua/y", "h", None), (3, "https://b.ua/x", "h", None), (4, None, "h", None), (5, "https://b.ua/y", "h", "b.ua"), (6, "https://b.ua/z", None, None)], "id long, site string, content string, source_host string")
+    sources = offers.filter("source_host is not null").select(F.col("source_host").alias("host"))
+    found = provenance.promoted(offers.withColumn("article", F.lit(None).cast("string")), sources, "id", F.lit(True), "site", "article", "content")
+    assert {tuple(r) for r in found.collect()} == {(1, "a.ua", True, True), (2, "a.ua", True, False), (3, "b.ua", False, False), (6, "b.ua", False, True)}
