@@ -9,6 +9,9 @@ from sparkloom.llm import decontamination, jaccard_join, mixing, packing
 from sparkloom.llm import quality as machine
 from sparkloom.llm.common import session, small, written
 
+#: Words of a shingle and least similarity, in per cent, of near duplicates; those of op10 are its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _unused(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have."""
@@ -26,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id. A document without id stays."""
     session(spark)
-    found = jaccard_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    found = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(small(written(found, "dropped")), "doc_id", "left_anti").select(docs.columns)
 
 

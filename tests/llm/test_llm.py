@@ -304,3 +304,27 @@ def test_pipeline(spark):
     clean = spark.read.parquet(f"{sf}/documents.parquet").join(spark.createDataFrame([(i,) for i in kept[1]], "doc_id long"), "doc_id")
     found = {r.doc_id for r in decontamination.contaminated(clean, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert kept[1] - kept[2] == found
+
+
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, more in enumerate((60, 85, 97, 99, 101, 120)):
+        base = [f"w{k}x{j}" for j in range(400)]
+        rows += [(10 * k, " ".join(base), "a"), (10 * k + 1, " ".join([*base, *(f"m{k}x{j}" for j in range(more))]), "a")]
+        rows.append((10 * k + 2, " ".join(f"e{k}x{j}" if j % 45 == k else w for j, w in enumerate(base)), "a"))
+    rows += [(100, "a b c d", "a"), (101, "A b  c d", "a"), (102, "a b c d e", "a"), (None, "a b c d", "a"), (104, "", "a"), (105, None, "a")]
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect())
+    sets = []
+    for i, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    for _ in rows:
+        for x, y in itertools.combinations(range(len(rows)), 2):
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                label[x] = label[y] = min(label[x], label[y])
+    # ids ascend with the rows, so the first of a component has its least id
+    want = [(i is None, i or 0) for x, (i, _, _) in enumerate(rows) if label[x] == x or i is None]
+    assert got == sorted(want)
