@@ -542,7 +542,7 @@ def stream_tumbling(t, spark, sf):
 @query("select distinct user_id, event_type, date_trunc('month', ts)::date as month from events")
 def stream_dedupe(t, spark, sf):
     s = streams.table_stream(spark, f"{sf}/events.parquet").withColumn("month", F.to_date(F.date_trunc("month", "ts")))
-    out = streams.drained(streams.deduplicated(s, ["user_id", "event_type", "month"], "ts"), "append", _folder(spark))
+    out = streams.drained(streams.deduplicated(s, ["user_id", "event_type", "month"]), "append", _folder(spark))
     return out.select("user_id", "event_type", "month")
 
 

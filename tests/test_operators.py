@@ -1,5 +1,6 @@
 """Operators against small tables and, over the driver's smallest data, against SQL."""
 
+import functools
 import glob
 import os
 import random
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom import catalog
 from sparkloom.operators import cadence, facets, feeds, folds, hosts, places, provenance, replay, resolution, upserts
 from sparkloom.sources import files, html
+from sparkloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +34,21 @@ def test_agrees_with_sql(spark, name):
     assert sorted(repr(plain(tuple(r))) for r in df.collect()) == sorted(repr(plain(tuple(r[i] for i in order))) for r in sql.fetchall())
 
 
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_scores", "stream_backoff"])
+def test_streams_of_files_out_of_order(spark, tmp_path, monkeypatch, name):
+    files_at, con = tmp_path / "events.parquet", duckdb.connect()
+    files_at.mkdir()
+    for place, part in enumerate([3, 0, 4, 1, 2]):
+        rows = f"select * exclude (p) from (select *, ntile(5) over (order by ts, event_id) - 1 as p from read_parquet('{SF}/events.parquet')) where p = {part}"
+        con.sql(f"copy ({rows}) to '{files_at}/{part}.parquet' (format parquet)")
+        os.utime(files_at / f"{part}.parquet", (1_700_000_000 + 60 * place,) * 2)
+    con.sql(f"create view events as select * from read_parquet('{files_at}/*.parquet')")
+    monkeypatch.setattr(streams, "table_stream", functools.partial(streams.table_stream, files_per_trigger=1))
+    df, sql = catalog.QUERIES[name](spark, str(tmp_path)), con.sql(catalog.ORACLES[name])
+    order = [sql.columns.index(c) for c in df.columns]
+    assert sorted(repr(plain(tuple(r))) for r in df.collect()) == sorted(repr(plain(tuple(r[i] for i in order))) for r in sql.fetchall())
+
+
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         facets.page(spark.range(3), [F.col("id")], 0, 10)
