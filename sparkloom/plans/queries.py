@@ -497,6 +497,12 @@ def bulk_reject(t, spark, sf):
     return upserts.split_known(spark.range(500), t("orders").filter("o_orderstatus = 'P'").select(c("o_orderkey").alias("id")), "id")
 
 
+@query("select o_orderkey as id, exists (select 1 from orders as p where p.o_orderkey = o.o_orderkey and p.o_orderstatus = 'P') as known from orders as o")
+def bulk_reject_all(t, spark, sf):
+    orders = t("orders").withColumnRenamed("o_orderkey", "id")
+    return upserts.split_known(orders.select("id"), orders.filter("o_orderstatus = 'P'").select("id"), "id")
+
+
 @query("select o_orderkey, case when o_custkey in (select c_custkey from customer where c_nationkey = 3) then null else o_custkey end as o_custkey from orders")
 def orphaned(t, spark, sf):
     return upserts.orphan(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", t("customer").filter("c_nationkey = 3"), "c_custkey")

@@ -49,6 +49,13 @@ def test_streams_of_files_out_of_order(spark, tmp_path, monkeypatch, name):
     assert sorted(repr(plain(tuple(r))) for r in df.collect()) == sorted(repr(plain(tuple(r[i] for i in order))) for r in sql.fetchall())
 
 
+def test_whole_tables_are_counted_and_asked_for(spark):
+    docs, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "orders"))
+    marked = docs.filter("doc_id % 5 <> 0 and source is not null").count()
+    assert catalog.QUERIES["phrase_yield_all"](spark, SF).agg(F.sum("found")).first()[0] == marked
+    assert {r.id for r in catalog.QUERIES["bulk_reject_all"](spark, SF).collect()} == {r.o_orderkey for r in orders.collect()}
+
+
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         facets.page(spark.range(3), [F.col("id")], 0, 10)
