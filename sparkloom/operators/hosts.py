@@ -43,11 +43,31 @@ def ratios(pages: DataFrame, host: str, is_article: Column, outbound: Column, an
     return pages.filter(F.col(host) != "").groupBy(host).agg(n.alias("support"), (F.count_if(is_article) / n).alias("media_ratio"), (F.count_if(out >= least_outbound) / n).alias("aggregator_ratio"), F.bool_or(anchored & (out == 0)).alias("provider_evidence"), first[url].alias("sample_urls"))
 
 
+def _blocked_hosts(rows: DataFrame, host: str, blocked: DataFrame, blocked_host: str) -> DataFrame:
+    """(host): the rows' hosts that are a blocked host or a subdomain of one."""
+    hosts = rows.select(host).distinct().withColumn("_suffix", F.explode(urls.host_suffixes(F.col(host))))
+    return hosts.join(blocked.select(F.col(blocked_host).alias("_suffix")), "_suffix", "left_semi").select(host).distinct()
+
+
 def not_blocked(rows: DataFrame, host: str, blocked: DataFrame, blocked_host: str = "host") -> DataFrame:
     """Rows whose host is no blocked host nor a subdomain of one."""
-    hosts = rows.select(host).distinct().withColumn("_suffix", F.explode(urls.host_suffixes(F.col(host))))
-    bad = hosts.join(blocked.select(F.col(blocked_host).alias("_suffix")), "_suffix", "left_semi").select(host).distinct()
-    return rows.join(bad, host, "left_anti")
+    return rows.join(_blocked_hosts(rows, host, blocked, blocked_host), host, "left_anti")
+
+
+def survivors(scores: DataFrame, host: str, protected: DataFrame, blocked: DataFrame, least_support: int = 3, least_media: float = 0.5, least_aggregator: float = 0.5, most: int = 50) -> DataFrame:
+    """Of ratios() the hosts to review: supported, like a medium or an aggregator, without own evidence, neither protected nor blocked; the highest ratios first."""
+    looks = (F.col("media_ratio") >= least_media) | (F.col("aggregator_ratio") >= least_aggregator)
+    kept = scores.filter((F.col("support") >= least_support) & looks & ~F.coalesce(F.col("provider_evidence"), F.lit(False)))
+    kept = kept.join(protected.select(urls.bare_host(F.col(host)).alias(host)), host, "left_anti")
+    return not_blocked(kept, host, blocked).orderBy(F.desc(F.col("media_ratio") + F.col("aggregator_ratio")), host).limit(most)
+
+
+def labelled(items: DataFrame, url: str, passed: Column, has_offer: Column, is_article: Column, blocked: DataFrame) -> DataFrame:
+    """items with label, host, neg_anchor (host is blocked), pos_anchor (has an offer schema) and is_article."""
+    known = lambda x: F.coalesce(x, F.lit(False))
+    rows = items.withColumns({"label": F.when(known(passed), "pass").otherwise("fail"), "host": urls.bare_host(F.col(url)), "pos_anchor": known(has_offer), "is_article": known(is_article)})
+    bad = _blocked_hosts(rows, "host", blocked, "host").withColumn("neg_anchor", F.lit(True))
+    return rows.join(bad, "host", "left").fillna(False, ["neg_anchor"])
 
 
 def expire_stale(items: DataFrame, status: str, seen: str, as_of: Column, days: int, eligible: Column | None = None) -> DataFrame:

@@ -69,6 +69,21 @@ def test_blocked_hosts_and_expiry(spark):
     assert [r.status for r in hosts.expire_stale(items, "status", "seen", F.lit("2024-01-01").cast("timestamp"), 30).collect()] == ["published", "expired"]
 
 
+def test_hosts_to_review(spark):
+    table = lambda *x: spark.createDataFrame([(h,) for h in x], "host string")
+    rows = [("a.ua", 1, 0.9, 0.0, False), ("b.ua", 4, 0.9, 0.0, True), ("c.ua", 4, 0.9, 0.0, False), ("d.ua", 4, 0.1, 0.1, False), ("x.nv.ua", 4, 0.9, 0.0, False), ("f.ua", 3, 0.0, 0.5, False), ("e.ua", 3, 0.5, 0.0, None), ("g.ua", 9, 0.6, 0.3, False)]
+    scores = spark.createDataFrame(rows, "host string, support long, media_ratio double, aggregator_ratio double, provider_evidence boolean")
+    found = lambda **given: [r.host for r in hosts.survivors(scores, "host", table("https://www.C.ua/", "c.ua"), table("nv.ua"), **given).collect()]
+    assert found() == ["g.ua", "e.ua", "f.ua"] and found(most=2) == ["g.ua", "e.ua"]
+
+
+def test_labels_and_anchors(spark):
+    items = spark.createDataFrame([(1, "https://www.a.ua/x", True, True), (2, "https://s.b.ua", None, None), (3, None, False, False)], "id int, url string, ok boolean, offer boolean")
+    blocked = spark.createDataFrame([("b.ua",)], "host string")
+    got = hosts.labelled(items, "url", F.col("ok"), F.col("offer"), F.lit(None).cast("boolean"), blocked).select("id", "label", "host", "neg_anchor", "pos_anchor", "is_article")
+    assert {tuple(r) for r in got.collect()} == {(1, "pass", "a.ua", False, True, False), (2, "fail", "s.b.ua", True, False, False), (3, "fail", "", False, False, False)}
+
+
 def test_best_discount_ties_go_to_the_first(spark):
     rows = spark.createDataFrame([(1, "percent", 10.0, 0), (1, "fixed", 500.0, 1), (1, "percent", 10.0, 2), (2, None, 1.0, 0), (2, "fixed", None, 1)], "g int, kind string, value double, pos int")
     assert {tuple(r) for r in resolution.best_discount(["g"], rows, "kind", "value", "pos").collect()} == {(1, "percent", 10.0), (2, "fixed", None)}
