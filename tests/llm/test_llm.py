@@ -231,6 +231,18 @@ def test_skip_edges_carry_labels(spark):
     assert got[None].spans == "" and got[None].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_labels_pass_along_all_mentions():
+    text = "+1 (017) 555-7713" + " x 017 555-7713" * 30
+    base, k = pii.base_spans(text), len(pii.LABELS)
+    for skip in (5.0, 6.0, 8.0):
+        # without chain edges and features the mentions are a path, and the belief after d links is known
+        kept = (np.exp(skip) - 1) / (np.exp(skip) + k - 1)
+        sure = [d for d in range(1, 31) if 1 / k + (1 - 1 / k) * kept**d >= pii.CERTAIN]
+        found = pii.Field(np.zeros((pii.FEATURES, k)), 0.0, skip).added(text, base)
+        assert len(base) == 1 and [x[2] for x in found] == [3] * len(sure)
+    assert len(found) == 30
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
