@@ -2,10 +2,11 @@
 
 Patterns give the base spans. The field labels units, strings with digits or an @
 that may be personal data though no pattern has them. Neighbouring units of a text
-are linked, and so are distant units that repeat or resemble each other (equal
-digits, one's digits the end of the other's, equal host): these skip edges share a
+are linked, and so is each unit with the one before it of the same key (equal last
+seven digits, or the same whole address in any case): these skip edges share a
 potential, and loopy belief propagation carries a label from a clear mention to an
-unclear one of the same thing. Weights are learnt by pseudo-likelihood from base
+unclear one of the same thing. Units of fewer than seven digits, and addresses that
+have only the host in common, get no skip edge and are never added. Weights are learnt by pseudo-likelihood from base
 spans of a bounded sample of texts.
 """
 

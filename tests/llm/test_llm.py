@@ -243,6 +243,13 @@ def test_labels_pass_along_all_mentions():
     assert len(found) == 30
 
 
+def test_skip_edges_are_those_of_the_docstring():
+    linked = lambda t: pii.Graph(t).skip
+    assert linked("+1 (017) 555-7713 x 555-7713 x A@b.com, x a@B.com") == [(0, 1), (2, 3)]
+    assert linked("a@b.com x c@b.com x 4111 1111 1111 1111 x 1111 x 10.0.0.1 x 10.0.0.1") == []
+    assert "seven digits" in pii.__doc__ and "no skip edge" in pii.__doc__
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
