@@ -51,19 +51,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thre
     Words are runs of letters and digits, lower-cased. An item of fewer words than a
     shingle must be held whole; an item or document without words matches nothing.
     Rows that repeat with their doc_id are reported once, a null doc_id as null.
+    Each text of the benchmark is searched for by itself: a null item_id is reported
+    as null, and of an id with several texts each that is held has its row.
     Empty tables give no rows; other columns of docs are not read.
     """
     return _found(docs, benchmark, words, threshold).select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, words: int, threshold: float) -> DataFrame:
-    items = written(item_shingles(benchmark, words), "items")
+    # items of equal shingles are one key, whatever their ids
+    items = written(item_shingles(benchmark, words).withColumn("key", F.xxhash64("width", F.array_sort("sh"))), "items")
+    named, items = items.select("key", "item_id").distinct(), items.select("key", "width", "q", "sh").dropDuplicates(["key"])
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most `words` numbers
     largest = F.lit(1).cast("long") * F.pow(F.lit(2), F.ceil(F.log2("q")))  # of the item's size class
     length = F.floor(F.lit(1 - threshold) * largest + F.lit(1e-9)) + 1
     ranked = F.expr("transform(array_sort(transform(sh, s -> struct(xxhash64(s, 7) as o, s as s))), x -> x.s)")
-    sketch = items.select("item_id", "width", F.ceil(F.col("q") * threshold - 1e-9).alias("need"), F.explode(F.slice(ranked, F.lit(1), length.cast("int"))).alias("sh"))
-    every = items.select("item_id", "width", "q", F.explode("sh").alias("sh"))
+    sketch = items.select("key", "width", F.ceil(F.col("q") * threshold - 1e-9).alias("need"), F.explode(F.slice(ranked, F.lit(1), length.cast("int"))).alias("sh"))
+    every = items.select("key", "width", "q", F.explode("sh").alias("sh"))
 
     def hashed(d: DataFrame) -> DataFrame:
         d = d.withColumn("w", word_list(F.col("text")))
@@ -74,9 +78,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, words: int, threshold: float)
     if not widths:
         return texts.selectExpr("doc_id", "th", "cast(null as long) item_id", "0L n_shared", "0L n_item", "0.0D containment").limit(0)
     hits = hashed(texts).join(sketch, ["width", "sh"]).filter("n - width + 1 >= need")
-    found = written(hits.select("th", "item_id").distinct(), "candidates")
+    found = written(hits.select("th", "key").distinct(), "candidates")
     again = texts.join(small(found.select("th").distinct()), "th", "left_semi")
-    shared = hashed(again).join(every, ["width", "sh"]).join(found, ["th", "item_id"], "left_semi")
-    counted = shared.groupBy("doc_id", "th", "item_id").agg(F.count_distinct("sh").alias("n_shared"), F.first("q").cast("long").alias("n_item"))
+    shared = hashed(again).join(every, ["width", "sh"]).join(found, ["th", "key"], "left_semi")
+    counted = shared.groupBy("doc_id", "th", "key").agg(F.count_distinct("sh").alias("n_shared"), F.first("q").cast("long").alias("n_item"))
     counted = counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)
-    return counted.select("doc_id", "th", "item_id", "n_shared", "n_item", "containment")
+    return counted.join(named, "key").select("doc_id", "th", "item_id", "n_shared", "n_item", "containment")

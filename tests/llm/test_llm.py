@@ -147,6 +147,15 @@ def test_decontamination(spark, docs):
     assert got == want and want
 
 
+def test_items_without_id_and_texts_that_share_one(spark):
+    docs = table(spark, [(1, "x a b c d e f y", "s"), (2, "p q r s t u v w", "s"), (3, "k l m n o i j h", "s"), (4, "clean words only here and there", "s")])
+    bench = spark.createDataFrame([(None, "a b c d e f"), (7, "p q r s t u v w"), (7, "k l m n o"), (8, "K l, m n o"), (None, None)], "item_id long, text string")
+    got = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, None, 2, 2, 1.0), (2, 7, 4, 4, 1.0), (3, 7, 1, 1, 1.0), (3, 8, 1, 1, 1.0)}
+    found = decontamination.contaminated_texts(docs, bench)
+    assert {r.doc_id for r in docs.withColumn("th", F.xxhash64("text")).join(found, "th", "left_anti").collect()} == {4}
+
+
 def library(texts):
     from tokenizers import Tokenizer
 
