@@ -27,10 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id. A document without id stays."""
-    session(spark)
-    found = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(written(found, "dropped")), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked rows one: that with the least doc_id, null last, then the least text hash. A row without words stays."""
+    key, th, hashed = _unused(docs, "key"), _unused(docs, "th"), F.xxhash64(docs["text"])
+    dropped, repeated = (found.select(F.col("doc_id").alias(key), F.col("th").alias(th)) for found in jaccard_join.copies(session(spark) and docs, NEAR_WORDS, NEAR_PERCENT))
+    dropped, repeated = written(dropped, "dropped"), written(repeated, "repeated")
+    same = lambda rows: docs["doc_id"].eqNullSafe(rows[key]) & (hashed == rows[th])
+    kept = docs.join(small(dropped), same(dropped), "left_anti")
+    if not repeated.head(1):
+        return kept
+    once = docs.join(small(repeated), same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(repeated), same(repeated), "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

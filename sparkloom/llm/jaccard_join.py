@@ -47,15 +47,15 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def class_keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, cid) of every row; cid is null without words."""
+    """(doc_id, th, n, cid) of every row, th the text's hash; cid is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), set_key(s) if len(s) else None) for s in T.shingle_sets(batch.column(1), words)]
+            sets = [(len(s), set_key(s) if len(s) else None) for s in T.shingle_sets(batch.column(2), words)]
             n, keys = zip(*sets) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "cid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "th", "n", "cid"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, cid binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "cast(text as string) text").mapInArrow(run, "doc_id long, th long, n long, cid binary")
 
 
 def _packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
@@ -260,6 +260,32 @@ def class_links(docs: DataFrame, total: int, words: int = WORDS, percent: int =
     return tiles.groupBy("root", "tile").applyInArrow(_search(percent), "a binary, b binary")
 
 
+def _rooted(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """class_keys of docs, and (cid, root, least) of its classes: the component, and the least doc_id of the class."""
+    keys = written(class_keys(docs, words), "classes")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    links = written(class_links(docs, total, words, percent), "links")
+    roots = written(components(links), "components")
+    classes = keys.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return keys, written(classes, "leasts")
+
+
+def copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th) of the rows that are not the first of their component, and of the firsts that several rows are.
+
+    The first has the least doc_id, null last, then the least text hash th. Rows
+    without words have no component and are in neither.
+    """
+    keys, classes = _rooted(docs, words, percent)
+    rows = keys.filter("cid is not null").groupBy("cid", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows.join(classes.select("cid", "root"), "cid").select("root", "doc_id", "th", "n"), "rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    rows = written(rows.join(first, "root").select("doc_id", "th", "n", (place == F.col("first")).alias("is_first")), "placed")
+    return rows.filter("not is_first").select("doc_id", "th"), rows.filter("is_first and n > 1").select("doc_id", "th")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
@@ -270,13 +296,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     where all are. Rows that repeat are equal texts and linked. An empty table gives
     no rows; other columns of docs are not read.
     """
-    keys = written(class_keys(docs, words), "classes")
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    links = written(class_links(docs, total, words, percent), "links")
-    roots = written(components(links), "components")
-    classes = keys.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    classes = written(classes, "leasts")
+    keys, classes = _rooted(docs, words, percent)
     least = written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "minima")
     named = written(classes.join(least, "root").select("cid", "component_id"), "names")
     linked = keys.filter("cid is not null").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -353,6 +353,17 @@ def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
         for x, y in itertools.combinations(range(len(rows)), 2):
             if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
                 label[x] = label[y] = min(label[x], label[y])
-    # ids ascend with the rows, so the first of a component has its least id
-    want = [(i is None, i or 0) for x, (i, _, _) in enumerate(rows) if label[x] == x or i is None]
+    # ids ascend with the rows, null apart, so the first of a component has its least id
+    want = [(i is None, i or 0) for x, (i, _, _) in enumerate(rows) if label[x] == x]
     assert got == sorted(want)
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{j}" for j in range(60)) for k in "abcd")
+    rows = [(1, a, "s"), (1, a, "s"), (2, a + " end", "s"), (3, b, "s"), (3, a, "s"), (None, c, "s"), (None, c, "s"), (None, c.upper(), "s"), (None, b, "s"), (4, "", "s"), (4, "", "s"), (None, None, "s"), (5, d, "s")]
+    got = [(r.doc_id, lower(r.text)) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, a), (3, b), (None, c), (4, ""), (4, ""), (None, ""), (5, d)]))
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows[2:5] + rows[12:]), "")
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(2, a + " end"), (3, b), (5, d)} and kept.columns == table(spark, rows).columns
