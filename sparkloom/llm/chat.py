@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHUNK_TURNS = 256
+#: Turns without a number come first, in chunks by their hash, as they are ordered by it.
+NULL_CHUNK = -(1 << 62)
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 def prefix_hashes(conversations: DataFrame) -> DataFrame:
     """(conv_id, place, p1, p2): the 128-bit hash of the first place turns, for every turn."""
-    turns = _turns(conversations).select("conv_id", "turn", "h1", "h2", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK_TURNS).alias("chunk"))
+    turns = _turns(conversations).select("conv_id", "turn", "h1", "h2", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(NULL_CHUNK) + F.shiftright("h1", 56)).alias("chunk"))
     turns = written(turns, "turns")
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = turns.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -56,7 +58,8 @@ def maximal(conversations: DataFrame) -> DataFrame:
 def collapse(conversations: DataFrame) -> DataFrame:
     """One row for each maximal conversation: conv_id, n_turns, rendered.
 
-    Turns are in the order of turn, null first, and equal turns in one fixed order;
+    Turns are in the order of turn, null first, and equal turns in one fixed order (equal
+    numbers of a conversation are one group, which is not split);
     rows that repeat are turns of their own. Null role or text is empty. Rows without
     conv_id belong to no conversation and are left out. Equal conversations leave the
     least conv_id. An empty table gives no rows; other columns are not read.

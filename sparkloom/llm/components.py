@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -15,22 +15,22 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_counted(near, written(least, "least"), ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = join_counted(down, least, ["a"], "n").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of an edge (a, b) with the least node that edges reach from it.
 
-    Null ends are ignored. Each round is written to the shared folder; only its size
+    Null ends are ignored. A node of very many edges is not one group. Each round is written to the shared folder; only its size
     and a checksum come to the driver.
     """
     state, edges = None, written(edges.filter("a is not null and b is not null").select("a", "b").distinct(), "edges")
@@ -39,6 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             break
         state = seen
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "star")), "edges")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

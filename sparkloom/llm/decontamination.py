@@ -1,11 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-The short side is sketched: a test item keeps its shingles with the smallest
-hashes. Items are partitioned by size, and the sketch of a partition is one longer
-than the shingles that its largest item may lack, so a document that contains
-enough of an item has at least one shingle of its sketch, however long the
-document is: the search misses nothing. Documents with a hit are read again and
-their containment is counted exactly.
+Both sides are sketched by the same order of shingle hashes. Test items are
+partitioned by size, each class with a bound of its own. The sketch of an item is
+its least hashes, one more than the shingles it may lack; the sketch of a document
+for a class is all its hashes up to the bound of the class, the largest hash in a
+sketch of the class. So the sketch of a document grows with the document, a short
+item in a long document is found, and nothing is missed: of the hashes in the
+sketch of an item that is held, at least one is in the document, and it is below
+the bound. Documents with a hit are read again and their containment is counted
+exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import by_place, places, scanned, written
 
 WORDS, THRESHOLD = 5, 0.8
 
@@ -32,6 +35,10 @@ def _labelled(width: int):
     return lambda s: F.struct(F.lit(width).alias("width"), s.alias("sh"))
 
 
+def _upto(bound: Column):
+    return lambda s: s <= bound
+
+
 def item_shingles(benchmark: DataFrame, words: int) -> DataFrame:
     """(item_id, width, sh, q): the distinct shingles of each item with words; a shorter item is one shingle."""
     items = benchmark.select("item_id", word_list(F.col("text")).alias("w")).filter("size(w) > 0").withColumn("width", F.least(F.size("w"), F.lit(words)))
@@ -50,37 +57,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thre
 
     Words are runs of letters and digits, lower-cased. An item of fewer words than a
     shingle must be held whole; an item or document without words matches nothing.
-    Rows that repeat with their doc_id are reported once, a null doc_id as null.
+    Equal findings of one doc_id are reported once, a null doc_id as null. Texts of any
+    length are read whole.
     Each text of the benchmark is searched for by itself: a null item_id is reported
     as null, and of an id with several texts each that is held has its row.
     Empty tables give no rows; other columns of docs are not read.
     """
-    return _found(docs, benchmark, words, threshold).select("doc_id", "item_id", "n_shared", "n_item", "containment")
+    return _found(docs, benchmark, words, threshold).select("doc_id", "item_id", "n_shared", "n_item", "containment").distinct()
+
+
+def contaminated_places(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(file, row) of the rows of docs, a scanned table, that hold an item; see contaminated."""
+    return _found(docs, benchmark, words, threshold).select("file", "row").distinct()
+
+
+def sketches(items: DataFrame, threshold: float) -> DataFrame:
+    """(key, width, class, need, sketch, bound): the least hashes of each item, and the largest in sketches of its size class."""
+    need = F.ceil(F.col("q") * threshold - 1e-9)
+    cut = items.select("key", "width", F.floor(F.log2("q")).alias("class"), need.alias("need"), F.slice(F.sort_array("sh"), F.lit(1), (F.col("q") - need + 1).cast("int")).alias("sketch"))
+    bounds = cut.groupBy("width", "class").agg(F.max(F.element_at("sketch", -1)).alias("bound"))
+    return cut.join(F.broadcast(bounds), ["width", "class"])  # a few classes for each width
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, words: int, threshold: float) -> DataFrame:
     # items of equal shingles are one key, whatever their ids
     items = written(item_shingles(benchmark, words).withColumn("key", F.xxhash64("width", F.array_sort("sh"))), "items")
     named, items = items.select("key", "item_id").distinct(), items.select("key", "width", "q", "sh").dropDuplicates(["key"])
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most `words` numbers
-    largest = F.lit(1).cast("long") * F.pow(F.lit(2), F.ceil(F.log2("q")))  # of the item's size class
-    length = F.floor(F.lit(1 - threshold) * largest + F.lit(1e-9)) + 1
-    ranked = F.expr("transform(array_sort(transform(sh, s -> struct(xxhash64(s, 7) as o, s as s))), x -> x.s)")
-    sketch = items.select("key", "width", F.ceil(F.col("q") * threshold - 1e-9).alias("need"), F.explode(F.slice(ranked, F.lit(1), length.cast("int"))).alias("sh"))
+    sketch = written(sketches(items, threshold), "sketches")
+    classes = sketch.groupBy("width", "class").agg(F.first("bound").alias("bound"), F.min("need").alias("need")).collect()  # at most `words` widths by the size classes of items
+    widths = sorted({r["width"] for r in classes})
     every = items.select("key", "width", "q", F.explode("sh").alias("sh"))
 
-    def hashed(d: DataFrame) -> DataFrame:
+    def hashed(d: DataFrame, sketched: bool) -> DataFrame:
         d = d.withColumn("w", word_list(F.col("text")))
-        sets = [F.transform(_shingle_hashes("w", k), _labelled(k)) for k in widths]
-        return d.select("doc_id", "th", F.size("w").alias("n"), F.explode(F.concat(*sets)).alias("x")).select("doc_id", "th", "n", "x.width", "x.sh")
-
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+        sets = []
+        for k in widths:
+            found = _shingle_hashes("w", k)
+            if sketched:  # the sketches for all classes of a width that the document is long enough for are one list
+                bound = F.greatest(*(F.when(F.size("w") - k + 1 >= r["need"], F.lit(r["bound"])) for r in classes if r["width"] == k), F.lit(None).cast("long"))
+                found = F.filter(found, _upto(bound))
+            sets.append(F.transform(found, _labelled(k)))
+        return d.select("doc_id", "th", "file", "row", F.size("w").alias("n"), F.explode(F.concat(*sets)).alias("x")).select("doc_id", "th", "file", "row", "n", "x.width", "x.sh")
+
+    docs = scanned(docs)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *places(docs))
     if not widths:
-        return texts.selectExpr("doc_id", "th", "cast(null as long) item_id", "0L n_shared", "0L n_item", "0.0D containment").limit(0)
-    hits = hashed(texts).join(sketch, ["width", "sh"]).filter("n - width + 1 >= need")
-    found = written(hits.select("th", "key").distinct(), "candidates")
-    again = texts.join(small(found.select("th").distinct()), "th", "left_semi")
-    shared = hashed(again).join(every, ["width", "sh"]).join(found, ["th", "key"], "left_semi")
-    counted = shared.groupBy("doc_id", "th", "key").agg(F.count_distinct("sh").alias("n_shared"), F.first("q").cast("long").alias("n_item"))
+        return texts.selectExpr("doc_id", "th", "file", "row", "cast(null as long) item_id", "0L n_shared", "0L n_item", "0.0D containment").limit(0)
+    hits = hashed(texts, True).join(sketch.select("key", "width", "need", F.explode("sketch").alias("sh")), ["width", "sh"]).filter("n - width + 1 >= need")
+    found = written(hits.select("file", "row", "key").distinct(), "candidates")
+    again = by_place(docs.select("doc_id", "text"), written(found.select("file", "row").distinct(), "again"), "left_semi", placed=True)
+    shared = hashed(again.withColumn("th", F.xxhash64("text")), False).join(every, ["width", "sh"]).join(found, ["file", "row", "key"], "left_semi")
+    counted = shared.groupBy("doc_id", "th", "file", "row", "key").agg(F.count_distinct("sh").alias("n_shared"), F.first("q").cast("long").alias("n_item"))
     counted = counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)
-    return counted.join(named, "key").select("doc_id", "th", "item_id", "n_shared", "n_item", "containment")
+    return counted.join(named, "key").select("doc_id", "th", "file", "row", "item_id", "n_shared", "n_item", "containment")

@@ -1,10 +1,14 @@
 """Exact duplicates by two passes over a Bloom filter held as a table of bitmaps.
 
 Pass 1 counts, for two hashed positions of every row, how many rows hit the
-position (8 bytes a position, combined before the shuffle) and keeps those hit
-more than once as bitmaps of 32,768 bits. Pass 2 asks the bitmaps: only rows all
-of whose positions were hit again are shuffled by their digest and resolved
-exactly. All other rows are proven unique and go straight to the result.
+position (8 bytes a position are shuffled, combined before) and keeps those hit
+more than once. Pass 2 asks for every row: only rows all of whose positions were
+hit again are shuffled by their digest and resolved exactly. All other rows are
+proven unique and go straight to the result. Texts are never shuffled.
+
+The filter grows with the table. Up to FILTER_BITMAPS bitmaps of 4 KB it is
+broadcast, and no other row moves. A larger one is not; then every row goes to its
+first position as 56 bytes (ids, digest, position), with no bitmap beside it.
 """
 
 from __future__ import annotations
@@ -12,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import HOT_KEYS, join_counted, written
 
 #: Filter positions for each row; the filter grows with the table.
 BITS_PER_ROW = 16
-#: A group with more rows than the larger of these is joined by broadcast: at most so many groups.
-HEAVY_ROWS, HEAVY_GROUPS = 200, 10_000
+SEEDS = (1, 2)
+#: Bitmaps of 32,768 positions, 4 KB each, that may be broadcast together: 64 MB, enough for 33 million rows.
+FILTER_BITMAPS = 16_384
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,14 +37,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(lower_ascii(text), 256)).alias("digest"))
 
 
-def repeated_filter(rows: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the positions that more than one row hits."""
-    hits = rows.select(F.explode(_positions(bits)).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def repeated(rows: DataFrame, bits: int, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """(at, n): the positions that more than one row hits, and how often."""
+    return rows.select(F.explode(_positions(bits, seeds)).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def bitmaps(hits: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of these positions."""
     return hits.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
 
 
-def _positions(bits: int) -> Column:
-    return F.array(*(F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(bits)) + 1 for seed in (1, 2)))
+def _positions(bits: int, seeds: tuple[int, ...] = SEEDS) -> Column:
+    return F.array(*(F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(bits)) + 1 for seed in seeds))
 
 
 def _bit(bitmap: Column, at: Column) -> Column:
@@ -53,29 +62,37 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
 
     Texts are equal when equal after lower-casing A-Z; null is the empty text. Of
     equal texts the row with the largest doc_id stays (a null doc_id is smallest;
-    of rows with the same doc_id one stays). An empty table gives no rows; other
-    columns of docs are not read.
+    of rows with the same doc_id one stays). Texts of any length are read whole. An
+    empty table gives no rows; other columns of docs are not read.
     """
     rows = written(digests(docs), "digests")
-    total = rows.count()
-    bits = max(1 << 15, total * bits_per_row)
-    table = written(repeated_filter(rows, bits), "bloom")
-    filter_rows = small(table, 2000)
-    asked = rows.withColumn("p", _positions(bits))
-    for i in (0, 1):
-        one = filter_rows.select(F.col("bucket").alias(f"b{i}"), F.col("bitmap").alias(f"m{i}"))
-        asked = asked.join(one, F.bitmap_bucket_number(F.col("p")[i]) == F.col(f"b{i}"), "left")
-    maybe = F.lit(True)
-    for i in (0, 1):
-        maybe = maybe & F.col(f"m{i}").isNotNull() & F.coalesce(_bit(F.col(f"m{i}"), F.col("p")[i]), F.lit(False))
-    asked = written(asked.select("doc_id", "row", "digest", maybe.alias("maybe")), "asked")
+    bits = max(1 << 15, rows.count() * bits_per_row)
+    if bits <= FILTER_BITMAPS << 15:
+        asked = _asked(rows, written(bitmaps(repeated(rows, bits)), "bloom"), bits)
+    else:
+        asked = _asked_by_position(rows, written(repeated(rows, bits, SEEDS[:1]), "positions"), bits)
+    asked = written(asked, "asked")
     unique = asked.filter(~F.col("maybe")).select("doc_id", "row", "digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     shared = asked.filter("maybe").select("doc_id", "row", "digest")
     groups = written(shared.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
-    heavy = max(HEAVY_ROWS, total // HEAVY_GROUPS)
-    columns = ["doc_id", "row", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"]
-    hot = F.broadcast(groups.filter(F.col("group_size") > heavy).select("digest", "keep", "group_size"))
-    resolved = shared.join(hot, "digest").select(*columns).unionByName(
-        shared.join(hot.select("digest"), "digest", "left_anti").join(groups.filter(F.col("group_size") <= heavy), "digest").select(*columns)
-    )
+    resolved = join_counted(shared, groups, ["digest"], "group_size").select("doc_id", "row", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
     return unique.unionByName(resolved).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
+
+
+def _asked(rows: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """rows with maybe: whether both positions are set in the bitmaps, which are broadcast."""
+    asked, maybe = rows.withColumn("p", _positions(bits)), F.lit(True)
+    for i in (0, 1):
+        one = F.broadcast(table.select(F.col("bucket").alias(f"b{i}"), F.col("bitmap").alias(f"m{i}")))
+        asked = asked.join(one, F.bitmap_bucket_number(F.col("p")[i]) == F.col(f"b{i}"), "left")
+        maybe = maybe & F.col(f"m{i}").isNotNull() & F.coalesce(_bit(F.col(f"m{i}"), F.col("p")[i]), F.lit(False))
+    return asked.select("doc_id", "row", "digest", maybe.alias("maybe"))
+
+
+def _asked_by_position(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
+    """rows with maybe: whether their first position was hit again. A position of very many rows is broadcast and moves none of them."""
+    asked = rows.withColumn("at", _positions(bits)[0])
+    again = join_counted(asked, hits, ["at"], "n").select(*rows.columns, F.lit(True).alias("maybe"))
+    hot = F.broadcast(hits.orderBy(F.desc("n")).limit(HOT_KEYS).select("at"))
+    rest = asked.join(hot, "at", "left_anti").join(hits.select("at"), "at", "left_anti")
+    return again.unionByName(rest.select(*rows.columns, F.lit(False).alias("maybe")))

@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join by T-occurrence search over inverted lists.
 
-A document is the set of its word shingles, as 64-bit hashes. Documents with the
+A document is the set of its word shingles, as 64-bit hashes under a key drawn anew
+for every call, so that no text can be made to collide. Documents with the
 same set are one class. For two sets to link they must share T shingles, so
 
 1. a set that shares fewer than T of its shingles with any other text is out.
@@ -19,6 +20,7 @@ Links of classes are then joined to components.
 from __future__ import annotations
 
 import math
+import secrets
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import merge
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as T
-from .common import small, written
+from .common import by_place, join_counted, places, scanned, written
 from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Shingles of a pack of documents, and of a range of hashes, at about which each ends.
 PACK, RANGE = 2_000_000, 2_000_000
-#: Sets of a block; a cluster of up to two blocks is searched whole.
-BLOCK = 64
+#: Sets and shingles of a block; a cluster of up to two blocks is searched whole.
+BLOCK, BLOCK_SHINGLES = 64, 2_000_000
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -46,23 +48,27 @@ def set_key(hashes: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def class_keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, th, n, cid) of every row, th the text's hash; cid is null without words."""
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(*places(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def class_keys(docs: DataFrame, words: int = WORDS, key: int = 0) -> DataFrame:
+    """(file, row, doc_id, n, cid) of every row; cid is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), set_key(s) if len(s) else None) for s in T.shingle_sets(batch.column(2), words)]
+            sets = [(len(s), set_key(s) if len(s) else None) for s in T.shingle_sets(batch.column(3), words, key)]
             n, keys = zip(*sets) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "th", "n", "cid"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["file", "row", "doc_id", "n", "cid"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) th", "cast(text as string) text").mapInArrow(run, "doc_id long, th long, n long, cid binary")
+    return _named(docs).mapInArrow(run, "file long, row long, doc_id long, n long, cid binary")
 
 
-def _packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
+def _packs(docs: DataFrame, words: int, bits: int, key: int) -> DataFrame:
     """(r, pack, hashes, counts, home): for each pack and range of hashes, the hashes that one text of the pack has
     alone, text by text, and those that several have; home, in range 0, names the pack's texts."""
 
-    def flush(pack: int, ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(pack: int, ids: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(hashes, kind="stable")
@@ -85,7 +91,7 @@ def _packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
         for r in range(1 << bits):
             a, b, c, d = *edges[r : r + 2], *common_edges[r : r + 2]
             counts = np.bincount(owner[a:b], minlength=len(sets)).astype("<u4")
-            home = np.stack([np.array(ids, np.int64), sizes, shared]).tobytes() if r == 0 else None
+            home = np.stack([*np.array(ids, np.int64).T, sizes, shared]).tobytes() if r == 0 else None
             rows.append((r, pack, small_hashes[a:b].tobytes() + small_common[c:d].tobytes(), counts.tobytes(), home))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["r", "pack", "hashes", "counts", "home"])
 
@@ -94,10 +100,10 @@ def _packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
 
         pack, ids, sets, keys, held = TaskContext.get().partitionId() << 32, [], [], set(), 0
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), T.shingle_sets(batch.column(1), words)):
-                if not len(s) or (key := set_key(s)) in keys:
+            for i, s in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), T.shingle_sets(batch.column(2), words, key)):
+                if not len(s) or (name := set_key(s)) in keys:
                     continue
-                keys.add(key)
+                keys.add(name)
                 ids.append(i)
                 sets.append(s)
                 held += len(s)
@@ -107,7 +113,7 @@ def _packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
         if ids:
             yield flush(pack, ids, sets)
 
-    return docs.selectExpr("xxhash64(text) th", "cast(text as string) text").mapInArrow(run, "r long, pack long, hashes binary, counts binary, home binary")
+    return _named(docs).drop("doc_id").mapInArrow(run, "r long, pack long, hashes binary, counts binary, home binary")
 
 
 def _shared_in_range(_: tuple, table: pa.Table) -> pa.Table:
@@ -135,25 +141,26 @@ def _left_over(percent: int):
         for shared, named in zip(table.column("shared").to_pylist(), table.column("home").to_pylist()):
             total = total + np.frombuffer(shared, "<u4").astype(np.int64)
             home = home or named
-        ids, sizes, inside = np.frombuffer(home, np.int64).reshape(3, -1)
-        return pa.table({"th": pa.array(ids[100 * (total + inside) >= percent * sizes])})
+        file, row, sizes, inside = np.frombuffer(home, np.int64).reshape(4, -1)
+        enough = 100 * (total + inside) >= percent * sizes
+        return pa.table({"file": pa.array(file[enough]), "row": pa.array(row[enough])})
 
     return run
 
 
-def candidates(docs: DataFrame, total: int, words: int, percent: int) -> DataFrame:
-    """(th): text hashes of the texts that share enough shingles with other texts of the table."""
+def candidates(docs: DataFrame, total: int, words: int, percent: int, key: int) -> DataFrame:
+    """(file, row) of a row of each set, or of a few, that shares enough shingles with other sets of the table."""
     bits = max(0, math.ceil(math.log2(max(total, 1) / RANGE)))
-    ranges = _packs(docs, words, bits).groupBy("r").applyInArrow(_shared_in_range, "pack long, shared binary, home binary")
-    return ranges.groupBy("pack").applyInArrow(_left_over(percent), "th long")
+    ranges = _packs(docs, words, bits, key).groupBy("r").applyInArrow(_shared_in_range, "pack long, shared binary, home binary")
+    return ranges.groupBy("pack").applyInArrow(_left_over(percent), "file long, row long")
 
 
-def shingle_table(docs: DataFrame, words: int) -> DataFrame:
+def shingle_table(docs: DataFrame, words: int, key: int) -> DataFrame:
     """(cid, n, sh): the classes of docs with their sorted shingles, once a task or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {set_key(s): s for s in T.shingle_sets(batch.column(0), words) if len(s)}
+            seen = {set_key(s): s for s in T.shingle_sets(batch.column(0), words, key) if len(s)}
             sets = [s.view(np.int64) for s in seen.values()]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -227,12 +234,14 @@ def _tiles(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Sets with the tile that they are searched in; a set of a large cluster is in several."""
     member = written(sets.select("cid", "n").join(clusters.select(F.col("node").alias("cid"), "root"), "cid"), "members")
     member = member.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9)))
-    large = member.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = member.groupBy("root", "g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    large = member.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"))
+    most = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))
+    blocks = member.groupBy("root", "g").agg(F.ceil(most).alias("blocks"), F.count(F.lit(1)).alias("sets"))
     up = blocks.select("root", (F.col("g") - 1).alias("g"), F.col("blocks").alias("above"))
     down = blocks.select("root", (F.col("g") + 1).alias("g"), F.col("blocks").alias("below"))
-    plan = written(blocks.join(large, "root").join(up, ["root", "g"], "left").join(down, ["root", "g"], "left").withColumn("whole", F.col("size") <= 2 * BLOCK), "blocks")
-    at = member.join(plan, ["root", "g"]).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    whole = (F.col("size") <= 2 * BLOCK) & (F.col("all") <= 2 * BLOCK_SHINGLES)
+    plan = written(blocks.join(large, "root").join(up, ["root", "g"], "left").join(down, ["root", "g"], "left").withColumn("whole", whole), "blocks")
+    at = join_counted(member, plan, ["root", "g"], "sets").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
     name = lambda g, i, h, j: F.concat_ws(":", g, i, h, j)
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     g, block = F.col("g"), F.col("block")
@@ -243,47 +252,48 @@ def _tiles(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     return at.select("cid", "root", F.explode(tile).alias("tile"))
 
 
-def class_links(docs: DataFrame, total: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def class_links(docs: DataFrame, total: int, words: int, percent: int, key: int) -> DataFrame:
     """(a, b): edges between classes whose components are those of all links."""
-    left = small(written(candidates(docs, total, words, percent).distinct(), "candidates"))
-    texts = docs.select("text", F.xxhash64("text").alias("th")).join(left, "th", "left_semi")
-    sets = written(shingle_table(texts, words).groupBy("cid").agg(F.first("n").alias("n"), F.first("sh").alias("sh")), "sets")
+    left = written(candidates(docs, total, words, percent, key), "candidates")
+    texts = by_place(docs.select("text"), left, "left_semi")
+    sets = written(shingle_table(texts, words, key).groupBy("cid").agg(F.first("n").alias("n"), F.first("sh").alias("sh")), "sets")
     posting = sets.select("cid", "n", F.explode("sh").alias("s"))
-    lengths = posting.groupBy("s").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-    ranked = posting.join(lengths, "s").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "s"))).alias("lists"))
+    lengths = written(posting.groupBy("s").agg(F.count(F.lit(1)).alias("length")).filter("length > 1"), "lengths")
+    ranked = join_counted(posting, lengths, ["s"], "length").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "s"))).alias("lists"))
     short = F.size("lists") - (F.ceil(F.col("n") * percent / 100) - 1)
     short = ranked.select("cid", F.explode(F.slice("lists", F.lit(1), F.greatest(short, F.lit(0)).cast("int"))["s"]).alias("s"))
     short = written(short, "short")
-    first = short.groupBy("s").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("length")).filter("length > 1")
-    clusters = written(components(short.join(first, "s").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()), "clusters")
+    first = written(short.groupBy("s").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("length")).filter("length > 1"), "firsts")
+    near = join_counted(short, first, ["s"], "length").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    clusters = written(components(near), "clusters")
     tiles = _tiles(sets, clusters, percent).join(sets, "cid")
     return tiles.groupBy("root", "tile").applyInArrow(_search(percent), "a binary, b binary")
 
 
 def _rooted(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """class_keys of docs, and (cid, root, least) of its classes: the component, and the least doc_id of the class."""
-    keys = written(class_keys(docs, words), "classes")
+    """class_keys of docs, a scanned table, and (cid, root, least, n_rows) of its classes: the component, the least doc_id of the class, its rows."""
+    key = secrets.randbits(64)
+    keys = written(class_keys(docs, words, key), "classes")
     total = keys.agg(F.sum("n")).first()[0] or 0
-    links = written(class_links(docs, total, words, percent), "links")
+    links = written(class_links(docs, total, words, percent, key), "links")
     roots = written(components(links), "components")
-    classes = keys.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = keys.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
     classes = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     return keys, written(classes, "leasts")
 
 
-def copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th) of the rows that are not the first of their component, and of the firsts that several rows are.
+def copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(file, row) of the rows of docs, a scanned table, that are not the first of their component.
 
-    The first has the least doc_id, null last, then the least text hash th. Rows
-    without words have no component and are in neither.
+    The first has the least doc_id, null last; of rows with that id one stays. Rows
+    without words have no component and are never named.
     """
     keys, classes = _rooted(docs, words, percent)
-    rows = keys.filter("cid is not null").groupBy("cid", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    rows = written(rows.join(classes.select("cid", "root"), "cid").select("root", "doc_id", "th", "n"), "rows")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    first = rows.groupBy("root").agg(F.min(place).alias("first"))
-    rows = written(rows.join(first, "root").select("doc_id", "th", "n", (place == F.col("first")).alias("is_first")), "placed")
-    return rows.filter("not is_first").select("doc_id", "th"), rows.filter("is_first and n > 1").select("doc_id", "th")
+    rows = join_counted(keys.filter("cid is not null"), classes, ["cid"], "n_rows").select("root", "doc_id", "file", "row")
+    rows = written(rows, "rooted")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
+    first = written(rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")
+    return join_counted(rows, first, ["root"], "n").filter(place != F.col("first")).select("file", "row")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -296,8 +306,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     where all are. Rows that repeat are equal texts and linked. An empty table gives
     no rows; other columns of docs are not read.
     """
-    keys, classes = _rooted(docs, words, percent)
-    least = written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "minima")
-    named = written(classes.join(least, "root").select("cid", "component_id"), "names")
-    linked = keys.filter("cid is not null").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    keys, classes = _rooted(scanned(docs), words, percent)
+    least = written(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "minima")
+    named = written(join_counted(classes, least, ["root"], "n").select("cid", "component_id", "n_rows"), "names")
+    linked = join_counted(keys.filter("cid is not null"), named, ["cid"], "n_rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(keys.filter("cid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

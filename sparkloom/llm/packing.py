@@ -24,6 +24,8 @@ WIDTH = 2048
 SHARD_TOKENS = 2_000_000
 #: Ends every document and fills rows; the id is free in the vocabulary.
 END = 50_256
+#: Ids kept before the table of pieces is dropped and built again.
+MOST_IDS = 4_000_000
 
 
 class Encoder:
@@ -41,31 +43,32 @@ class Encoder:
     def _clear(self) -> None:
         self.known, self.ids, self.used = K.PieceCache(), np.zeros(1 << 20, np.uint16), 0
 
-    def _learn(self, keys: np.ndarray, raw: bytes, spans: list[tuple[int, int]]) -> None:
-        found = [self.library.encode_ordinary(raw[a:b].decode()) for a, b in spans]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint16, int(sizes.sum()))
+    def _learn(self, found: K.Pieces, new: np.ndarray) -> np.ndarray:
+        """Where the ids of the pieces new begin, and how many they are, as one number a piece."""
+        each = [self.library._encode_single_piece(found.data[a : a + n].tobytes()) for a, n in zip(found.starts[new].tolist(), found.size[new].tolist())]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((i for x in each for i in x), np.uint16, int(sizes.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.known.add(keys, at << 24 | sizes)
+        value = at << 30 | sizes
+        self.known.add(found, new, value)
+        return value
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the first id of each text."""
         starts, ends, first = K.pieces(data, off)
-        keys, where, back = np.unique(T.span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.known.keys) + len(keys) > K.PieceCache.MOST:
+        found = K.Pieces(data, starts, ends)
+        if self.used > MOST_IDS or len(self.known.keys) + len(found.keys) > K.PieceCache.MOST:
             self._clear()
-        value, hit = self.known.find(keys)
+        value, hit = self.known.find(found)
         new = np.flatnonzero(~hit)
         if len(new):
-            self._learn(keys[new], data.tobytes(), list(zip(starts[where[new]].tolist(), ends[where[new]].tolist())))
-            fresh, _ = self.known.find(keys[new])
-            value[new] = fresh
-        value = value[back]
-        at, size = value >> 24, value & 0xFFFFFF
+            value[new] = self._learn(found, new)
+        value = value[found.back]
+        at, size = value >> 30, value & (1 << 30) - 1
         sums = np.concatenate([[0], np.cumsum(size)])
         index = np.arange(sums[-1]) + np.repeat(at - sums[:-1], size)
         return self.ids[index], sums[first]

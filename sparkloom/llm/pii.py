@@ -7,7 +7,8 @@ seven digits, or the same whole address in any case): these skip edges share a
 potential, and loopy belief propagation carries a label from a clear mention to an
 unclear one of the same thing. Units of fewer than seven digits, and addresses that
 have only the host in common, get no skip edge and are never added. Weights are learnt by pseudo-likelihood from base
-spans of a bounded sample of texts.
+spans of a bounded sample of texts; the weight of a skip edge has a prior around SKIP_PRIOR, which is its value where
+the sample has no two mentions of one thing.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: At most so many texts are learnt from, those with the least text hash among texts with an @ or digits.
 SAMPLE_TEXTS = 1000
+#: At most so many units of a text are learnt from, evenly spread over it; the sample is then 52 MB at most.
+SAMPLE_UNITS = 256
+SKIP_PRIOR, SKIP_MOST = 5.0, 8.0
+#: Messages are computed at most so many times for each edge on average, should they swing for ever.
+VISITS = 400
 DAMPING, CERTAIN = 0.3, 0.9
 #: Messages that change by less have stopped.
 STILL = 1e-8
@@ -39,7 +45,9 @@ _NUMBER = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_UNIT = re.compile(r"[^\s@]*+@[^\s@]++|[+(]?+[0-9](?:[ ().-]{0,2}+[0-9])++")
+_RUN = re.compile(r"[^\s@]++")
+_FIGURE = re.compile(r"[+(]?+[0-9](?:[ ().-]{0,2}+[0-9])++")
+_AWAY = re.compile(r"[\s@]")
 
 Span = tuple[int, int, int]
 
@@ -85,6 +93,22 @@ def base_spans(text: str) -> list[Span]:
 FEATURES = 16
 
 
+def unit_spans(text: str) -> list[tuple[int, int]]:
+    """Strings around an @ without white space, and runs of digits outside these; every character is read a few times."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        after = _RUN.match(text, at + 1)
+        if after:
+            start = at
+            while start > done and not _AWAY.match(text, start - 1):
+                start -= 1
+            out += [m.span() for m in _FIGURE.finditer(text, done, start)]
+            out.append((start, after.end()))
+        # what follows an address may be an @ again, but belongs to no other address
+        at, done = text.find("@", after.end() if after else at + 1), after.end() if after else done
+    return out + [m.span() for m in _FIGURE.finditer(text, done)]
+
+
 def unit_features(unit: str) -> np.ndarray:
     digits = "".join(_DIGITS.findall(unit))
     parts = unit.split(".")
@@ -110,7 +134,7 @@ class Graph:
     """Units of a text; chain edges join neighbours, skip edges each mention with the one before that is alike."""
 
     def __init__(self, text: str):
-        self.units = [(m.start(), m.end()) for m in _UNIT.finditer(text)]
+        self.units = unit_spans(text)
         words = [text[a:b] for a, b in self.units]
         self.x = np.array([unit_features(w) for w in words]).reshape(-1, FEATURES)
         self.chain = [(i, i + 1) for i in range(len(words) - 1)]
@@ -157,20 +181,27 @@ class Field:
         a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         pull = np.exp(np.array([e[2] for e in edges]))[:, None]
         source, target, pull = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([pull, pull])
-        message, half = np.full((2 * len(edges), k), 1 / k), len(edges)
+        half = len(edges)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        # news passes one edge a round and settles there in a few more; the bound only ends messages that swing for ever
-        for _ in range(4 * n + 64):
-            total = np.log(local)
-            np.add.at(total, target, np.log(message))
-            cavity = total[source] - np.log(message[back])
+        by_source = np.argsort(source, kind="stable")
+        first = np.searchsorted(source[by_source], np.arange(n + 1))
+        message, total = np.full((2 * half, k), 1 / k), np.log(local)
+        active, left = np.arange(2 * half), VISITS * 2 * half
+        # a message is computed again only when one that it depends on has changed
+        while len(active) and left > 0:
+            left -= len(active)
+            cavity = total[source[active]] - np.log(message[back[active]])
             cavity = np.exp(cavity - cavity.max(1, keepdims=True))
-            new = cavity.sum(1, keepdims=True) + (pull - 1) * cavity
-            before, message = message, DAMPING * message + (1 - DAMPING) * new / new.sum(1, keepdims=True)
-            if np.abs(message - before).max() < STILL:
-                break
-        total = np.log(local)
-        np.add.at(total, target, np.log(message))
+            new = cavity.sum(1, keepdims=True) + (pull[active] - 1) * cavity
+            before = message[active]
+            new = DAMPING * before + (1 - DAMPING) * new / new.sum(1, keepdims=True)
+            message[active] = new
+            np.add.at(total, target[active], np.log(new) - np.log(before))
+            moved = active[np.abs(new - before).max(1) >= STILL]
+            reached = np.unique(target[moved])
+            count = first[reached + 1] - first[reached]
+            following = by_source[np.repeat(first[reached] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            active = np.unique(np.concatenate([moved, following]))
         total = np.exp(total - total.max(1, keepdims=True))
         return total / total.sum(1, keepdims=True)
 
@@ -193,21 +224,21 @@ class Field:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5) -> Field:
-    """examples: features, labels, and for each unit how many chain and skip neighbours have each label."""
+    """examples: features, labels, and for each unit how many chain and skip neighbours that have a sure label have each label."""
     k = len(LABELS)
     if not examples:
         return Field(np.zeros((FEATURES, k)), 0.0, 0.0)
     x, y, chain, skip = (np.concatenate([e[i] for e in examples]) for i in range(4))
-    node, pair = np.zeros((FEATURES, k)), np.array([0.0, 1.0])
+    node, pair, prior = np.zeros((FEATURES, k)), np.array([0.0, SKIP_PRIOR]), np.array([0.0, SKIP_PRIOR])
     for _ in range(steps):
         logits = x @ node + pair[0] * chain + pair[1] * skip
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         node -= rate * (x.T @ p / len(y) + 1e-3 * node)
-        pair -= rate * np.array([(p * chain).sum() / len(y), (p * skip).sum() / len(y)])
-    # what repeats or resembles is the same thing; the sample can only strengthen that
-    return Field(node, float(np.clip(pair[0], -1, 1)), float(np.clip(pair[1], 4.0, 8.0)))
+        pair -= rate * (np.array([(p * chain).sum() / len(y), (p * skip).sum() / len(y)]) + 1e-3 * (pair - prior))
+    # large weights only slow the messages down
+    return Field(node, float(np.clip(pair[0], -1, 1)), float(np.clip(pair[1], -SKIP_MOST, SKIP_MOST)))
 
 
 def _examples(text: str) -> tuple[np.ndarray, ...] | None:
@@ -215,16 +246,20 @@ def _examples(text: str) -> tuple[np.ndarray, ...] | None:
     if not graph.units:
         return None
     y = graph.gold(base_spans(text))
+    # a unit without a base label that resembles one with a label is unknown, not negative
+    sure = y > 0
+    known = {i for a, b in graph.skip for i, j in ((a, b), (b, a)) if y[j]}
+    sure[[i for i in range(len(y)) if i not in known]] = True
     near = []
     for edges in (graph.chain, graph.skip):
         counts = np.zeros((len(y), len(LABELS)))
         for a, b in edges:
-            counts[a, y[b]] += 1
-            counts[b, y[a]] += 1
+            counts[a, y[b]] += sure[b]
+            counts[b, y[a]] += sure[a]
         near.append(counts)
-    # a unit without a base label that resembles one with a label is unknown, not negative
-    sure = (y > 0) | (near[1][:, 1:].sum(1) == 0)
-    return graph.x[sure], y[sure], near[0][sure], near[1][sure]
+    kept = np.flatnonzero(sure)
+    kept = kept[:: -(-len(kept) // SAMPLE_UNITS) or 1]
+    return graph.x[kept], y[kept], near[0][kept], near[1][kept]
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
@@ -233,14 +268,14 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {t: e for t in batch.column(0).to_pylist() if (e := _examples(t)) is not None}
+            seen = {h: e for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (e := _examples(t)) is not None}
             rows = [[np.ascontiguousarray(p, "<f8").tobytes() for p in e] for e in seen.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(4)], ["x", "y", "chain", "skip"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], ["th", "x", "y", "chain", "skip"])
 
-    sample = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(some), "th").select(F.col("text").cast("string"))
-    found = sample.mapInArrow(run, "x binary, y binary, chain binary, skip binary").distinct().collect()
+    sample = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "th")
+    found = sample.mapInArrow(run, "th long, x binary, y binary, chain binary, skip binary").dropDuplicates(["th"]).collect()
     k = len(LABELS)
-    return train([tuple(np.frombuffer(v, "<f8").reshape(-1, w) if w else np.frombuffer(v, "<f8").astype(int) for v, w in zip(r, (FEATURES, 0, k, k))) for r in sorted(found)])
+    return train([tuple(np.frombuffer(v, "<f8").reshape(-1, w) if w else np.frombuffer(v, "<f8").astype(int) for v, w in zip(r[1:], (FEATURES, 0, k, k))) for r in sorted(found)])
 
 
 def _text(spans: list[Span]) -> str:
@@ -252,9 +287,9 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then by
     kind. base_sha256 is of the base spans' text; spans has the field's too. A null
-    or empty text has none. Patterns read texts of any length in linear time. Rows
-    that repeat get equal results; other columns of docs are not read; an empty
-    table gives no rows.
+    or empty text has none, a null doc_id stays null. Texts of any length are read whole,
+    in linear time. Rows that repeat get equal results; other columns of docs are not
+    read; an empty table gives no rows.
     """
     field = field or fit(docs)
 

@@ -119,7 +119,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed: int
     rng = np.random.default_rng(seed)
     empty = Model(0.0, np.zeros(words + STATS), rng.normal(0, 0.05, (words + STATS, RANK)), np.zeros(STATS), np.ones(STATS))
     if len(set(labels.tolist())) < 2:
-        empty.constant = 1.0
+        empty.constant = float(labels[0]) if len(labels) else 0.5
         return empty
     stats = np.stack([r[2] for r in rows])
     model = empty
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model of labels.quality from at most rows labelled documents, none of them held out.
 
     A doc_id labelled more than once counts as good only if all its labels are 1;
-    null labels and ids are passed over. Without both labels every score is 1.
+    null labels and ids are passed over. Of rows that share a doc_id one text is learnt
+    from, so rows bounds what is collected. With one label only, every score is that
+    label; without labels it is 0.5.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id"))).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -184,8 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, batch.column(2)], ["doc_id", *names, "quality"])
 
     session(docs.sparkSession)
-    sample = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").selectExpr("cast(doc_id as long) doc_id", "text", "cast(quality as int) quality")
-    found = sample.mapInArrow(run, "doc_id long, bucket binary, value binary, stats binary, quality int").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").cast("int").alias("quality"))
+    found = sample.mapInArrow(run, f"doc_id {kind}, bucket binary, value binary, stats binary, quality int").collect()
     found.sort(key=lambda r: (r.doc_id, r.stats))
     return train([(np.frombuffer(r.bucket, "<u2").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float), np.frombuffer(r.stats), r.quality) for r in found])
 
@@ -193,8 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
-    The score reads the whole text alone; a null text is scored as the empty one.
-    Rows that repeat get equal scores; a null doc_id is not held out.
+    The score reads the whole text alone, however long; a null text is scored as the
+    empty one. Rows that repeat get equal scores; a null doc_id is not held out. An
+    empty table gives no rows; other columns of docs are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with a score of THRESHOLD or more, all columns as they are."""
+    """The rows of docs with a score of THRESHOLD or more, all columns as they are; all rows if the model saw no label.
+
+    Texts of any length are read whole, null as empty; rows that repeat stay or go
+    together; an empty table stays empty.
+    """
+    if model.constant == 0.5:
+        return docs
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:

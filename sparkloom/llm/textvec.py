@@ -1,47 +1,29 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
 Text stays in Arrow's UTF-8 buffer: words are found with byte masks and hashed
-with prefix sums, so no Python string is made for a word. Hashes are 64-bit;
-equality of words and shingles below means equality of these hashes.
+eight bytes at a time, so no Python string is made for a word. Hashes are 64-bit
+and keyed; equality of words and shingles below means equality of these hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_STEP = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[LOWER]
 #: Bytes hashed at a time, unless one text is longer.
 SLICE_BYTES = 1 << 18
-
-
-class _Powers:
-    pow = inv = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.pow) < n:
-            size = max(n, SLICE_BYTES + 1)
-
-            def powers(base: np.uint64) -> np.ndarray:
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                return np.cumprod(out, dtype=np.uint64)
-
-            cls.pow, cls.inv = powers(_BASE), powers(_BASE_INV)
-        return cls.pow, cls.inv
+#: Spans that begin in so many bytes are hashed together. Longer spans than LONG bytes are hashed each by itself.
+WINDOW, LONG = 1 << 20, 64
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,12 +74,65 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A hash of the bytes of each span, A-Z taken as a-z if lower."""
-    power, inverse = _Powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, little end first; zeros follow the last."""
+    padded = np.zeros(len(data) + 8, np.uint64)
+    padded[: len(data)] = data
+    for shift in (1, 2, 4):
+        padded[:-shift] |= padded[shift:] << np.uint64(8 * shift)
+    return padded[: len(data)]
+
+
+def _windows(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """For ranges of spans: first and last span, the first byte of the range, and its eights up to LONG bytes after the last start."""
+    a = 0
+    while a < len(starts):
+        at = int(starts[a])
+        b = int(np.searchsorted(starts, at + WINDOW, side="left"))
+        yield a, b, at, _eights(data[at : int(starts[b - 1]) + LONG + 8])
+        a = b
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, key: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span under the key, A-Z taken as a-z if lower; starts ascend.
+
+    Up to LONG bytes are mixed eight at a time, longer spans by a keyed cryptographic
+    hash. With a key that nobody could know, no text can be made to collide.
+    """
+    secret = hashlib.blake2b(key.to_bytes(8, "little"), digest_size=16, person=b"span").digest()
+    first, later = (np.uint64(int.from_bytes(secret[i : i + 8], "little")) for i in (0, 8))
+    size = (ends - starts).astype(np.int64)
+    out = mix(first ^ (size.astype(np.uint64) * _STEP[0]))
+    for a, b, at, eights in _windows(LOWER[data] if lower else data, starts):
+        alive, j = np.arange(a, b), 0
+        alive = alive[size[a:b] <= LONG]
+        while len(alive := alive[size[alive] > j]):
+            block = eights[starts[alive] - at + j] & _LOW_BYTES[np.minimum(size[alive] - j, 8)]
+            out[alive] = mix((out[alive] + later) ^ block) + block * _STEP[1]
+            j += 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        raw = data[starts[i] : ends[i]]
+        raw = (LOWER[raw] if lower else raw).tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=secret).digest(), "little")
+    return mix(out)
+
+
+def short_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Spans of up to seven bytes as numbers: the bytes themselves and how many they are. Of longer spans the first seven bytes."""
+    size, out = (ends - starts).astype(np.int64), np.zeros(len(starts), np.uint64)
+    for a, b, at, eights in _windows(data, starts):
+        n = np.minimum(size[a:b], 7)
+        out[a:b] = (eights[starts[a:b] - at] & _LOW_BYTES[n]) | n.astype(np.uint64) << np.uint64(56)
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[starts:starts + size] and other[at:at + size] are the same bytes."""
+    out, alive, j = np.ones(len(starts), bool), np.arange(len(starts)), 0
+    while len(alive := alive[out[alive] & (size[alive] > j)]):
+        out[alive] = data[starts[alive] + j] == other[at[alive] + j]
+        j += 1
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -116,9 +151,9 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarr
             yield run[:0]
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int, key: int = 0) -> Iterator[np.ndarray]:
     data, off = flat(column)
     for a, b in slices(off):
         part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
         starts, ends, first = words(part, at)
-        yield from shingles(span_hashes(part, starts, ends), first, k)
+        yield from shingles(span_hashes(part, starts, ends, key=key), first, k)

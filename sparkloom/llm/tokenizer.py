@@ -31,6 +31,8 @@ STATES = 13
 #: Emitted: a piece begins with this character; a piece begins one character earlier.
 HERE, BACK = 1, 2
 _LETTERS = (LET, ONE, LR, LV, LL, LE)
+#: Fewer pieces than this are read one by one.
+FEW = 12
 #: Bytes of a chunk. Three at a time are one step of a map.
 CHUNK = 48
 
@@ -261,6 +263,18 @@ class PieceMachine:
                 self.delta = np.concatenate([self.delta, np.zeros(self.delta.shape, np.int8)])
         self.next[state, byte], self.delta[state, byte] = at, change
 
+    def _rest(self, state: int, read: list[int]) -> int:
+        """Change of the number of tokens from this state over these bytes."""
+        total = 0
+        for byte in read:
+            after = self.next[state, byte]
+            if after < 0:
+                self.compile(state, byte)
+                after = self.next[state, byte]
+            total += int(self.delta[state, byte])
+            state = after
+        return total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each piece; all pieces take their next byte together."""
         if len(self.states) > self.MOST:
@@ -271,6 +285,10 @@ class PieceMachine:
         alive = len(order)
         for j in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(-length[:alive], -j, side="left"))
+            if alive < FEW:
+                for i in range(alive):
+                    total[i] += self._rest(int(state[i]), data[first[i] + j : first[i] + length[i]].tolist())
+                break
             byte = data[first[:alive] + j]
             reached = self.next[state[:alive], byte]
             if (reached < 0).any():
@@ -284,25 +302,76 @@ class PieceMachine:
         return out
 
 
+class Pieces:
+    """The distinct pieces of some texts. Piece i is distinct[back[i]]; pieces over T.LONG bytes are each distinct.
+
+    Pieces of up to seven bytes are told apart by these themselves, longer ones by
+    their hash and then byte by byte: a piece that has the hash of another but not
+    its bytes is distinct too, with no key that a table could know it by.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        size = ends - starts
+        keys, long = T.short_keys(data, starts, ends), np.flatnonzero(size > 7)
+        keys[long] = T.span_hashes(data, starts[long], ends[long], lower=False) | LONG_PIECE
+        self.keys, where, self.back = np.unique(keys, return_index=True, return_inverse=True)
+        first = where[self.back[long]]
+        same = (size[long] <= T.LONG) & (size[first] == size[long])
+        same[same] = T.equal_spans(data, starts[long[same]], data, starts[first[same]], size[long[same]])
+        alone = long[~same]
+        self.back[alone] = len(where) + np.arange(len(alone))
+        where = np.concatenate([where, alone])
+        self.data, self.starts, self.size = data, starts[where], size[where]
+        self.keys = np.concatenate([self.keys, np.zeros(len(alone), np.uint64)])
+        #: Those that a table may keep.
+        self.keyed = (self.keys > 0) & (self.size <= T.LONG)
+
+
+#: Marks the key of a piece of more than seven bytes.
+LONG_PIECE = np.uint64(1 << 63)
+
+
 class PieceCache:
-    """What is known of pieces, by their 64-bit hash, in a sorted table of bounded size."""
+    """What is known of pieces, in a sorted table of bounded size that keeps the bytes of longer pieces."""
 
     MOST = 400_000
 
     def __init__(self):
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.values, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.used = np.zeros(1 << 16, np.uint8), 0
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each piece that is known, and which are."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == keys
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if len(self.keys) + len(keys) <= self.MOST:
-            keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+            return np.zeros(len(pieces.keys), np.int64), np.zeros(len(pieces.keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, pieces.keys), len(self.keys) - 1)
+        hit = (self.keys[at] == pieces.keys) & pieces.keyed
+        long = np.flatnonzero(hit & (pieces.keys >= LONG_PIECE))
+        same = self.size[at[long]] == pieces.size[long]
+        some = long[same]
+        same[same] = T.equal_spans(pieces.data, pieces.starts[some], self.bytes, self.at[at[some]], pieces.size[some])
+        hit[long] = same
+        return self.values[at], hit
+
+    def add(self, pieces: Pieces, new: np.ndarray, values: np.ndarray) -> None:
+        """Keeps the values of the pieces new, of those whose key is not taken."""
+        fit = pieces.keyed[new]
+        new, values = new[fit], values[fit]
+        if len(self.keys) + len(new) > self.MOST:
+            self.__init__()
+        elif len(self.keys):
+            free = self.keys[np.minimum(np.searchsorted(self.keys, pieces.keys[new]), len(self.keys) - 1)] != pieces.keys[new]
+            new, values = new[free], values[free]
+        size = np.where(pieces.keys[new] >= LONG_PIECE, pieces.size[new], 0)
+        ends = self.used + np.cumsum(size)
+        total = int(size.sum())
+        while self.used + total > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.used : self.used + total] = pieces.data[np.repeat(pieces.starts[new] - (ends - size), size) + np.arange(self.used, self.used + total)]
+        self.used += total
+        order = np.argsort(keys := np.concatenate([self.keys, pieces.keys[new]]), kind="stable")
+        self.keys = keys[order]
+        self.values, self.at, self.size = (np.concatenate(x)[order] for x in ((self.values, values), (self.at, ends - size), (self.size, size)))
 
 
 @cache
@@ -342,13 +411,13 @@ def count_tokens(column: pa.Array, path: str) -> np.ndarray:
     for a, b in T.slices(off):
         part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
         starts, ends, first = pieces(part, at)
-        keys, where, back = np.unique(T.span_hashes(part, starts, ends, lower=False), return_index=True, return_inverse=True)
-        tokens, hit = known.find(keys)
+        found = Pieces(part, starts, ends)
+        tokens, hit = known.find(found)
         new = np.flatnonzero(~hit)
         if len(new):
-            tokens[new] = piece_machine.counts(part, starts[where[new]], ends[where[new]])
-            known.add(keys[new], tokens[new])
+            tokens[new] = piece_machine.counts(part, found.starts[new], found.starts[new] + found.size[new])
+            known.add(found, new, tokens[new])
         sums = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(tokens[back], out=sums[1:])
+        np.cumsum(tokens[found.back], out=sums[1:])
         np.add.at(total, owner[a:b], sums[first[1:]] - sums[first[:-1]])
     return total

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -367,3 +368,321 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, [(1, a), (3, b), (None, c), (4, ""), (4, ""), (None, ""), (5, d)]))
     kept = corpus_pipeline.near_duplicates(spark, table(spark, rows[2:5] + rows[12:]), "")
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(2, a + " end"), (3, b), (5, d)} and kept.columns == table(spark, rows).columns
+
+
+def thue_morse(n):
+    """Two strings of 2**n characters that collide under every polynomial hash modulo 2**64 for n of 10 or more."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def long_words():
+    rnd = random.Random(11)
+    words = [*thue_morse(10), *thue_morse(5), *thue_morse(6), *thue_morse(7), "é" * 900, "x" * 65, "x" * 64, "x" * 63, "日" * 21, "日" * 22]
+    words += ["".join(rnd.choice("abcXYZé-_!09") for _ in range(rnd.randrange(1, 200))) for _ in range(300)]
+    return words + [w[:-1] + "~" for w in words] + [w.swapcase() for w in words]
+
+
+def test_words_that_resemble_have_hashes_of_their_own():
+    from sparkloom.llm import textvec
+
+    words = sorted({w for w in long_words()})
+    for lower in (True, False):
+        data, off = textvec.flat(pa.array(words))
+        hashes = textvec.span_hashes(data, off[:-1], off[1:], lower)
+        known = dict(zip((globals()["lower"](w) if lower else w for w in words), hashes.tolist()))
+        assert len(set(known.values())) == len(known) and all(known[globals()["lower"](w) if lower else w] == h for w, h in zip(words, hashes.tolist()))
+        assert set(hashes.tolist()).isdisjoint(textvec.span_hashes(data, off[:-1], off[1:], lower, key=1).tolist())
+
+
+def test_token_counts_of_long_words():
+    texts = [" ".join(t) for t in (thue_morse(10), thue_morse(10)[:1] * 2, thue_morse(10)[1:] * 2)] + long_words() + [" ".join(long_words())]
+    assert tokenizer.count_tokens(pa.array(texts), token_counts.default_path()).tolist() == library(texts)
+
+
+def test_packing_decodes_long_words(spark):
+    texts = [" ".join(thue_morse(10)), "".join(reversed(thue_morse(10)[0])), *long_words(), "ab" * 200_000]
+    parts = {}
+    for r in packing.pack(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), width=512).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        for d, o, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(d, []).append((o, ids[a:b].tolist()))
+    import public_tokenizers
+
+    decode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).library.decode
+    whole = {d: sum((x for _, x in sorted(p)), []) for d, p in parts.items()}
+    assert all(whole[i][-1] == packing.END and decode(whole[i][:-1]) == t for i, t in enumerate(texts))
+
+
+def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    from sparkloom.llm import textvec
+
+    import public_tokenizers
+
+    texts = long_words() + [" ".join(long_words())] * 2
+    monkeypatch.setattr(textvec, "span_hashes", lambda data, starts, ends, lower=True, key=0: np.full(len(starts), 5, np.uint64))
+    piece_machine, known = tokenizer.machine(token_counts.default_path())
+    monkeypatch.setattr(tokenizer, "machine", lambda path: (piece_machine, fresh))
+    fresh, encoder = tokenizer.PieceCache(), packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert tokenizer.count_tokens(pa.array(texts), token_counts.default_path()).tolist() == library(texts)
+    data, off = textvec.flat(pa.array(texts))
+    ids, first = encoder.encode(data, off)
+    assert [encoder.library.decode(ids[a:b].tolist()) for a, b in zip(first, first[1:])] == texts
+
+
+def test_crafted_words_do_not_link(spark):
+    a, b = thue_morse(10)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table(spark, [(1, a, "s"), (2, b, "s"), (3, f"{a} {b} x y z", "s"), (4, f"{b} {a} x y z", "s"), (5, b.upper(), "s")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
+def test_very_long_texts_take_linear_time():
+    field, began = pii.Field(np.zeros((pii.FEATURES, 5)), 0.3, 5.0), time.time()
+    for text in ("a" * 2_000_000, "1" * 2_000_000, "@" * 500_000, "a.b" * 600_000 + "@", "call 017 555-7713, " * 20_000, "1 " * 1_000_000):
+        field.added(text, pii.base_spans(text))
+    assert time.time() - began < 12
+    began = time.time()
+    assert tokenizer.count_tokens(pa.array(["ab" * 1_000_000]), token_counts.default_path()).tolist() == [1_000_000]
+    assert time.time() - began < 20
+
+
+def enumerated(field, graph, clamp):
+    """Beliefs of a small graph by all its labellings."""
+    n, k, out = len(graph.units), len(pii.LABELS), 0
+    local = graph.x @ field.node
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if all(not c or c == y for c, y in zip(clamp, labels)):
+            weight = sum(local[i, y] for i, y in enumerate(labels)) + sum(field.chain for a, b in graph.chain if labels[a] == labels[b]) + sum(field.skip for a, b in graph.skip if labels[a] == labels[b])
+            out[range(n), labels] += np.exp(weight)
+    return out / out.sum(1, keepdims=True)
+
+
+def test_beliefs_agree_with_enumeration():
+    rng, texts = np.random.default_rng(4), ["a@b.com, 12 x 4455 and 10.0.0.1", "555-7713 then 5557713", "+1 (017) 555-7713 x 555-7713 x 555 7713", "1 2 x 33"]
+    for text in texts:  # chains, and mentions that are neighbours: no loops
+        for chain, skip in ((0.7, 0.0), (0.0, 3.0), (-0.8, 0.0), (0.0, 0.0)):
+            graph = pii.Graph(text)
+            field, clamp = pii.Field(rng.normal(size=(pii.FEATURES, 5)), chain, skip), graph.gold(pii.base_spans(text))
+            assert np.abs(field.posterior(graph, clamp) - enumerated(field, graph, clamp)).max() < 1e-5
+    # with loops beliefs are near, and the same label is the likeliest
+    graph = pii.Graph("555-7713 x 12 34 56 x 555 7713 x a@b.com x 5557713")
+    field = pii.Field(rng.normal(size=(pii.FEATURES, 5)), 0.4, 1.0)
+    got, want = field.posterior(graph, np.zeros(len(graph.units), int)), enumerated(field, graph, np.zeros(len(graph.units), int))
+    assert len(graph.skip) == 2 and np.abs(got - want).max() < 0.05 and (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_skip_weight_is_learnt():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(400, pii.FEATURES)), rng.integers(0, 5, 400)
+    none = np.zeros((400, 5))
+    equal, other = none.copy(), none.copy()
+    equal[range(400), y] = 1
+    other[range(400), (y + 1) % 5] = 1
+    learnt = [pii.train([(x, y, none, skip)]).skip for skip in (other, none, equal)]
+    assert learnt[1] == pytest.approx(pii.SKIP_PRIOR) and learnt[0] < 1 and learnt[1] < learnt[2]
+
+
+def test_planted_mentions_are_added(spark):
+    rnd, rows, want = random.Random(8), [], {}
+    for i in range(60):
+        number = f"{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+        text = f"write to +1 (017) {number} or on. " + "the words go on " * rnd.randrange(1, 30)
+        want[i] = len(text) + 5
+        rows.append((i, f"{text}call 017 {number} again, room {rnd.randrange(10, 99)}, in {rnd.randrange(1900, 2020)}", "s"))
+    rows += [(i, f"the year {rnd.randrange(1900, 2020)}, room {rnd.randrange(100)}, part {rnd.randrange(10**8)} and 12:30", "s") for i in range(100, 160)]
+    got = {r.doc_id: r for r in pii.find_pii(table(spark, rows)).collect()}
+    assert sum(f"phone:{at}:" in got[i].spans for i, at in want.items()) >= 57
+    assert all(r.n_added == 0 for i, r in got.items() if i >= 100)
+
+
+def test_exact_dedup_beyond_the_broadcast_filter(spark, docs, monkeypatch):
+    rows = docs + [(1000 + i, "hot", "a") for i in range(600)]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.keep_id or 0, r.group_size, r.text_sha256)
+    want = sorted(map(key, exact_dedup.exact_dedup(table(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "FILTER_BITMAPS", 0)
+    frame = exact_dedup.exact_dedup(table(spark, rows))
+    assert sorted(map(key, frame.collect())) == want
+    plan = exact_dedup._asked_by_position(*(lambda r: (r, exact_dedup.written(exact_dedup.repeated(r, 1 << 15, (1,)), "p"), 1 << 15))(exact_dedup.written(exact_dedup.digests(table(spark, rows)), "r")))
+    assert "bitmap" not in plan._jdf.queryExecution().toString() and "text" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_beyond_the_broadcast_limit(spark, docs, monkeypatch):
+    import corpus_pipeline
+    from sparkloom.llm import common
+
+    sf = "/root/testdata/sf0.001"
+    frame = common.written(table(spark, docs * 2).repartition(5), "input")
+    found = {}
+    for limit in (common.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        near = corpus_pipeline.near_duplicates(spark, frame, sf)
+        taken = corpus_pipeline.mix(spark, frame, sf)
+        clean = corpus_pipeline.decontaminate(spark, frame, sf)
+        linked = jaccard_join.jaccard_components(frame)
+        found[limit] = [sorted(map(repr, x.collect())) for x in (near, taken, clean, linked)]
+        assert [x.columns for x in (near, taken, clean)] == [frame.columns] * 3
+        if limit == 1:  # the result was written group by group: no join is left that could move texts
+            assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    small, beyond = found.values()
+    assert small == beyond
+
+
+def test_copies_of_a_row_are_mixed_each(spark):
+    import corpus_pipeline
+
+    rows = [(1, "w " * 40, "a")] * 6 + [(i, "v " * (i % 9), "b") for i in range(40)] + [(None, "u u u", None)] * 3
+    got = corpus_pipeline.mix(spark, table(spark, rows), "").collect()
+    plan = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == sum(r.copies for r in plan)
+    assert sum(r.doc_id == 1 for r in got) == sum(r.copies for r in plan if r.doc_id == 1)
+
+
+def test_middle_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    frame, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    rows = frame.collect()
+    shingled = lambda t, k, p: (lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())(re.findall(p, lower(t)))
+    sets, label = [shingled(r.text, 5, r"[^\x20\x09-\x0D]+") for r in rows], list(range(len(rows)))
+    edges = [(x, y) for x, y in itertools.combinations(range(len(rows)), 2) if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    for _ in rows:
+        for x, y in edges:
+            label[x] = label[y] = min(label[x], label[y])
+    order = sorted(range(len(rows)), key=lambda x: rows[x].doc_id)
+    want = {min((rows[y].doc_id for y in order if label[y] == label[x])) for x in order}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, sf).collect()) == sorted(want)
+    held = set()
+    for item in bench:
+        n = len(re.findall(r"[^\W_]+", (item.text or "").lower()))
+        q = shingled((item.text or "").lower(), min(5, n), r"[^\W_]+") if n else set()
+        held |= {r.doc_id for r in rows if q and len(q & (shingled(r.text.lower(), min(5, n), r"[^\W_]+") if len(re.findall(r"[^\W_]+", r.text.lower())) >= min(5, n) else set())) >= 0.8 * len(q)}
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, frame, sf).collect()) == sorted(r.doc_id for r in rows if r.doc_id not in held)
+
+
+def test_stages_of_odd_tables(spark, docs):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = spark.createDataFrame([(i, t, "en", s, 1, 2, 3, 4) for i, t, s in docs[:30]] * 2, "doc_id long, text string, lang string, source string, n_chars long, file long, row long, copies long")
+    for frame in (odd, odd.limit(0), odd.filter("text is null")):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, frame, sf)
+            assert out.columns == odd.columns and out.count() <= 2 * frame.count()
+    assert corpus_pipeline.pack(spark, odd.limit(0), sf).count() == 0 and corpus_pipeline.pack(spark, odd, sf).count() > 0
+
+
+def test_quality_with_one_label(spark):
+    frame = table(spark, [(i, f"text number {i}", "a") for i in range(20)])
+    for label in (0, 1):
+        model = quality.fit(frame, spark.createDataFrame([(i, label, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
+        assert {r.score for r in quality.scored(frame, model).collect()} == {float(label)} and quality.accepted(frame, model).count() == 20 * label
+    none = quality.fit(frame, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {(r.score, r.predicted) for r in quality.scored(frame, none).collect()} == {(0.5, 0)}
+
+
+def test_quality_learns_one_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, seed=7: seen.append(len(rows)) or quality.Model(0.0, 0, 0, 0, 0, 0.5))
+    frame = table(spark, [(i % 5, f"text {i}", "a") for i in range(300)])
+    quality.fit(frame, spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int"))
+    assert 0 < seen[0] <= 5
+
+
+def test_quality_gradients():
+    """One step of training moves weights as differences of the loss say."""
+    rng, words = np.random.default_rng(3), 1 << quality.BUCKET_BITS
+    model = quality.Model(0.2, rng.normal(size=words + quality.STATS), rng.normal(size=(words + quality.STATS, quality.RANK)) / 4, np.zeros(quality.STATS), np.ones(quality.STATS))
+    bucket, value, dense = np.array([3, 77, 500]), np.array([0.5, 0.2, 0.9]), rng.normal(size=(1, quality.STATS))
+    logit = lambda: model.logits(np.zeros(3, int), bucket, value, dense)[0][0]
+    _, sums = model.logits(np.zeros(3, int), bucket, value, dense)
+    for f in range(quality.RANK):
+        want = value[1] * (sums[0, f] - value[1] * model.vectors[77, f])
+        kept = model.vectors[77, f]
+        model.vectors[77, f] = kept + 1e-6
+        up = logit()
+        model.vectors[77, f] = kept - 1e-6
+        assert (up - logit()) / 2e-6 == pytest.approx(want, abs=1e-5)
+        model.vectors[77, f] = kept
+
+
+def test_decontamination_bounds_are_sketches_on_both_sides(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 5, 6, 9, 20, 70])))) for i in range(60)]
+    rows = []
+    for i in range(150):
+        held = items[i % 60][1].split()
+        for _ in range(rnd.randrange(3)):
+            held[rnd.randrange(len(held))] = "edit"
+        rows.append((i, " ".join([*(rnd.choice(words) for _ in range(rnd.choice([0, 5, 400]))), *held, *(rnd.choice(words) for _ in range(7))]), "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shingles = decontamination.item_shingles(bench, 5).withColumn("key", F.col("item_id"))
+    for r in decontamination.sketches(shingles, 0.8).join(shingles.select("key", "sh"), "key").collect():
+        assert sorted(r.sketch) == sorted(r.sh)[: len(r.sketch)] and max(r.sketch) <= r.bound and len(r.sketch) == len(r.sh) - r.need + 1
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, rows), bench).collect()}
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    want = set()
+    for item, text in items:
+        k = min(5, len(text.split()))
+        q = grams(text.split(), k)
+        want |= {(i, item) for i, t, _ in rows if len(q & grams(t.split(), k)) >= 0.8 * len(q)}
+    assert got == want and len(want) > 100
+
+
+def test_fixity_of_offsets_and_headers(spark):
+    rows = [(i, f"http://x/{i}", "<p>" * (i % 5)) for i in range(300)]
+    ours = spark.createDataFrame(rows, "page_id long, url string, html string")
+    leaf = fixity.leaves(fixity.records(ours))
+    moved = leaf.withColumn("length", F.when(F.col("page_id") == 130, F.col("length") + 1).otherwise(F.col("length")))
+    a, b = fixity.tree(leaf, 3), fixity.tree(moved, 3)
+    differ = [{r.node for r in fixity._differing(x, y).collect()} for x, y in zip(a, b)]
+    assert differ == [{2}, {0}, {0}]
+    lost = fixity.tree(leaf.filter("page_id <> 70"), 3)
+    assert {r.node for r in fixity._differing(a[0], lost[0]).collect()} == {1}
+    dated = ours.withColumn("warc_date", F.lit("2020-01-01T00:00:00Z")).withColumn("warc_record_id", F.col("page_id"))
+    assert fixity.records(dated).first().length == fixity.records(ours).first().length + len("\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: 0")
+    assert {r.status for r in fixity.audit(dated, dated.withColumn("warc_date", F.when(F.col("page_id") == 9, "x").otherwise(F.col("warc_date")))).collect()} == {"ok", "changed"}
+
+
+def test_fixity_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, digest string, node long, length string"
+    rows = [(None, "u", "a", "x", 1, "y"), (None, "u", "a", "x", 1, "y"), (None, "v", None, "x", 1, "y"), (3, None, "z" * 300_000, "x", 1, "y"), (3, "w", "k", "x", 1, "y")]
+    ours = spark.createDataFrame(rows, schema)
+    got = fixity.audit(ours, spark.createDataFrame(rows[1:], schema)).collect()
+    assert len(got) == 5 and sorted(r.status for r in got) == ["changed", "changed", "ok", "ok", "ok"]
+    assert all(r.volume is None and r.range_id is None for r in got if r.page_id is None)
+
+
+def test_chat_of_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, h1 string, place long, n long"
+    rows = [(1, None, "user", f"q{i}") for i in range(40)] + [(1, -700, "user", "low"), (1, -1, "user", "x"), (1, 0, None, None), (1, 0, None, None), (1, 300, "user", "y" * 200_000)]
+    rows += [(2, t, r, x) for _, t, r, x in rows[:42]] + [(3, -700, "user", "low"), (4, -700, "user", "low"), (4, -700, "user", "low")]
+    frame = spark.createDataFrame([(*r, "a", 1, 2) for r in rows], schema)
+    got = {r.conv_id: r for r in chat.collapse(frame.repartition(5)).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {1: 45, 4: 2}
+    said = re.findall(r"<\|im_start\|>user\n(.*?)<\|im_end\|>", got[1].rendered)
+    assert sorted(said[:40]) == sorted(f"q{i}" for i in range(40)) and said[40:42] == ["low", "x"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.llm import common
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077")))
+
+
+def test_tables_are_released(spark):
+    from sparkloom.llm import common
+
+    began = common.made()
+    first, last = (common.written(spark.range(3), "x") for _ in range(2))
+    common.release(spark, began, keep=1)
+    assert common.made() == began + 1 and last.count() == 3
+    with pytest.raises(Exception):
+        first.count()
