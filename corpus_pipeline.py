@@ -7,68 +7,64 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontamination, jaccard_join, mixing, packing
 from sparkloom.llm import quality as machine
-from sparkloom.llm.common import session, small, written
+from sparkloom.llm.common import by_place, made, release, scanned, session, unused, written
 
 #: Words of a shingle and least similarity, in per cent, of near duplicates; those of op10 are its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Labels of other documents are not used."""
+    """Documents that the quality classifier accepts. Labels of other documents are not used; without any label all stay.
+
+    Null and empty texts are scored as the empty text; rows that repeat are scored alike; an empty table stays empty.
+    """
     session(spark)
     return machine.accepted(docs, machine.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows one: that with the least doc_id, null last, then the least text hash. A row without words stays."""
-    key, th, hashed = _unused(docs, "key"), _unused(docs, "th"), F.xxhash64(docs["text"])
-    dropped, repeated = (found.select(F.col("doc_id").alias(key), F.col("th").alias(th)) for found in jaccard_join.copies(session(spark) and docs, NEAR_WORDS, NEAR_PERCENT))
-    dropped, repeated = written(dropped, "dropped"), written(repeated, "repeated")
-    same = lambda rows: docs["doc_id"].eqNullSafe(rows[key]) & (hashed == rows[th])
-    kept = docs.join(small(dropped), same(dropped), "left_anti")
-    if not repeated.head(1):
-        return kept
-    once = docs.join(small(repeated), same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(repeated), same(repeated), "left_anti").unionByName(once).select(docs.columns)
+    """Of each group of linked rows one: that with the least doc_id, null last, and of those with that id one.
+
+    A row without words, null texts included, stays; repeated rows are linked, ids do not count; an empty table stays empty.
+    """
+    docs = scanned(session(spark) and docs)
+    dropped = written(jaccard_join.copies(docs, NEAR_WORDS, NEAR_PERCENT), "dropped")
+    return by_place(docs, dropped, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not contain an item of the benchmark."""
-    th = _unused(docs, "th")
-    found = decontamination.contaminated_texts(session(spark) and docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = written(found.select(F.col("th").alias(th)), "contaminated")
-    return docs.join(small(found), F.xxhash64(docs["text"]) == found[th], "left_anti").select(docs.columns)
+    """Documents that do not contain an item of the benchmark. Rows without words stay; ids do not count; an empty table stays empty."""
+    docs = scanned(session(spark) and docs)
+    found = decontamination.contaminated_places(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return by_place(docs, written(found, "contaminated"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that share a doc_id, or have none, are taken as often as the most taken of them."""
-    n, key = _unused(docs, "copies"), _unused(docs, "key")
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).filter(F.col(n) > 0)
-    taken = written(taken, "taken")
-    both = docs.join(small(taken, 2_000_000), docs["doc_id"].eqNullSafe(taken[key]))
+    """Each row as often as the mix takes it, at most twice; rows of the same doc_id, or without one, are rows of their own.
+
+    A row without words is taken as its place in its source has it; a null source is a source; an empty table stays empty.
+    """
+    docs, n = scanned(session(spark) and docs), unused(docs, "copies")
+    taken = written(mixing.mix(docs, placed=True).filter("copies > 0").select("file", "row", F.col("copies").alias(n)), "taken")
+    both = by_place(docs, taken, "inner", n)
     return both.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids. A null text is an empty document; rows that repeat are packed each; an empty table gives no rows."""
     return packing.pack(session(spark) and docs)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing sources to target weights", mix), ("token-ID / binary output", pack)]
 
-#: The classifier and the tokenizer have no SQL; the tests hold the stages against plain Python.
+#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Tables that a stage wrote for itself are deleted when its result is written, and then its input."""
+    began, docs = made(), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        release(spark, began, keep=1)
     return docs
