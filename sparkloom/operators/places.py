@@ -26,16 +26,20 @@ def find_names(docs: DataFrame, key: str, text: str, forms: DataFrame, markers:
     From each word on the longest form counts, and the words it takes are not matched
     again. A marked form counts only after a marker word. Only hits are shuffled.
     """
-    known = dictionary(forms).persist()
+    known = dictionary(forms)
     widest, n = known.agg(F.max("width"), F.count(F.lit(1))).first()
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[^{TOKEN_CHARS}]+"), lambda w: w != "")
-    words = F.transform(words, lambda w: F.regexp_replace(w, "^['’]+|['’]+$", ""))
-    t = docs.select(F.col(key), words.alias("_t"))
-    at = t.select(key, "_t", F.posexplode("_t").alias("_p", "_w"))
-    widths = F.filter(F.sequence(F.lit(1), F.lit(max(widest or 1, 1))), lambda w: F.col("_p") + w <= F.size("_t"))
-    runs = F.transform(widths, lambda w: F.struct(w.alias("w"), F.array_join(F.slice("_t", F.col("_p") + 1, w), " ").alias("form")))
-    before = F.when(F.col("_p") > 0, F.try_element_at("_t", F.col("_p")))
-    grams = at.select(key, "_p", before.alias("_before"), F.explode(runs).alias("_r")).select(key, "_p", "_before", "_r.w", "_r.form")
+    t = docs.select(F.col(key), F.transform(words, lambda w: F.btrim(w, F.lit("'’"))).alias("_t"))
+    # runs are made inside the array, so a row has a few words and never the text
+    before = lambda i: F.when(i > 0, F.try_element_at("_t", i))
+    run = lambda i, w: F.struct(F.lit(w).alias("w"), F.array_join(F.slice("_t", i + 1, F.lit(w)), " ").alias("form"))
+    runs = lambda i: F.filter(F.array(*(F.when(i + w <= F.size("_t"), run(i, w)) for w in range(1, (widest or 1) + 1))), lambda r: r.isNotNull())
+    if (widest or 1) == 1:
+        grams = t.select(key, F.posexplode(F.transform("_t", lambda w, i: F.struct(before(i).alias("before"), w.alias("form")))).alias("_p", "_r"))
+        grams = grams.select(key, "_p", F.col("_r.before").alias("_before"), F.lit(1).alias("w"), "_r.form")
+    else:
+        grams = t.select(key, F.posexplode(F.transform("_t", lambda _, i: F.struct(before(i).alias("before"), runs(i).alias("runs")))).alias("_p", "_r"))
+        grams = grams.select(key, "_p", F.col("_r.before").alias("_before"), F.explode("_r.runs").alias("_r")).select(key, "_p", "_before", "_r.w", "_r.form")
     hits = grams.join(F.broadcast(known) if n <= BROADCAST_FORMS else known, "form").filter(~F.col("marked") | F.coalesce(F.col("_before").isin(*markers), F.lit(False)))
     hits = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", (-F.col("w")).alias("w"), "name"))).alias("_h"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("names"))
