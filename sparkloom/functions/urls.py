@@ -156,3 +156,98 @@ def candidate_type(url: Column) -> Column:
     depth = F.size(F.filter(F.split(path(url), "/"), lambda s: s != ""))
     social = lambda name: F.when(depth == 1, F.lit(name))
     return F.when(host.isin("t.me", "telegram.me"), social("telegram")).when(host == "instagram.com", social("instagram")).when(host == "facebook.com", social("facebook")).when(host.isNotNull(), F.lit("website"))
+
+
+def real_host(value: Column) -> Column:
+    """bare_host if it looks like one, with a dot; else empty."""
+    host = bare_host(value)
+    return F.when(host.contains("."), host).otherwise("")
+
+
+def primary_host(*values: Column) -> Column:
+    """The first real host of several values, else null."""
+    return F.coalesce(*(_null_if_empty(real_host(v)) for v in values))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its . and .. segments applied."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(base: Column, link: Column, longest: int = 1024) -> Column:
+    """The http(s) URL that a link on the page base leads to, at most so long; null for other schemes."""
+    to = F.trim(F.coalesce(link, F.lit("")))
+    scheme, at = F.regexp_extract(to, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(F.trim(base), r"^((?i:https?)://[^/?#]*)", 1)
+    here, rest = F.regexp_extract(F.trim(base), r"^(?i:https?)://[^/?#]*([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    plain = F.regexp_extract(to, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(F.when(here == "", F.lit("/")).otherwise(here), r"^(.*/)", 1)
+    found = (
+        F.when(F.lower(scheme).isin("http", "https"), to)
+        .when(scheme != "", F.lit(None))
+        .when(at == "", F.lit(None))
+        .when(to == "", F.regexp_extract(F.trim(base), r"^([^#]*)", 1))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(at, "^([A-Za-z]+:)", 1), to))
+        .when(to.startswith("#"), F.concat(F.regexp_extract(F.trim(base), r"^([^#]*)", 1), to))
+        .when(to.startswith("?"), F.concat(at, here, to))
+        .when(to.startswith("/"), F.concat(at, _without_dots(plain), rest))
+        .otherwise(F.concat(at, _without_dots(F.concat(folder, plain)), rest))
+    )
+    return F.substring(found, 1, longest)
+
+
+def same_site(url: Column, domain: Column) -> Column:
+    """The URL's host is the domain or below it."""
+    host, at = bare_host(url), bare_host(domain)
+    return (host != "") & ((host == at) | host.endswith(F.concat(F.lit("."), at)))
+
+
+# Fixed values.
+INSTAGRAM_RESERVED = ("/p/", "/reel/", "/reels/", "/explore/", "/stories/")
+FACEBOOK_RESERVED = ("/share", "/sharer", "/events", "/photo", "/watch")
+FREEMAIL = ("gmail.com", "googlemail.com", "ukr.net", "i.ua", "meta.ua", "bigmir.net", "email.ua", "3g.ua", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "icloud.com", "proton.me", "protonmail.com", "gmx.com")
+ALWAYS_BLOCKED = ("gov.ua",)
+
+
+def source_candidate(url: Column) -> Column:
+    """(type, ref) of a search result, null for pages that name no source."""
+    ref = source_ref(url)
+    host, at = source_host(ref), F.when(path(ref) == "", F.lit("/")).otherwise(path(ref))
+
+    def reserved(prefixes: tuple[str, ...]) -> Column:
+        hit = at == "/"
+        for prefix in prefixes:
+            hit = hit | at.startswith(prefix)
+        return hit
+
+    out = lambda kind: F.struct(F.lit(kind).alias("type"), ref.alias("ref"))
+    return (
+        F.when(host.isin("t.me", "telegram.me"), out("telegram"))
+        .when(host == "instagram.com", F.when(~reserved(INSTAGRAM_RESERVED), out("instagram")))
+        .when(host.isin("facebook.com", "fb.com"), F.when(~reserved(FACEBOOK_RESERVED), out("facebook")))
+        .when(host.isNotNull(), out("website"))
+    )
+
+
+def handles(text: Column) -> Column:
+    """(type, handle) of the accounts that a text names, the first spelling of each, type by type."""
+    blob = F.coalesce(text, F.lit(""))
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all(blob, F.lit(pattern), F.lit(1)), lambda h: F.struct(F.lit(kind).alias("type"), h.alias("handle")))
+    every = F.concat(
+        found("telegram", r"(?i)(?:https?://)?t\.me/([A-Za-z0-9_]{4,})"),
+        found("telegram", r"(?U)(?<![\w/])@([A-Za-z0-9_]{4,})"),
+        found("instagram", r"(?i)(?:https?://)?(?:www\.)?instagram\.com/([A-Za-z0-9_.]{2,})"),
+        found("facebook", r"(?i)(?:https?://)?(?:www\.)?facebook\.com/([A-Za-z0-9_.]{2,})"),
+    )
+    lower = lambda x: F.concat_ws(":", x["type"], normalized_ref(x["handle"]))
+    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lower), lower(x)) == i + 1)
+
+
+def mail_hosts(text: Column, links: Column, own: Column) -> Column:
+    """Distinct hosts of addresses in the text and in mailto: links, without the own, free-mail and foreign ones."""
+    mails = F.transform(F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda x: F.lower(x).startswith("mailto:")), lambda x: F.regexp_extract(x, r"(?i)^mailto:([^?]*)", 1))
+    blob = F.concat_ws(" ", F.coalesce(text, F.lit("")), F.array_join(mails, " "))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(blob, F.lit(r"(?U)[\w.+-]+@([\w-]+\.[\w.-]+)"), F.lit(1)), bare_host))
+    return F.filter(found, lambda h: (h != "") & (h != F.coalesce(bare_host(own), F.lit(""))) & ~h.isin(*FREEMAIL) & ~is_foreign(h))

@@ -8,7 +8,6 @@ only keys and the token and magnitude sets.
 
 from __future__ import annotations
 
-import uuid
 from bisect import insort
 from collections import defaultdict
 from collections.abc import Callable
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 FIELDS = "seq long, source long, hash string, article string, target string, host string, mags array<string>, tokens array<string>, blocked boolean, status string"
 OUT = "seq long, rule string, offer long, status string, parent long, last_seen long, links long"
 
@@ -156,10 +157,7 @@ def replay(subs: list[dict], threshold: float = 0.6) -> list[tuple]:
 
 def _kept(df: DataFrame) -> DataFrame:
     """df as a table in the folder that the cluster shares."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/sparkloom').rstrip('/')}/replay-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "replay")
 
 
 def key_components(keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import facets, feeds, folds, hosts, mining, places, replay, resolution, upserts
@@ -521,12 +522,26 @@ def page_blocks(t, spark, sf):
     return html.blocks(t("pages"))
 
 
-@query()
+_PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_CUT = "'</?(?:p|div|h1|article|section|li|ul)(?: [^>]*)?>'"
+
+
+@query(rf"""with h as (select page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)<footer', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as h from pages),
+s as (select page_id, unnest(regexp_split_to_array(h, {_CUT})) as x, generate_subscripts(regexp_split_to_array(h, {_CUT}), 1) as i from h),
+t as (select page_id, i, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '<[^>]*>'), lambda y: trim({_PLAIN.format('y')}, E' 
+	')), lambda y: y <> ''), ' ') as text from s),
+d as (select page_id, text, min(i) as i from t where length(text) >= 30 group by 1, 2) select page_id, row_number() over (partition by page_id order by i) - 1 as pos, sha1(text) as key, text from d""")
+def block_texts(t, spark, sf):
+    return html.blocks(t("pages")).drop("links")
+
+
+@query(rf"""with l as (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as a from pages), u as (select page_id, unnest(h) as href, unnest(a) as anchor, generate_subscripts(h, 1) - 1 as pos from l)
+select page_id, pos, {_PLAIN.format('href')} as href, trim(regexp_replace({_PLAIN.format('anchor')}, '\s+', ' ', 'g')) as anchor from u""")
 def page_links(t, spark, sf):
     return html.links(t("pages"))
 
 
-@query()
+@query(rf"""select page_id, nullif(trim({_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}), '') as title, null::varchar as site_name, null::varchar as description, null::varchar as image, false as is_article, false as has_offer from pages""")
 def page_metadata(t, spark, sf):
     return html.metadata(t("pages"))
 
@@ -535,7 +550,7 @@ def page_metadata(t, spark, sf):
 
 
 def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkloom"
+    return storage.shared_folder(spark)
 
 
 @query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n from events group by 1, 2")

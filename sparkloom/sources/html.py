@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import sites
 
 # Fixed values.
-BLOCKS = frozenset({"p", "li", "article", "section", "div", "td", "h1", "h2", "h3", "h4", "blockquote"})
-OUTSIDE = frozenset({"nav", "header", "footer", "form"})
 SILENT = frozenset({"script", "style", "noscript", "template"})
-VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-SHORTEST = 30
 
 
 class PageParser(HTMLParser):
-    """Innermost block texts with their links, all links, and the page's metadata."""
+    """All links of a page, and its metadata."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.blocks: list[tuple[str, list[str]]] = []
         self.links: list[tuple[str, str]] = []
         self.meta: dict[str, str] = {}
         self.title = ""
         self._in_title = False
-        self._silent = self._outside = 0
+        self._silent = 0
         self._anchor: list[str] | None = None
+        self._html = ""
+
+    @property
+    def blocks(self) -> list[tuple[str, list[str]]]:
+        """Texts of the innermost blocks outside navigation, with their links."""
+        return list(sites.Page(self._html, "").blocks())
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = dict(attrs)
@@ -42,18 +44,8 @@ class PageParser(HTMLParser):
                 self.meta.setdefault(name.lower(), given["content"])
         elif tag == "title":
             self._in_title = True
-        elif tag == "br" and self.open:
-            self.open[-1]["text"].append(" ")
-        if tag in OUTSIDE:
-            self._outside += 1
         if tag == "a" and given.get("href"):
             self._anchor = [given["href"], ""]
-            if self.open:
-                self.open[-1]["links"].append(given["href"])
-        if tag in BLOCKS and not self._outside:
-            if self.open:
-                self.open[-1]["inner"] = True
-            self.open.append({"tag": tag, "text": [], "links": [], "inner": False})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
@@ -63,18 +55,6 @@ class PageParser(HTMLParser):
         elif tag == "a" and self._anchor:
             self.links.append((self._anchor[0], " ".join(self._anchor[1].split())))
             self._anchor = None
-        if tag in OUTSIDE:
-            self._outside = max(0, self._outside - 1)
-        if tag in BLOCKS and any(b["tag"] == tag for b in self.open):
-            while self._close() != tag:
-                pass
-
-    def _close(self) -> str:
-        block = self.open.pop()
-        text = " ".join("".join(block["text"]).split())
-        if not block["inner"] and len(text) >= SHORTEST:
-            self.blocks.append((text, block["links"]))
-        return block["tag"]
 
     def handle_data(self, data: str) -> None:
         if self._silent:
@@ -83,39 +63,20 @@ class PageParser(HTMLParser):
             self.title += data
         if self._anchor:
             self._anchor[1] += data
-        if self.open and not self._outside:
-            self.open[-1]["text"].append(data)
-
-    def close(self) -> None:
-        super().close()
-        while self.open:
-            self._close()
 
 
 def parsed(html: str | None) -> PageParser:
     """Any string can be parsed; null is an empty page."""
     parser = PageParser()
-    parser.feed(html or "")
+    parser._html = html or ""
+    parser.feed(parser._html)
     parser.close()
     return parser
 
 
 def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, key, text, links): a page's distinct innermost blocks outside navigation, in order."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, html in zip(frame["page_id"], frame["html"]):
-                seen = set()
-                for text, links in parsed(html).blocks:
-                    key = hashlib.sha1(text.encode()).hexdigest()
-                    if key not in seen:
-                        rows.append((page_id, len(seen), key, text, links))
-                        seen.add(key)
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "key", "text", "links"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos long, key string, text string, links array<string>")
+    return sites.items(pages.select("page_id", F.lit("").alias("url"), "html")).select("page_id", "pos", "key", "text", "links")
 
 
 def links(pages: DataFrame) -> DataFrame:
