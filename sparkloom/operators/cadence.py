@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def fresh(at: Column, as_of: Column, ttl: float) -> Column:
     """Whether an entry of that time is younger than ttl; a missing entry is not."""
@@ -76,9 +78,8 @@ def request_times(rows: DataFrame, key: str, order: list[Column], at: Column, de
     Request i starts at max(at, start before + delay). With D the running sum of delays that is the
     running maximum of at - D, plus D, so no history is gathered.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("_d", F.sum(F.greatest(F.lit(least), F.coalesce(delay, F.lit(0)))).over(w))
-    return summed.withColumn("start", F.max(at - F.col("_d")).over(w) + F.col("_d")).drop("_d")
+    summed = running(rows, [key], order, {"_d": ("sum", F.greatest(F.lit(least), F.coalesce(delay, F.lit(0))))})
+    return running(summed, [key], order, {"_m": ("max", at - F.col("_d"))}).withColumn("start", F.col("_m") + F.col("_d")).drop("_d", "_m")
 
 
 def next_pass(now: Column, last_passive: Column, interval: float, hard_factor: float, searchable: Column, wait: Column, most_sleep: float, pause: float, least_pause: float = 5.0) -> Column:

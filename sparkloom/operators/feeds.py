@@ -7,14 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, running
+
+#: Words of an axis that may be broadcast.
+AXIS_WORDS = 100_000
+
 
 def grid(*axes: DataFrame) -> DataFrame:
-    """Every phrase of one word from each axis (pos, word), the last axis fastest, repeats ignoring case left out; (pos, phrase)."""
+    """Every phrase of one word from each axis (pos, word), the last axis fastest, repeats ignoring case left out; (pos, phrase).
+
+    An axis is a vocabulary of at most AXIS_WORDS words, the first one of any number.
+    """
+    for axis in axes[1:]:
+        if axis.limit(AXIS_WORDS + 1).count() > AXIS_WORDS:
+            raise ValueError(f"an axis of a grid has more than {AXIS_WORDS} words")
     named = [a.select(F.col("pos").alias(f"p{i}"), F.col("word").alias(f"w{i}")) for i, a in enumerate(axes)]
     all_ = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), named)  # axes are vocabularies
     place, phrase = F.struct(*(f"p{i}" for i in range(len(axes)))), F.concat_ws(" ", *(f"w{i}" for i in range(len(axes))))
     first = all_.groupBy(F.lower(phrase).alias("key")).agg(F.min(F.struct(place.alias("place"), phrase.alias("phrase"))).alias("x"))
-    return first.select((F.row_number().over(Window.orderBy("x.place")) - 1).alias("pos"), "x.phrase")
+    return numbered(first.select("x.place", "x.phrase"), ["place"]).select("pos", "phrase")
 
 
 def rotation(rows: DataFrame, position: str, size: int, cursor: int, n: int) -> DataFrame:
@@ -37,8 +48,8 @@ def top(rows: DataFrame, eligible: Column, order: list[Column], n: int, known: D
 
 def budget_prefix(rows: DataFrame, group: list[str], order: list[Column], eligible: Column, budget: int) -> DataFrame:
     """Per group the leading rows up to the one that uses up the budget of eligible rows."""
-    used = F.sum(eligible.cast("int")).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_used", F.coalesce(used, F.lit(0))).filter(F.col("_used") < budget).drop("_used")
+    used = running(rows, group, order, {"_used": ("sum", eligible.cast("int"))}, inclusive=False)
+    return used.filter(F.coalesce("_used", F.lit(0)) < budget).drop("_used")
 
 
 def mode_by(rows: DataFrame, group: str, value: str, position: str, least: int = 1) -> DataFrame:
@@ -49,8 +60,7 @@ def mode_by(rows: DataFrame, group: str, value: str, position: str, least: int =
 
 def retain_bytes(rows: DataFrame, group: list[str], newest_first: list[Column], size: Column, most: int) -> DataFrame:
     """Per group the newest rows whose sizes add up to at most `most`, and the newest in any case."""
-    order = Window.partitionBy(*group).orderBy(*newest_first)
-    kept = rows.withColumn("_sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(order))
+    kept = running(rows, group, newest_first, {"_sum": ("sum", size), "_rn": ("count", F.lit(1))})
     return kept.filter((F.col("_sum") <= most) | (F.col("_rn") == 1)).drop("_sum", "_rn")
 
 
