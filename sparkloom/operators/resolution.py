@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,22 +55,30 @@ def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitu
 def leader_clusters(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, decided: str, threshold: float = 0.6) -> DataFrame:
     """(dup_id, keep_id): undecided items that repeat an earlier leader of their host; an item that does not is a leader.
 
-    The result of one item decides the next, so a host is walked in key order by one task.
+    The result of one item decides the next, so a host is walked in key order by one
+    task. Leaders are found by their rarest tokens (prefix filter), not one by one.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        texts = [frozenset(t) for t in rows[tokens]]
+        seen = Counter(w for t in texts for w in t)
+        found: dict[str, list[int]] = defaultdict(list)
         leaders, out = [], []
-        for _, r in rows.sort_values(key).iterrows():
-            text, mags = set(r[tokens]), set(r[magnitudes])
+        for item, text, mags, settled in zip(rows[key], texts, map(frozenset, rows[magnitudes]), rows[decided]):
+            rare = sorted(text, key=lambda w: (seen[w], w))[: len(text) - math.ceil(threshold * len(text) - 1e-9) + 1]
             match = None
-            for leader, other, theirs in leaders if mags else ():
-                if mags <= theirs and text and other and len(text & other) >= threshold * len(text | other):
+            for i in sorted({i for w in rare for i in found[w]}) if mags else ():
+                leader, other, theirs = leaders[i]
+                if mags <= theirs and len(text & other) >= threshold * len(text | other):
                     match = leader
                     break
-            if match is not None and not r[decided]:
-                out.append((r[key], match))
+            if match is not None and not settled:
+                out.append((item, match))
             elif mags:
-                leaders.append((r[key], text, mags))
+                for w in rare:
+                    found[w].append(len(leaders))
+                leaders.append((item, text, mags))
         return pd.DataFrame(out, columns=["dup_id", "keep_id"], dtype="int64")
 
     return items.select(host, key, tokens, magnitudes, decided).groupBy(host).applyInPandas(walk, "dup_id long, keep_id long")

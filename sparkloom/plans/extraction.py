@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import display, offers
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import extraction, feeds, publishing
+from ..operators import extraction, publishing, replay
 from ..sources import sites
 from .queries import _HOST, query
 
@@ -336,6 +336,32 @@ def reactivated_sources(t, spark, sf):
     return publishing.reactivated(now, t("orders").filter("o_orderstatus = 'P'").select(c("o_custkey").alias("c_custkey")), c("c_custkey"), "active")
 
 
+#: Ten submissions of a site, k the last digit: source, hash, page, target, magnitudes, tokens, blocked, status;
+#: and what is expected: rule, offer (a k), and of an offer that it makes status, parent, last seen and links.
+_SUBMISSIONS = [
+    ("1", "h0", "/p0", "t0", "percent:10", "a b c", "", "published", "given", 0, "published", None, 8, 2), ("1", "h0", "/p1", "t1", "percent:10", "a b c", "", None, "same_content", 0, None, None, None, None),
+    ("1", "h2", "/p0", "t2", "percent:20", "d", "", None, "changed_page", 2, "pending", 0, 2, 1), ("1", "h3", "/p0", "t3", "percent:30", "e", "", None, "changed_page", 2, None, None, None, None),
+    ("2", "h4", "/p4", "t4", "fixed:5", "x y z", "", None, "new", 4, "pending", None, 4, 1), ("2", "h5", "/p4", "t5", "fixed:6", "q", "", None, "pending_page", 4, None, None, None, None),
+    (None, "h6", "/p4", "t6", "percent:10", "a b c", "", None, "same_promo", 0, None, None, None, None), ("3", "h7", "", "t7", "percent:10", "n", "", None, "front_page", 0, None, None, None, None),
+    ("4", "h8", "/p8", "t0", "free", "m", "", None, "same_target", 0, None, None, None, None), ("5", "h9", "/p9", "t9", "fixed:7", "b", "yes", None, "new", 9, "rejected", None, 9, 1),
+]
+_EXPECTED = ", ".join(f"({k}, '{x[8]}', {x[9]}, {repr(x[10]) if x[10] else 'null'}, {', '.join('null' if v is None else str(v) for v in x[11:])})" for k, x in enumerate(_SUBMISSIONS))
+
+
+@query(f"""with v(k, rule, offer, status, parent, seen, links) as (values {_EXPECTED}), c as (select c_custkey - 1 as n, (c_custkey - 1) // 10 * 10 as g from customer)
+select n as seq, rule, (g + offer)::bigint as offer, status, (g + parent)::bigint as parent, (g + seen)::bigint as last_seen, links::bigint as links from c join v on n % 10 = k""")
+def submission_replay_sites(t, spark, sf):
+    names = ["source", "hash", "page", "target", "mags", "tokens", "blocked", "status"]
+    rows = _by_rule(t("customer").select((c("c_custkey") - 1).alias("n")), "n", names, [x[:8] for x in _SUBMISSIONS])
+    g = F.floor(c("n") / 10).cast("string")
+    own = lambda name: F.concat(lit("s"), g, lit("."), name)
+    words = lambda name: F.split(name, " ")
+    return replay.resolve(rows.select(
+        c("n").alias("seq"), (c("source").cast("long") + F.floor(c("n") / 10) * 10).alias("source"), own(c("hash")).alias("hash"), F.concat(lit("s"), g, c("page")).alias("article"), own(c("target")).alias("target"), F.concat(lit("s"), g).alias("host"),
+        words("mags").alias("mags"), words("tokens").alias("tokens"), (c("blocked") != "").alias("blocked"), "status",
+    ))
+
+
 # ---- for readers ----
 
 

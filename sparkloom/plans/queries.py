@@ -348,7 +348,14 @@ def submission_replay(t, spark, sf):
     return replay.resolve(subs)
 
 
-@query()
+@query(f"""with recursive {_ITEMS},
+p as (select b.doc_id, list(a.doc_id) as near from i a join i b on a.source = b.source and a.doc_id < b.doc_id and list_has_all(a.m, b.m) and len(a.t) > 0 and len(b.t) > 0
+  and len(list_intersect(a.t, b.t)) >= 0.6 * len(list_distinct(list_concat(a.t, b.t))) group by 1),
+o as (select source, doc_id, coalesce(near, []) as near, doc_id % 4 = 0 as decided, row_number() over (partition by source order by doc_id) as rn from i left join p using (doc_id)),
+f as (select source, 0::bigint as rn, []::bigint[] as leaders, null::bigint as dup, null::bigint as keep from (select distinct source from o)
+  union all select source, rn, case when match is not null and not decided then leaders else list_append(leaders, doc_id) end, case when match is not null and not decided then doc_id end, match
+  from (select o.source, o.rn, f.leaders, o.doc_id, o.decided, list_filter(f.leaders, lambda l: list_contains(o.near, l))[1] as match from f join o on o.source = f.source and o.rn = f.rn + 1))
+select dup as dup_id, keep as keep_id from f where dup is not null""")
 def leader_clusters(t, spark, sf):
     return resolution.leader_clusters(_items(t).withColumn("decided", c("doc_id") % 4 == 0), "source", "doc_id", "t", "m", "decided")
 
@@ -529,7 +536,8 @@ _CUT = "'</?(?:p|div|h1|article|section|li|ul)(?: [^>]*)?>'"
 @query(rf"""with h as (select page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)<footer', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as h from pages),
 s as (select page_id, unnest(regexp_split_to_array(h, {_CUT})) as x, generate_subscripts(regexp_split_to_array(h, {_CUT}), 1) as i from h),
 t as (select page_id, i, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '<[^>]*>'), lambda y: trim({_PLAIN.format('y')}, E' 
-	')), lambda y: y <> ''), ' ') as text from s),
+	
+')), lambda y: y <> ''), ' ') as text from s),
 d as (select page_id, text, min(i) as i from t where length(text) >= 30 group by 1, 2) select page_id, row_number() over (partition by page_id order by i) - 1 as pos, sha1(text) as key, text from d""")
 def block_texts(t, spark, sf):
     return html.blocks(t("pages")).drop("links")
