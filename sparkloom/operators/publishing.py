@@ -120,3 +120,101 @@ def reactivated(current: DataFrame, incoming: DataFrame, key: Column, active: st
     ours = current.withColumn("_k", key).join(theirs, "_k", "left").withColumn(active, F.col(active) | F.coalesce("_in", F.lit(False))).select(current.columns)
     new = incoming.withColumn(active, F.lit(True)).select(current.columns).withColumn("_k", key).join(current.select(key.alias("_k")).distinct(), "_k", "left_anti")
     return ours.unionByName(new.groupBy("_k").agg(F.min(F.struct(*current.columns)).alias("x")).select("x.*"))
+
+
+def suggested(suggestions: DataFrame, sources: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(type, url_or_handle, outcome) of each incoming suggestion: known where an active source has the same reference, or for websites the same host; existing where it was made before, else created."""
+    refs = sources.filter("is_active").select("type", urls.normalized_ref(F.col("url_or_handle")).alias("_ref")).distinct().withColumn("_same", F.lit(True))
+    hosts = sources.filter("is_active and type = 'website'").select(F.lit("website").alias("type"), urls.source_host(F.col("url_or_handle")).alias("_host")).distinct().withColumn("_near", F.lit(True))
+    old = suggestions.select("type", "url_or_handle").distinct().withColumn("_old", F.lit(True))
+    rows = incoming.select("type", "url_or_handle").distinct().withColumn("_ref", urls.normalized_ref(F.col("url_or_handle"))).withColumn("_host", urls.source_host(F.col("url_or_handle")))
+    both = rows.join(refs, ["type", "_ref"], "left").join(hosts, ["type", "_host"], "left").join(old, ["type", "url_or_handle"], "left")
+    return both.select("type", "url_or_handle", F.when(F.col("_same") | F.col("_near"), "known").when(F.col("_old"), "existing").otherwise("created").alias("outcome"))
+
+
+def promoted_blocks(current: DataFrame, hosts: DataFrame) -> DataFrame:
+    """current (host, status, sample) after hosts (host, sample) are blocked: approved, a row that is there keeping its sample."""
+    theirs = hosts.select(urls.bare_host(F.col("host")).alias("host"), F.col("sample").alias("_new")).filter("host <> ''").groupBy("host").agg(F.min("_new").alias("_new")).withColumn("_in", F.lit(True))
+    both = current.withColumn("_old", F.lit(True)).join(theirs, "host", "full")
+    return both.select("host", F.when(F.col("_in"), "approved").otherwise(F.col("status")).alias("status"), F.when(F.col("_old"), F.col("sample")).otherwise(F.col("_new")).alias("sample"))
+
+
+def first_crawl(sources: DataFrame, key: str, crawled: str, wanted: Column, budget: int, failed: Column, now: Column) -> DataFrame:
+    """(key, crawled, outcome) of the first wanted sources that were never crawled: all are marked, so one that fails is not tried for ever."""
+    return uncrawled(sources, key, crawled, wanted, budget).select(key, now.alias(crawled), F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise("crawled").alias("outcome"))
+
+
+def penalised(accounts: DataFrame, failures: DataFrame, name: str, as_of: Column, seconds: float) -> DataFrame:
+    """accounts (name, state, until) after failures (name, kind): login, challenge and forbidden ban an account, missing, private and absent leave it, all others make it wait."""
+    banning, harmless = ("login", "challenge", "forbidden"), ("missing", "private", "absent")
+    worst = failures.groupBy(name).agg(F.bool_or(F.col("kind").isin(*banning)).alias("_ban"), F.bool_or(~F.col("kind").isin(*banning, *harmless)).alias("_wait"))
+    both = accounts.join(worst, name, "left")
+    ban, wait = F.coalesce("_ban", F.lit(False)) | (F.col("state") == "banned"), F.coalesce("_wait", F.lit(False))
+    state = F.when(ban, "banned").when(wait, "cooldown").otherwise(F.col("state"))
+    return both.select(name, state.alias("state"), F.when(ban, None).when(wait, as_of + seconds).otherwise(F.col("until")).alias("until"))
+
+
+def dispatched(sources: DataFrame, readers: dict[str, str], kind: str = "type") -> DataFrame:
+    """sources with the reader of their type; sources of a type without one are left out."""
+    reader = F.coalesce(*(F.when(F.col(kind) == k, F.lit(v)) for k, v in readers.items()))
+    return sources.withColumn("reader", reader).filter("reader is not null")
+
+
+def category_outcome(categories: DataFrame, edits: DataFrame) -> DataFrame:
+    """(id, slug, outcome) of each edit (id or null for a new one, slug): conflict where another category has the slug, missing without such an id, else done."""
+    taken = categories.select("slug", F.col("id").alias("_owner"))
+    known = categories.select("id").withColumn("_there", F.lit(True))
+    both = edits.select("id", "slug").join(taken, "slug", "left").join(known, "id", "left")
+    outcome = F.when(F.col("id").isNotNull() & F.col("_there").isNull(), "missing").when(F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("id")), "conflict").otherwise("done")
+    return both.select("id", "slug", outcome.alias("outcome"))
+
+
+def promo_text(description: Column, labels: Column) -> Column:
+    """What identifies a promotion: its description and the labels of its discounts."""
+    return F.concat_ws(" ", F.coalesce(description, F.lit("")), F.filter(labels, lambda x: x != ""))
+
+
+def host_candidates(*values: Column) -> Column:
+    """The distinct real hosts of several values."""
+    return F.filter(F.array_distinct(F.array(*map(urls.real_host, values))), lambda h: h != "")
+
+
+def discount_rows(offers: DataFrame, key: str) -> DataFrame:
+    """(key, label, kind, value, sort_order): an offer's discounts, or one made of its own kind, or none."""
+    own = F.when(F.col("kind").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("label"), "kind", "value"))).otherwise(F.slice("discounts", 1, 0))
+    rows = F.when(F.size("discounts") > 0, F.col("discounts")).otherwise(own)
+    return offers.select(key, F.posexplode(rows).alias("sort_order", "_d")).select(key, "_d.label", "_d.kind", "_d.value", "sort_order")
+
+
+def location_rows(offers: DataFrame, key: str, locations: str) -> DataFrame:
+    """(key, pos, name): an offer's locations, trimmed, without empty ones, each once."""
+    names = F.array_distinct(F.filter(F.transform(locations, lambda x: F.trim(x)), lambda x: x != ""))
+    return offers.select(key, F.posexplode(names).alias("pos", "name"))
+
+
+def brand_sites(pois: DataFrame, least: int, most: int, blocked: DataFrame) -> DataFrame:
+    """(brand, host): each brand's most frequent host, of equals the first seen, with enough places, neither blocked nor foreign; a host goes to its first brand by name, and at most so many brands are kept."""
+    from .feeds import mode_by
+    from .hosts import not_blocked
+
+    named = pois.select(F.trim("brand").alias("brand"), urls.bare_host(F.col("website")).alias("host"), "pos").filter("brand <> '' and host <> ''")
+    best = mode_by(named, "brand", "host", "pos").filter(F.col("n") >= least).filter(~urls.is_foreign(F.col("host")))
+    first = not_blocked(best, "host", blocked).groupBy("host").agg(F.min("brand").alias("brand"))
+    return first.select("brand", "host").orderBy("brand").limit(most)
+
+
+def ranked_terms(scores: DataFrame, rejected: DataFrame, most: int) -> DataFrame:
+    """Scores (term, z, support, pass_count) without rejected terms, ignoring case, the widest supported first."""
+    gone = rejected.select(F.lower(F.trim("term")).alias("_k")).filter("_k <> ''").distinct()
+    return scores.withColumn("_k", F.lower("term")).join(gone, "_k", "left_anti").drop("_k").orderBy(F.desc("support"), F.desc("pass_count"), "term").limit(most)
+
+
+def latched(states: DataFrame, due: Column, confirmed: DataFrame, key: str, flag: str) -> DataFrame:
+    """states with the flag set where it was due and the block is confirmed; without a confirmation it is tried again."""
+    known = confirmed.select(key).distinct().withColumn("_done", F.lit(True))
+    return states.join(known, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | (due & F.coalesce("_done", F.lit(False)))).drop("_done")
+
+
+def cursor_after(cursors: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """cursors (key, cursor) after runs (key, reached, ok): a run that failed leaves its cursor."""
+    return cursors.join(runs, key, "left").select(key, F.when(F.coalesce("ok", F.lit(False)), F.col("reached")).otherwise(F.col("cursor")).alias("cursor"))

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extraction, publishing, replay
 from ..sources import sites
+from ..streaming import streams
 from .queries import _HOST, query
 
 c, lit = F.col, F.lit
@@ -488,3 +489,106 @@ def sitemap_pages(t, spark, sf):
     seeds = d.select("domain", lit(0).alias("pos"), at("/s.xml").alias("url")).unionByName(d.select("domain", lit(1).alias("pos"), at("/bad.xml").alias("url")))
     # three is the sixth document of a domain that can be read; its second page comes after enough promotional ones
     return sites.sitemap_pages(seeds, table, "domain", c("url").contains("product"), c("url").contains("promo") | c("url").contains("deep"), 50, 3)
+
+
+# ---- sources, accounts, categories ----
+
+
+@query(f"""with s as (select distinct {_HOST} as h, {_HOST} || '/' as r from pages where page_id % 3 = 0), i as (select distinct url from pages)
+select 'website' as type, url as url_or_handle, case when {_HOST} in (select h from s) then 'known' when url in (select url from pages where page_id % 3 = 1) then 'existing' else 'created' end as outcome from i""")
+def suggested_sources(t, spark, sf):
+    p = t("pages").select(lit("website").alias("type"), c("url").alias("url_or_handle"), "page_id")
+    return publishing.suggested(p.filter("page_id % 3 = 1"), p.filter("page_id % 3 = 0").withColumn("is_active", lit(True)), p)
+
+
+@query(f"""with n as (select {_HOST} as host, min(url) as sample from pages where page_id % 2 = 0 group by 1), o as (select distinct {_HOST} as host from pages where page_id % 3 = 0)
+select coalesce(o.host, n.host) as host, case when n.host is not null then 'approved' else 'pending' end as status, case when o.host is not null then 'old' else n.sample end as sample from o full join n on o.host = n.host""")
+def promoted_blocks(t, spark, sf):
+    p = t("pages")
+    now = p.filter("page_id % 3 = 0").select(U.source_host(c("url")).alias("host")).distinct().select("host", lit("pending").alias("status"), lit("old").alias("sample"))
+    return publishing.promoted_blocks(now, p.filter("page_id % 2 = 0").select(c("url").alias("host"), c("url").alias("sample")))
+
+
+@query("select o_orderkey, timestamp '2020-01-01' as crawled, case when o_orderkey % 3 = 0 then 'failed' else 'crawled' end as outcome from orders where o_orderstatus = 'F' and o_custkey % 4 = 0 order by o_orderkey limit 25")
+def first_crawl(t, spark, sf):
+    rows = t("orders").select("o_orderkey", "o_orderstatus", F.when(c("o_custkey") % 4 != 0, c("o_orderdate")).alias("crawled"))
+    return publishing.first_crawl(rows, "o_orderkey", "crawled", c("o_orderstatus") == "F", 25, c("o_orderkey") % 3 == 0, lit("2020-01-01").cast("timestamp_ntz"))
+
+
+@query("""with f as (select user_id, bool_or(event_type = 'error') as ban, bool_or(event_type in ('purchase', 'signup')) as wait from events group by 1), a as (select c_custkey as user_id, case when c_custkey % 7 = 0 then 'banned' else 'active' end as state from customer)
+select user_id, case when ban or state = 'banned' then 'banned' when wait then 'cooldown' else state end as state, case when coalesce(ban, false) or state = 'banned' then null when wait then 1600.0 end::double as until from a left join f using (user_id)""")
+def penalised_accounts(t, spark, sf):
+    kind = F.when(c("event_type") == "error", "forbidden").when(c("event_type").isin("purchase", "signup"), "timeout").when(c("event_type") == "view", "missing").otherwise("absent")
+    accounts = t("customer").select(c("c_custkey").alias("user_id"), F.when(c("c_custkey") % 7 == 0, "banned").otherwise("active").alias("state"), lit(None).cast("double").alias("until"))
+    return publishing.penalised(accounts, t("events").select("user_id", kind.alias("kind")), "user_id", lit(1000.0), 600.0)
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 'pages' else 'posts' end as reader from orders where o_orderstatus in ('F', 'O')")
+def dispatched_sources(t, spark, sf):
+    return publishing.dispatched(t("orders").select("o_orderkey", c("o_orderstatus").alias("type")), {"F": "pages", "O": "posts"}).select("o_orderkey", "reader")
+
+
+@query("""with k as (select p_partkey as id, p_name || p_partkey as slug from part where p_partkey % 2 = 0), e as (select case when p_partkey % 5 = 0 then null else p_partkey end as id, case when p_partkey % 3 = 0 then p_name || p_partkey else 'new' || p_partkey end as slug from part)
+select e.id, e.slug, case when e.id is not null and e.id not in (select id from k) then 'missing' when k.id is not null and k.id is distinct from e.id then 'conflict' else 'done' end as outcome from e left join k on k.slug = e.slug""")
+def category_edits(t, spark, sf):
+    own = F.concat("p_name", c("p_partkey").cast("string"))
+    known = t("part").filter("p_partkey % 2 = 0").select(c("p_partkey").alias("id"), own.alias("slug"))
+    edits = t("part").select(F.when(c("p_partkey") % 5 != 0, c("p_partkey")).alias("id"), F.when(c("p_partkey") % 3 == 0, own).otherwise(F.concat(lit("new"), c("p_partkey").cast("string"))).alias("slug"))
+    return publishing.category_outcome(known, edits)
+
+
+@query(f"""select page_id, 'text ' || page_id || case when page_id % 2 = 0 then ' a b' else ' b' end as promo, array_to_string(list_distinct(list_filter([{_HOST}, case when page_id % 3 = 0 then 'own.ua' else '' end], lambda x: x <> '')), ',') as hosts from pages where page_id % 3 <> 0
+union all select page_id, 'text ' || page_id || case when page_id % 2 = 0 then ' a b' else ' b' end, {_HOST} || ',own.ua' from pages where page_id % 3 = 0""")
+def offer_identities(t, spark, sf):
+    n = c("page_id")
+    labels = F.when(n % 2 == 0, F.array(lit("a"), lit(None), lit("b"))).otherwise(F.array(lit(""), lit("b")))
+    hosts = publishing.host_candidates(c("url"), F.when(n % 3 == 0, "https://own.ua/x").otherwise(c("url")), lit("Biz"))
+    return t("pages").select("page_id", publishing.promo_text(F.concat(lit("text "), n.cast("string")), labels).alias("promo"), F.array_join(hosts, ",").alias("hosts"))
+
+
+@query("""with o as (select o_orderkey, case when o_custkey % 3 = 0 then null else 'percent' end as kind, o_custkey % 2 = 0 as listed from orders)
+select o_orderkey, null::varchar as label, kind, '5' as value, 0 as sort_order from o where not listed and kind is not null
+union all select o_orderkey, 'L' || i, 'fixed', i::varchar, i::int from o, range(0, 2) as r(i) where listed""")
+def discount_rows(t, spark, sf):
+    one = lambda i: F.struct(lit(f"L{i}").alias("label"), lit("fixed").alias("kind"), lit(str(i)).alias("value"))
+    many = F.array(one(0), one(1))
+    o = t("orders").select("o_orderkey", F.when(c("o_custkey") % 3 != 0, "percent").alias("kind"), lit("5").alias("value"), F.when(c("o_custkey") % 2 == 0, many).otherwise(F.slice(many, 1, 0)).alias("discounts"))
+    return publishing.discount_rows(o, "o_orderkey")
+
+
+@query("select c_custkey, 0 as pos, c_mktsegment as name from customer union all select c_custkey, 1, 'Kyiv' from customer where c_custkey % 2 = 0")
+def location_rows(t, spark, sf):
+    names = F.array(F.concat(lit(" "), c("c_mktsegment")), lit(" "), F.when(c("c_custkey") % 2 == 0, "Kyiv"), c("c_mktsegment"))
+    return publishing.location_rows(t("customer").select("c_custkey", names.alias("l")), "c_custkey", "l")
+
+
+@query("""with p as (select l_orderkey % 400 as b, l_suppkey % 37 as h, min(l_orderkey * 1000000 + l_partkey) as first, count(*) as n from lineitem group by 1, 2),
+m as (select 'b' || b as brand, 'h' || h || case when h % 5 = 0 then '.de' else '.ua' end as host, n, row_number() over (partition by b order by n desc, first, h) as rn from p),
+f as (select host, min(brand) as brand from m where rn = 1 and n >= 3 and host not like '%.de' and host not in ('h3.ua') group by 1) select brand, host from f order by brand limit 20""")
+def brand_sites(t, spark, sf):
+    h = c("l_suppkey") % 37
+    host = F.concat(lit("https://www.h"), h.cast("string"), F.when(h % 5 == 0, ".de").otherwise(".ua"))
+    pois = t("lineitem").select(F.concat(lit(" b"), (c("l_orderkey") % 400).cast("string")).alias("brand"), host.alias("website"), (c("l_orderkey") * 1000000 + c("l_partkey")).alias("pos"))
+    return publishing.brand_sites(pois, 3, 20, spark.createDataFrame([("h3.ua",)], "host string"))
+
+
+@query("""select 'T' || l_partkey as term, count(distinct l_suppkey) as support, count(*) as pass_count from lineitem where 't' || l_partkey not in (select 't' || p_partkey from part where p_size < 10) group by 1 order by 2 desc, 3 desc, 1 limit 30""")
+def ranked_terms(t, spark, sf):
+    scores = t("lineitem").groupBy(F.concat(lit("T"), c("l_partkey").cast("string")).alias("term")).agg(F.count_distinct("l_suppkey").alias("support"), F.count(lit(1)).alias("pass_count"))
+    return publishing.ranked_terms(scores, t("part").filter("p_size < 10").select(F.concat(lit(" t"), c("p_partkey").cast("string")).alias("term")), 30)
+
+
+@query("""with e as (select user_id, bool_or(event_type = 'error') as bad, max(event_id) as reached, count(*) as n from events group by 1)
+select c_custkey, coalesce(n >= 60 and c_custkey % 2 = 0, false) as media_blocked, case when not bad then reached else c_custkey end as cursor from customer left join e on user_id = c_custkey""")
+def confirmed_states(t, spark, sf):
+    runs = t("events").groupBy(c("user_id").alias("c_custkey")).agg((~F.bool_or(c("event_type") == "error")).alias("ok"), F.max("event_id").alias("reached"), F.count(lit(1)).alias("n"))
+    states = t("customer").select("c_custkey", lit(False).alias("media_blocked")).join(runs.select("c_custkey", "n"), "c_custkey", "left")
+    held = publishing.latched(states, F.coalesce(c("n") >= 60, lit(False)), t("customer").filter("c_custkey % 2 = 0"), "c_custkey", "media_blocked").drop("n")
+    return held.join(publishing.cursor_after(t("customer").select("c_custkey", c("c_custkey").alias("cursor")), runs.select("c_custkey", "reached", "ok"), "c_custkey"), "c_custkey")
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from e)
+select user_id, min(ts) as start, count(*) as n from g group by user_id, s""")
+def session_windows(t, spark, sf):
+    events = t("events").withColumn("ts", c("ts").cast("timestamp"))
+    return streams.session_counts(events, "ts", "12 hours", "user_id").withColumn("start", c("start").cast("timestamp_ntz"))
