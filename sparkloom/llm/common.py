@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, shared_folder
+
+__all__ = ["by_place", "documents", "few", "join_counted", "made", "places", "release", "scanned", "session", "shared_folder", "unused", "written"]
+
 #: Python workers give large freed blocks back to the system at once, so that an idle worker holds little.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
 #: Rows of a few narrow columns that may be broadcast.
@@ -28,22 +31,11 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, one of this machine, if that is the whole cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "/tmp/checkpoints/sparkloom"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 _made: list[str] = []
 
 
 def _new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    _made.append(new_path(spark, name))
     return _made[-1]
 
 

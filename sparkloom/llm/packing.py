@@ -22,7 +22,7 @@ from . import tokenizer as K
 
 WIDTH = 2048
 SHARD_TOKENS = 2_000_000
-#: Ends every document and fills rows; the id is free in the vocabulary.
+#: Ends every document and fills rows: the first id that is free in the default vocabulary. Others have one of their own, see Encoder.
 END = 50_256
 #: Ids kept before the table of pieces is dropped and built again.
 MOST_IDS = 4_000_000
@@ -37,17 +37,20 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        #: The id that ends documents, and the type that holds all ids.
+        self.end = max(ranks.values()) + 1
+        self.type = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.ids, self.used = K.PieceCache(), np.zeros(1 << 20, np.uint16), 0
+        self.known, self.ids, self.used = K.PieceCache(), np.zeros(1 << 20, self.type), 0
 
     def _learn(self, found: K.Pieces, new: np.ndarray) -> np.ndarray:
         """Where the ids of the pieces new begin, and how many they are, as one number a piece."""
         each = [self.library._encode_single_piece(found.data[a : a + n].tobytes()) for a, n in zip(found.starts[new].tolist(), found.size[new].tolist())]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for x in each for i in x), np.uint16, int(sizes.sum()))
+        flat = np.fromiter((i for x in each for i in x), self.type, int(sizes.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -131,12 +134,12 @@ def best_fit_decreasing(sizes: list[int], width: int) -> list[list[int]]:
 SCHEMA = "shard long, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 
 
-def pack_shard(shard: int, doc_ids: list, texts: list[np.ndarray], width: int) -> pa.RecordBatch:
+def pack_shard(shard: int, doc_ids: list, texts: list[np.ndarray], width: int, end_id: int = END, type_: np.dtype | str = "<u2") -> pa.RecordBatch:
     pieces = [(d, o, min(width, len(t) - o)) for d, t in enumerate(texts) for o in range(0, len(t), width)]
     out: dict[str, list] = {k: [] for k in ("shard", "row", "ids", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_offsets")}
     for row, held in enumerate(best_fit_decreasing([n for _, _, n in pieces], width)):
         held = [pieces[i] for i in held]
-        ids = np.full(width, END, "<u2")
+        ids = np.full(width, end_id, type_)
         ends = np.cumsum([n for _, _, n in held]).tolist()
         for (d, o, n), end in zip(held, ends):
             ids[end - n : end] = texts[d][o : o + n]
@@ -150,12 +153,15 @@ def pack_shard(shard: int, doc_ids: list, texts: list[np.ndarray], width: int) -
 def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each row of the packed id matrices.
 
-    ids has width little-endian 16-bit ids, filled up with END after n_tokens;
+    ids has width little-endian ids, of 16 bits or, if the vocabulary has more, 32, filled
+    up after n_tokens with the id behind the vocabulary, which also ends documents;
     segment i is ids[cu_seqlens[i]:cu_seqlens[i + 1]], the document doc_ids[i] from
     its id number doc_offsets[i] on; positions count from 0 again at every entry of
-    position_resets. Every document ends with END, so an empty or null text is one
-    id. A null doc_id stays null in doc_ids; rows that repeat are packed each.
-    Other columns of docs are not read; an empty table gives no rows.
+    position_resets. Every document ends with one, so an empty or null text is one
+    id. A null doc_id stays null in doc_ids, which are integers; rows that repeat are
+    packed each, texts of any length whole. Shards are cut task by task, so another
+    split of the files packs the same documents into other rows. Other columns of docs
+    are not read; an empty table gives no rows.
     """
     if path is None:
         import public_tokenizers
@@ -166,20 +172,44 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, shard_tok
         from pyspark import TaskContext
 
         shard, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        end = np.array([END], np.uint16)
+        own = encoder(path)
+        end = np.array([own.end], own.type)
         for batch in batches:
             data, off = T.flat(batch.column(1))
             names = batch.column(0).to_pylist()
             for a, b in T.slices(off):
-                tokens, first = encoder(path).encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                tokens, first = own.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 for i, x, y in zip(range(a, b), first[:-1].tolist(), first[1:].tolist()):
                     ids.append(names[i])
                     texts.append(np.concatenate([tokens[x:y], end]))
                     held += y - x + 1
                     if held >= shard_tokens:
-                        yield pack_shard(shard, ids, texts, width)
+                        yield pack_shard(shard, ids, texts, width, own.end, own.type)
                         shard, ids, texts, held = shard + 1, [], [], 0
         if ids:
-            yield pack_shard(shard, ids, texts, width)
+            yield pack_shard(shard, ids, texts, width, own.end, own.type)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+
+
+MATRIX = "shard long, n_rows int, width int, matrix binary, row_starts array<int>, cu_seqlens array<int>, position_resets array<int>"
+
+
+def matrices(packed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row for each shard of pack(): matrix is n_rows * width ids, row after row; the others are those of all rows, counted from its first id.
+
+    row_starts says where in cu_seqlens the segments of each row begin. A shard is at most
+    SHARD_TOKENS ids and one document, so a matrix is a value of a few megabytes. An
+    empty table gives no rows.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("row").to_pylist()
+        starts = np.cumsum([0, *(len(r["position_resets"]) for r in rows)])
+        ends = [i * width + e for i, r in enumerate(rows) for e in r["cu_seqlens"][1:]]
+        resets = [i * width + e for i, r in enumerate(rows) for e in r["position_resets"]]
+        values = ([key[0].as_py()], [len(rows)], [width], [b"".join(r["ids"] for r in rows)], [starts.tolist()], [[0, *ends]], [resets])
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 3)
+        return pa.table([pa.array(v, t) for v, t in zip(values, types)], [part.split()[0] for part in MATRIX.split(", ")])
+
+    return packed.select("shard", "row", "ids", "cu_seqlens", "position_resets").groupBy("shard").applyInArrow(run, MATRIX)

@@ -686,3 +686,24 @@ def test_tables_are_released(spark):
     assert common.made() == began + 1 and last.count() == 3
     with pytest.raises(Exception):
         first.count()
+
+
+def test_packed_matrices(spark, docs):
+    packed = packing.pack(table(spark, docs), width=64, shard_tokens=3000)
+    rows = {(r.shard, r.row): r for r in packed.collect()}
+    found = packing.matrices(packed, 64).collect()
+    assert sum(m.n_rows for m in found) == len(rows) and len(found) > 1 and packing.matrices(packed.limit(0), 64).count() == 0
+    for m in found:
+        ids = np.frombuffer(m.matrix, "<u2")
+        assert ids.size == m.n_rows * 64 and len(m.position_resets) == m.row_starts[-1] == len(m.cu_seqlens) - 1
+        for i in range(m.n_rows):
+            r = rows[m.shard, i]
+            assert ids[i * 64 : (i + 1) * 64].tobytes() == r.ids
+            mine = slice(m.row_starts[i], m.row_starts[i + 1])
+            assert [x - i * 64 for x in m.position_resets[mine]] == r.position_resets and [x - i * 64 for x in m.cu_seqlens[1:][mine]] == r.cu_seqlens[1:]
+
+
+def test_an_encoder_ends_documents_behind_its_vocabulary():
+    import public_tokenizers
+
+    assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).end == packing.END
