@@ -44,9 +44,11 @@ def ratios(pages: DataFrame, host: str, is_article: Column, outbound: Column, an
 
 
 def _blocked_hosts(rows: DataFrame, host: str, blocked: DataFrame, blocked_host: str) -> DataFrame:
-    """(host): the rows' hosts that are a blocked host or a subdomain of one."""
+    """(host): the rows' hosts that are a blocked or always blocked host or a subdomain of one."""
     hosts = rows.select(host).distinct().withColumn("_suffix", F.explode(urls.host_suffixes(F.col(host))))
-    return hosts.join(blocked.select(F.col(blocked_host).alias("_suffix")), "_suffix", "left_semi").select(host).distinct()
+    always = F.col("_suffix").isin(*urls.ALWAYS_BLOCKED)
+    listed = hosts.join(blocked.select(F.col(blocked_host).alias("_suffix")), "_suffix", "left_semi").unionByName(hosts.filter(always).select("_suffix", host))
+    return listed.select(host).distinct()
 
 
 def not_blocked(rows: DataFrame, host: str, blocked: DataFrame, blocked_host: str = "host") -> DataFrame:

@@ -218,3 +218,17 @@ def latched(states: DataFrame, due: Column, confirmed: DataFrame, key: str, flag
 def cursor_after(cursors: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """cursors (key, cursor) after runs (key, reached, ok): a run that failed leaves its cursor."""
     return cursors.join(runs, key, "left").select(key, F.when(F.coalesce("ok", F.lit(False)), F.col("reached")).otherwise(F.col("cursor")).alias("cursor"))
+
+
+def edited(offers: DataFrame, edits: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """offers after edits (key, and for each column c, c and set_c), identities of changed addresses computed anew, with errors, what is wrong with them."""
+    from .provenance import errors
+    from .upserts import patch
+
+    after = patch(offers, edits, key, columns)
+    given = edits.select(key, *(F.col(f"set_{c}").alias(f"_set_{c}") for c in ("target_url", "article_url")))
+    both = after.join(given, key, "left")
+    anew = lambda c: F.when(F.coalesce(F.col(f"_set_{c}"), F.lit(False)), urls.canonical_target(F.col(c))).otherwise(F.col(f"{c}_canonical")).alias(f"{c}_canonical")
+    wrong = errors(F.col("valid_from"), F.col("valid_until"), F.col("kind"), F.col("value"))
+    out = [anew(c[: -len("_canonical")]) if c in ("target_url_canonical", "article_url_canonical") else F.col(c) for c in offers.columns]
+    return both.select(*out, wrong.alias("errors"))

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import display, offers
+from .. import storage
+from ..functions import display, offers, targets
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import extraction, publishing, replay
-from ..sources import sites
+from ..operators import extraction, publishing, replay, walks
+from ..sources import files, sites
 from ..streaming import streams
 from .queries import _HOST, query
 
@@ -592,3 +593,65 @@ select user_id, min(ts) as start, count(*) as n from g group by user_id, s""")
 def session_windows(t, spark, sf):
     events = t("events").withColumn("ts", c("ts").cast("timestamp"))
     return streams.session_counts(events, "ts", "12 hours", "user_id").withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+# ---- walks and states ----
+
+_TARGETS = [
+    ("https://a.ua/promo/{n}", "", "true", "true", "true"), ("https://a.ua/atraktsi/{n}", "", "false", "false", "false"), ("https://a.ua/x-akcii-{n}", "", "true", "true", "true"), ("https://a.ua/about", "", "false", "true", "true"),
+    ("https://a.ua/", "", "false", "false", "true"), ("https://a.ua", "x", "false", "false", "true"), ("https://a.ua/blog/promo/{n}", "знижки", "true", "false", "false"), ("https://a.ua/x{n}", "Про нас", "false", "true", "false"),
+    ("https://a.ua/%D0%B7%D0%BD%D0%B8%D0%B6%D0%BA%D0%B8/{n}", "", "true", "true", "true"), ("https://a.ua/ru/promo", "", "true", "false", "false"), ("https://a.ua/x?promo={n}", None, "false", "false", "false"),
+]
+
+
+@query(f"select page_id, promo = 'true' as promo, target = 'true' as target, seed = 'true' as seed from ({_rule_sql('pages', 'page_id', ['promo', 'target', 'seed'], [x[2:] for x in _TARGETS])})")
+def target_pages(t, spark, sf):
+    rows = _by_rule(t("pages"), "page_id", ["url", "anchor"], [x[:2] for x in _TARGETS])
+    return rows.select("page_id", targets.is_promo(c("url")).alias("promo"), targets.is_target(c("url"), c("anchor")).alias("target"), targets.is_seed(c("url")).alias("seed"))
+
+
+#: page, position, link, anchor of a site; {d} is its domain.
+_SITE = [("/", 0, "/x", ""), ("/", 1, "/promo", ""), ("/", 2, "/blog/promo", ""), ("/", 3, "/minsk/offers", ""), ("/", 4, "/y", ""), ("/x", 0, "/about", ""), ("/x", 1, "/z", ""), ("/x", 2, "/en/promo", ""), ("/y", 0, "/w", "Знижки"), ("/z", 0, "/offers-deep", ""), ("/promo", 0, "/deals", "")]
+
+
+def _walk(t):
+    sites_ = t("supplier").select(F.concat(lit("d"), c("s_suppkey").cast("string"), lit(".com")).alias("domain"))
+    at = lambda path: F.concat(lit("https://"), c("domain"), path)
+    edges = t("supplier").sparkSession.createDataFrame(_SITE, "page string, pos long, to string, anchor string")
+    links = sites_.crossJoin(F.broadcast(edges)).select(at(c("page")).alias("page"), "pos", at(c("to")).alias("url"), "anchor")
+    return sites_.select("domain", at(lit("/")).alias("url")), links
+
+
+@query("""select 'd' || s_suppkey || '.com' as domain, place::bigint as place, 'https://d' || s_suppkey || '.com' || u as url from supplier, (values (1, '/promo'), (2, '/about'), (3, '/en/promo'), (4, '/w')) as v(place, u)""")
+def reached_targets(t, spark, sf):
+    homes, links = _walk(t)
+    return walks.reached(homes, links, "domain")
+
+
+@query("""select 'd' || s_suppkey || '.com' as domain, place::bigint as place, 'https://d' || s_suppkey || '.com' || u as url from supplier, (values (1, '/'), (2, '/promo'), (3, '/w')) as v(place, u)""")
+def walk_plan(t, spark, sf):
+    homes, links = _walk(t)
+    denied = homes.select("domain", F.concat(lit("https://"), "domain", lit("/about")).alias("url"), lit(False).alias("allowed"))
+    return walks.plan(homes, walks.reached(homes, links, "domain"), "domain", denied, 3)
+
+
+@query("""with o as (select o_orderkey, o_custkey % 2 = 0 as edited from orders)
+select o_orderkey, 'https://www.a.ua/' || case when edited then 'new' else 'old' end || '?utm_source=x' as target_url, case when edited then 'a.ua/new' else 'a.ua/old' end as target_url_canonical, 'kept' as article_url_canonical,
+  case when edited and o_orderkey % 3 = 0 then 'value_missing' when o_orderkey % 3 <> 0 then '' else 'value_missing' end as errors from o""")
+def edited_offers(t, spark, sf):
+    day, none = lit("2020-01-01").cast("date"), lit(None).cast("string")
+    url = lambda x: lit(f"https://www.a.ua/{x}?utm_source=x")
+    o = t("orders").select("o_orderkey", "o_custkey", url("old").alias("target_url"), lit("a.ua/old").alias("target_url_canonical"), url("old").alias("article_url"), lit("kept").alias("article_url_canonical"), day.alias("valid_from"), day.alias("valid_until"), F.when(c("o_orderkey") % 3 == 0, "percent").otherwise("free").alias("kind"), none.alias("value"))
+    edits = o.filter("o_custkey % 2 = 0").select("o_orderkey", url("new").alias("target_url"), lit(True).alias("set_target_url"), none.alias("article_url"), lit(False).alias("set_article_url"))
+    return publishing.edited(o.drop("o_custkey"), edits, "o_orderkey", ["target_url", "article_url"]).select("o_orderkey", "target_url", "target_url_canonical", "article_url_canonical", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""select c_custkey, case when c_custkey % 2 = 0 then c_name else 'none' end as name, 5::bigint as score from customer""")
+def saved_state(t, spark, sf):
+    path = storage.new_path(spark, "state")
+    rows = t("customer").select("c_custkey", F.when(c("c_custkey") % 2 == 0, c("c_name")).alias("name"))
+    schema, defaults = "c_custkey long, name string, score long", {"name": "none", "score": 5}
+    missing = files.json_lines(spark, path, schema, defaults)
+    for part in (rows.limit(1), rows):
+        files.save_state(part, path)
+    return files.json_lines(spark, path, schema, defaults).unionByName(missing)

@@ -13,9 +13,12 @@ from pyspark.sql.types import StructType
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, defaults: dict | None = None) -> DataFrame:
-    """Rows of the schema; missing keys get their default, lines that are no JSON are left out."""
+    """Rows of the schema; missing keys get their default, lines that are no JSON are left out, a path that is not there has no rows."""
     fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
     kept = StructType.fromDDL(f"{fields}, _bad string") if isinstance(schema, str) else StructType([*schema.fields]).add("_bad", "string")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where):
+        return spark.createDataFrame([], StructType([f for f in kept.fields if f.name != "_bad"]))
     rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.filter(F.col("_bad").isNull()).drop("_bad").fillna(defaults or {})
 
@@ -45,6 +48,20 @@ def sitemap_locations(body: bytes) -> tuple[str, list[str]]:
     return kind, [e.text.strip() for e in root.iter() if local(e) == "loc" and e.text]
 
 
+def save_state(df: DataFrame, path: str) -> None:
+    """df as JSON lines at path, all of it or, if the write fails, what was there before."""
+    spark = df.sparkSession
+    hadoop, new = spark.sparkContext._jvm.org.apache.hadoop.fs, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.json(new)
+    where, fresh = hadoop.Path(path), hadoop.Path(new)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    old = hadoop.Path(f"{new}.old")
+    had = fs.exists(where) and fs.rename(where, old)
+    fs.rename(fresh, where)
+    if had:
+        fs.delete(old, True)
+
+
 def snapshot(df: DataFrame, folder: str, keep: int = 7) -> str:
     """Writes a new snapshot folder and removes all but the newest `keep`; readers take the greatest name."""
     spark = df.sparkSession

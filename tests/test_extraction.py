@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from sparkloom import storage
 from sparkloom.functions import display, offers
 from sparkloom.functions import urls as U
-from sparkloom.operators import extraction, places, publishing, resolution
-from sparkloom.sources import html, sites
+from sparkloom.operators import extraction, hosts, places, publishing, resolution, walks
+from sparkloom.sources import files, html, sites
 
 
 def values(spark, column, *texts):
@@ -144,3 +144,27 @@ def test_shared_folder_must_be_named_on_a_cluster():
 def test_blocks_and_links_of_one_parser():
     page = html.parsed("<ul><li><a href='/x'>one</a> and more words of this entry here</ul>")
     assert page.blocks == [("one and more words of this entry here", ["/x"])] and page.links == [("/x", "one")]
+
+
+def test_always_blocked_hosts(spark):
+    rows = spark.createDataFrame([("x.gov.ua",), ("gov.ua",), ("xgov.ua",), ("a.b.ua",), ("b.ua",)], "host string")
+    assert {r.host for r in hosts.not_blocked(rows, "host", spark.createDataFrame([("b.ua",)], "host string")).collect()} == {"xgov.ua"}
+
+
+def test_walks_end(spark):
+    homes = spark.createDataFrame([("d", "https://d.com/"), ("e", "https://e.com/")], "domain string, url string")
+    links = spark.createDataFrame([("https://d.com/", i, f"https://d.com/n{i}", "") for i in range(5)] + [(f"https://d.com/n{i}", 0, f"https://d.com/promo{i}", "") for i in range(5)] + [("https://d.com/n0", 1, "https://d.com/", "")], "page string, pos long, url string, anchor string")
+    urls_of = lambda rows: [r.url for r in rows.orderBy("domain", "place").collect()]
+    assert urls_of(walks.reached(homes, links, "domain")) == [f"https://d.com/promo{i}" for i in range(5)]
+    assert urls_of(walks.reached(homes, links, "domain", 2, 3)) == ["https://d.com/promo0", "https://d.com/promo1"] and urls_of(walks.reached(homes, links, "domain", 1)) == []
+    found = spark.createDataFrame([("d", 1, "https://www.d.com/en/promo/"), ("d", 2, "https://d.com/promo"), ("d", 3, "https://d.com/about")], "domain string, place long, url string")
+    none = spark.createDataFrame([], "domain string, url string, allowed boolean")
+    assert urls_of(walks.plan(homes, found, "domain", none, 9)) == ["https://d.com/", "https://www.d.com/en/promo/", "https://d.com/about", "https://e.com/"]
+
+
+def test_state_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for n in (3, 1):
+        files.save_state(spark.range(n), path)
+    assert files.json_lines(spark, path, "id long, v string", {"v": "x"}).collect() == [(0, "x")] and files.json_lines(spark, path + "none", "id long").count() == 0
+    assert [p.name for p in tmp_path.iterdir() if "." in p.name.strip(".")] == []
