@@ -60,7 +60,7 @@ def collapse(conversations: DataFrame) -> DataFrame:
 
     Turns are in the order of turn, null first, and equal turns in one fixed order (equal
     numbers of a conversation are one group, which is not split);
-    rows that repeat are turns of their own. Null role or text is empty. Rows without
+    rows that repeat are turns of their own, of texts of any length. Null role or text is empty. Rows without
     conv_id belong to no conversation and are left out. Equal conversations leave the
     least conv_id. An empty table gives no rows; other columns are not read.
     """

@@ -303,8 +303,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shingle the whole sequence is the one shingle. A null or empty text has none, is
     linked with nothing and has its own doc_id as component. component_id is the
     smallest doc_id that links reach; null ids are passed over, so it is null only
-    where all are. Rows that repeat are equal texts and linked. An empty table gives
-    no rows; other columns of docs are not read.
+    where all are. Rows that repeat are equal texts and linked. Texts of any length are
+    read whole; doc_id is an integer. An empty table gives no rows; other columns of
+    docs are not read.
     """
     keys, classes = _rooted(scanned(docs), words, percent)
     least = written(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "minima")
