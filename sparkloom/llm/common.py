@@ -74,9 +74,10 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs as rows of Parquet files: as it is if it is a table that was read and no more, else written."""
-    plain = docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation")
-    return docs if plain and docs.inputFiles() else written(docs, "rows")
+    """docs as rows of Parquet files: as it is if it is a table that was read and no more, without columns in folder names, else written."""
+    plan = docs._jdf.queryExecution().analyzed()
+    plain = plan.nodeName().startswith("LogicalRelation") and docs.inputFiles() and plan.relation().partitionSchema().isEmpty()
+    return docs if plain else written(docs, "rows")
 
 
 def places(docs: DataFrame) -> list[Column]:

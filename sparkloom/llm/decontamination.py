@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, places, scanned, written
+from .common import by_place, few, places, scanned, written
 
 WORDS, THRESHOLD = 5, 0.8
 
@@ -103,7 +103,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, words: int, threshold: float)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *places(docs))
     if not widths:
         return texts.selectExpr("doc_id", "th", "file", "row", "cast(null as long) item_id", "0L n_shared", "0L n_item", "0.0D containment").limit(0)
-    hits = hashed(texts, True).join(sketch.select("key", "width", "need", F.explode("sketch").alias("sh")), ["width", "sh"]).filter("n - width + 1 >= need")
+    # only if the benchmark has over a million hashes in its sketches, those of the documents are shuffled
+    asked = written(sketch.select("key", "width", "need", F.explode("sketch").alias("sh")), "asked")
+    hits = hashed(texts, True).join(F.broadcast(asked) if few(asked) else asked, ["width", "sh"]).filter("n - width + 1 >= need")
     found = written(hits.select("file", "row", "key").distinct(), "candidates")
     again = by_place(docs.select("doc_id", "text"), written(found.select("file", "row").distinct(), "again"), "left_semi", placed=True)
     shared = hashed(again.withColumn("th", F.xxhash64("text")), False).join(every, ["width", "sh"]).join(found, ["file", "row", "key"], "left_semi")

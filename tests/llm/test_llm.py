@@ -707,3 +707,18 @@ def test_an_encoder_ends_documents_behind_its_vocabulary():
     import public_tokenizers
 
     assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).end == packing.END
+
+
+def test_stages_of_tables_in_folders_by_column(spark, docs, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from sparkloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    table(spark, docs).write.partitionBy("lang", "source").parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mix):
+        out = stage(spark, frame, "/root/testdata/sf0.001")
+        assert out.columns == frame.columns and out.filter("lang is null").count() == 0
+    plain = corpus_pipeline.near_duplicates(spark, table(spark, docs), "").collect()
+    got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted(str((r.doc_id, r.text and r.text.lower())) for r in got) == sorted(str((r.doc_id, r.text and r.text.lower())) for r in plain)
