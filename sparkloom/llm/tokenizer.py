@@ -171,6 +171,9 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_ONE_BYTE = [bytes([i]) for i in range(256)]
+
+
 class PieceMachine:
     """Counts the tokens of one piece; transitions are compiled when first taken."""
 
@@ -192,6 +195,7 @@ class PieceMachine:
         self.prefixes = {t[:i] for t in self.tokens for i in range(len(t) + 1)}
         self.special = [t["content"] for t in whole["added_tokens"]]
         self._apart: dict[tuple[bytes, bytes], bool] = {}
+        self._read: dict[bytes, tuple[int, list[bytes]]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -222,11 +226,12 @@ class PieceMachine:
     def apart(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens side by side stay two."""
         key = (left, right)
-        if key not in self._apart:
+        known = self._apart.get(key)
+        if known is None:
             if len(self._apart) > 500_000:
                 self._apart.clear()
-            self._apart[key] = self._stay(left, right)
-        return self._apart[key]
+            known = self._apart[key] = self._stay(left, right)
+        return known
 
     def _stay(self, left: bytes, right: bytes) -> bool:
         """No merge across the border comes before the merges that made the two: these are undone, the latest first."""
@@ -243,17 +248,27 @@ class PieceMachine:
             else:
                 before, right = b[0] + 1, b[1]  # of equal ranks the left one is merged first
 
+    def _ends(self, read: bytes) -> tuple[int, list[bytes]]:
+        """How many of the last bytes can still be the start of a token, and the tokens that end here, the longest first."""
+        keep = next(s for s in range(len(read) + 1) if read[s:] in self.prefixes)
+        # a token is a prefix of itself, so none is longer than what is kept
+        return len(read) - keep, [read[s:] for s in range(keep, len(read)) if read[s:] in self.tokens]
+
     def compile(self, state: int, byte: int) -> None:
         window, chain = self.states[state]
-        read = window + bytes([byte])
-        for start in range(len(read)):
-            token = read[start:]
+        read = window + _ONE_BYTE[byte]
+        known = self._read.get(read)
+        if known is None:
+            if len(self._read) > 500_000:
+                self._read.clear()
+            known = self._read[read] = self._ends(read)
+        keep, ending = known
+        for token in ending:
             last, below = chain[len(token) - 1]
-            if token in self.tokens and (last is None or self.apart(last, token)):
+            if last is None or self.apart(last, token):
                 break
         change = 1 - below
-        keep = next(read[s:] for s in range(len(read) + 1) if read[s:] in self.prefixes)
-        reached = (keep, ((token, 0), *((t, n + change) for t, n in chain[: len(keep)])))
+        reached = (read[len(read) - keep :], ((token, 0), *[(t, n + change) for t, n in chain[:keep]]))
         at = self.ids.get(reached)
         if at is None:
             at = self.ids[reached] = len(self.states)
