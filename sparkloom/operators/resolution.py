@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 # Fixed values.
 DISCOUNT_RANK = {"free": 3, "percent": 2, "fixed": 1}
 
@@ -22,34 +24,39 @@ def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitu
     are compared exactly afterwards. Classes, not items, are paired, so m equal items
     of a host cost m rows.
     """
-    base = items.select(host, F.col(key).alias("id"), F.array_sort(tokens).alias("t"), F.array_sort(magnitudes).alias("m")).filter((F.size("m") > 0) & (F.size("t") > 0))
-    of = F.sha2(F.concat_ws("\u0001", F.col(host), F.concat_ws("\u0002", "t"), F.concat_ws("\u0002", F.transform("m", lambda x: x.cast("string")))), 256).alias("class")
-    base = base.withColumn("class", of)
-    classes = base.groupBy("class").agg(F.min("id").alias("least"), F.first(host).alias(host), F.first("t").alias("t"), F.first("m").alias("m")).filter(F.col(host).isNotNull())
-    each = classes.select(host, "class", "least", F.size("t").alias("n"), F.explode("t").alias("token"))
+    base = written(items.select(host, F.col(key).alias("id"), F.sort_array(tokens).alias("t"), F.sort_array(magnitudes).alias("m")), "promos")
+    base = base.filter((F.size("m") > 0) & (F.size("t") > 0) & F.col(host).isNotNull())
+    of = F.unhex(F.sha2(F.concat_ws("\u0001", F.col(host), F.concat_ws("\u0002", "t"), F.concat_ws("\u0002", F.transform("m", lambda x: x.cast("string")))), 256))
+    named = written(base.select("id", of.alias("same")), "promos")
+    least = named.groupBy("same").agg(F.min("id").alias("class"))
+    named = written(named.join(least, "same").select("id", "class"), "promos")
+    # a class has the least id of its items
+    classes = base.join(named.filter("id = class").select("id"), "id", "left_semi").withColumnRenamed("id", "class")
+    each = classes.select(host, "class", F.size("t").alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy(host, "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = each.join(rarity, [host, "token"]).groupBy(host, "class", "least", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    ranked = each.join(rarity, [host, "token"]).groupBy(host, "class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    ranked = written(ranked, "promos")
 
     def prefix(share: float, *names: str) -> DataFrame:
         """Of each class the first tokens, all but a share of them and one; tokens of one class alone come first and are not in x."""
         kept = F.greatest(F.size("x") - F.ceil(F.col("n") * share - 1e-9) + 1, F.lit(0)).cast("int")
-        rows = ranked.select(host, "class", "least", "n", F.size("x").alias("s"), F.posexplode(F.slice("x", F.lit(1), kept)["token"]).alias("pos", "token"))
-        return rows.select(host, "token", *(F.col(c).alias(new) for c, new in zip(("class", "least", "n", "pos", "s"), names)))
+        rows = ranked.select(host, "class", "n", F.size("x").alias("s"), F.posexplode(F.slice("x", F.lit(1), kept)["token"]).alias("pos", "token"))
+        return rows.select(host, "token", *(F.col(c).alias(new) for c, new in zip(("class", "n", "pos", "s"), names)))
 
-    larger = prefix(threshold, "c1", "l1", "n1", "p1", "s1")
-    smaller = prefix(2 * threshold / (1 + threshold), "c2", "l2", "n2", "p2", "s2")
+    larger = prefix(threshold, "c1", "n1", "p1", "s1")
+    smaller = prefix(2 * threshold / (1 + threshold), "c2", "n2", "p2", "s2")
     need = F.ceil((F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
     near = larger.join(smaller, [host, "token"]).filter((F.col("n1") >= F.col("n2")) & (F.col("n2") >= F.col("n1") * threshold) & (F.col("c1") != F.col("c2")))
     # the first token in common is at these places: no more can follow than is left of either
     near = near.filter(F.least(F.col("s1") - F.col("p1"), F.col("s2") - F.col("p2")) >= need).select("c1", "c2").distinct()
-    t = lambda i: classes.select(F.col("class").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("m").alias(f"m{i}"), F.col("least").alias(f"l{i}"))
+    t = lambda i: classes.select(F.col("class").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("m").alias(f"m{i}"))
     both = F.size(F.array_intersect("t1", "t2"))
     like = near.join(t(1), "c1").join(t(2), "c2").filter(both >= threshold * F.size(F.array_union("t1", "t2")))
     has = lambda a, b: F.size(F.array_except(b, a)) == 0
-    ways = F.array(F.when(has("m1", "m2"), F.struct(F.col("c2").alias("class"), F.col("l1").alias("l"))), F.when(has("m2", "m1"), F.struct(F.col("c1").alias("class"), F.col("l2").alias("l"))))
-    others = like.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.class", "w.l")
-    first = classes.select("class", F.col("least").alias("l")).unionByName(others).groupBy("class").agg(F.min("l").alias("keep_id"))
-    return base.select("class", F.col("id").alias("dup_id")).join(first, "class").filter("keep_id < dup_id").select("dup_id", "keep_id")
+    ways = F.array(F.when(has("m1", "m2"), F.struct(F.col("c2").alias("class"), F.col("c1").alias("l"))), F.when(has("m2", "m1"), F.struct(F.col("c1").alias("class"), F.col("c2").alias("l"))))
+    others = like.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).groupBy("w.class").agg(F.min("w.l").alias("l"))
+    first = F.least("class", "l")
+    return named.join(others, "class", "left").filter(first < F.col("id")).select(F.col("id").alias("dup_id"), first.alias("keep_id"))
 
 
 def leader_clusters(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, decided: str, threshold: float = 0.6) -> DataFrame:
