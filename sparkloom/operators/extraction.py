@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import offers, urls
+from .places import find_names
 from .resolution import DISCOUNT_RANK
 
 
@@ -72,3 +73,18 @@ def united_lists(*lists: DataFrame) -> DataFrame:
 def promo_first(rows: DataFrame, is_promo: Column, position: str) -> DataFrame:
     """Rows with rank: promotional ones first, each part in its order."""
     return rows.withColumn("_part", F.when(is_promo, 0).otherwise(1)).orderBy("_part", position).drop("_part")
+
+
+def page_localities(about: DataFrame, forms: DataFrame) -> DataFrame:
+    """(page_id, locality) of sites.about: what the page declares, else the first name of the dictionary in its contact texts, else null."""
+    found = find_names(about.select("page_id", "contact"), "page_id", "contact", forms).select("page_id", F.try_element_at("names", F.lit(1)).alias("_first"))
+    declared = F.when(F.trim("locality") != "", F.trim("locality"))
+    return about.select("page_id", "locality").join(found, "page_id").select("page_id", F.coalesce(declared, F.col("_first")).alias("locality"))
+
+
+def item_locations(items: DataFrame, key: str, locality: str, text: str, forms: DataFrame) -> DataFrame:
+    """(key, locations): cities of an item's locality, or that itself, then those of its text, else whether it is online; key is unique."""
+    own = find_names(items, key, locality, forms).withColumnRenamed("names", "_own")
+    named = find_names(items, key, text, forms).withColumnRenamed("names", "_in")
+    both = items.select(key, locality, text).join(own, key).join(named, key)
+    return both.select(key, offers.locations(F.col(locality), F.col("_own"), F.col("_in"), F.col(text)).alias("locations"))

@@ -44,21 +44,11 @@ def consumed_keys(t, spark, sf):
     return cadence.consumed(t("lineitem").withColumn("p", c("l_orderkey") * 10 + c("l_linenumber")), "l_partkey", "p", 130000)
 
 
-def _yields(t, docs):
-    notes = docs.select(F.when(c("doc_id") % 5 == 0, c("source")).otherwise(F.concat_ws(": ", "lang", "source")).alias("note"))
-    return cadence.yields(t("documents"), "source", notes, "note")
-
-
-@query("""with b as (select distinct source from documents), r as (select case when doc_id % 5 = 0 then source else lang || ': ' || source end as note from documents where doc_id % 3 = 0),
-f as (select substring(note, strpos(note, ': ') + 2) as source, count(*) as n from r where strpos(note, ': ') > 0 group by 1) select source, coalesce(n, 0) as found from b left join f using (source)""")
-def phrase_yield(t, spark, sf):
-    return _yields(t, t("documents").filter("doc_id % 3 = 0"))
-
-
 @query("""with b as (select distinct source from documents), r as (select case when doc_id % 5 = 0 then source else lang || ': ' || source end as note from documents),
 f as (select substring(note, strpos(note, ': ') + 2) as source, count(*) as n from r where strpos(note, ': ') > 0 group by 1) select source, coalesce(n, 0) as found from b left join f using (source)""")
 def phrase_yield_all(t, spark, sf):
-    return _yields(t, t("documents"))
+    notes = t("documents").select(F.when(c("doc_id") % 5 == 0, c("source")).otherwise(F.concat_ws(": ", "lang", "source")).alias("note"))
+    return cadence.yields(t("documents"), "source", notes, "note")
 
 
 @query("select 'u' || user_id as host, count(*) as rejected from events where event_type = 'error' and ts > timestamp '2024-01-15' group by 1")

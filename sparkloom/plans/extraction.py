@@ -655,3 +655,28 @@ def saved_state(t, spark, sf):
     for part in (rows.limit(1), rows):
         files.save_state(part, path)
     return files.json_lines(spark, path, schema, defaults).unionByName(missing)
+
+
+_CITIES = [("київ", "Київ", False), ("києва", "Київ", False), ("львів", "Львів", False), ("біла церква", "Біла Церква", False), ("рівне", "Рівне", True)]
+_PLACES = [
+    ('<meta property="og:locality" content=" Suburb {n} "><footer>Київ</footer>', "Suburb {n}"), ('<p>Київ</p><div class="x-contact">Біла Церква, вул. {n}, Львів</div>', "Біла Церква"), ("<address>вул. Рівне {n}</address><footer>м. Рівне</footer>", "Рівне"), ("<p>Львів {n}</p>", None),
+]
+
+
+def _forms(t) -> DataFrame:
+    return t("pages").sparkSession.createDataFrame([(i, *x) for i, x in enumerate(_CITIES)], "position long, form string, name string, marked boolean")
+
+
+@query(_rule_sql("pages", "page_id", ["locality"], [x[1:] for x in _PLACES]))
+def page_localities(t, spark, sf):
+    pages = _by_rule(t("pages"), "page_id", ["html"], [x[:1] for x in _PLACES]).withColumn("url", lit("https://x.ua"))
+    return extraction.page_localities(sites.about(pages), _forms(t))
+
+
+_WHERE = [("Львів", "знижки у Київ та Львів {n}", "Львів,Київ"), ("Suburb {n}", "до Києва", "Suburb {n},Київ"), (None, "інтернет-магазин {n}", "Онлайн"), (None, "біла церква онлайн", "Біла Церква"), ("", "none {n}", "")]
+
+
+@query(_rule_sql("documents", "doc_id", ["locations"], [x[2:] for x in _WHERE]))
+def item_locations(t, spark, sf):
+    rows = _by_rule(t("documents"), "doc_id", ["locality", "text"], [x[:2] for x in _WHERE])
+    return extraction.item_locations(rows, "doc_id", "locality", "text", _forms(t)).select("doc_id", F.array_join("locations", ",").alias("locations"))
