@@ -15,6 +15,8 @@ __all__ = ["by_place", "documents", "few", "join_counted", "made", "places", "re
 
 #: Python workers give large freed blocks back to the system at once, so that an idle worker holds little.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+#: Texts go to Python workers in batches of about so many bytes, where the session has not been told otherwise.
+BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 64 << 20
 #: Rows of a few narrow columns that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A key with more rows than the larger of HOT_ROWS and all rows over HOT_KEYS is hot.
@@ -22,12 +24,14 @@ HOT_ROWS, HOT_KEYS = 256, 10_000
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it; settings of their memory that are given stay."""
+    """Lets Python workers import this package from where the driver has it, and bounds their batches; settings that are given stay."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
+    if spark.conf.get(BATCH, str(BATCH_DEFAULT)).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark
 
 
