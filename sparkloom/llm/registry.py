@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, fixity, jaccard_join, mixing, packing, pii, quality, token_counts
+from . import chat, decontamination, exact_dedup, fixity, jaccard_join, mixing, packing, panes, pii, quality, token_counts
 from .common import documents
 
 
@@ -58,13 +58,32 @@ def op10_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.panes(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_skip_chain_crf_pii, op2_merkle_fixity_audit, op3_snapshot_collapse, op4_factorisation_machine_quality, op5_transducer_token_counts,
-    op6_minhash_containment, op7_bloom_exact_dedup, op8_best_fit_packing, op9_systematic_mixing, op10_divideskip_jaccard,
+    op6_minhash_containment, op7_bloom_exact_dedup, op8_best_fit_packing, op9_systematic_mixing, op10_divideskip_jaccard, op11_pane_revisions,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: What four bits do to a CRC-32: the rule c -> c >> 1, with 0xEDB88320 added where the bit that goes is 1, four times.
+_NIBBLES = [0]
+for _n in range(1, 16):
+    _c = _n
+    for _ in range(4):
+        _c = _c >> 1 ^ 0xEDB88320 * (_c & 1)
+    _NIBBLES.append(_c)
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of a text."""
+    halves = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda s: [('0x' || s[2])::bigint, ('0x' || s[1])::bigint]))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {halves}), lambda c, b: xor(c >> 4, {_NIBBLES}[(xor(c, b) & 15) + 1])))"
+
+
 ORACLES = {
     "op2_merkle_fixity_audit": r"""
 with r as (
@@ -118,4 +137,21 @@ p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s as x join s as y
 e as (select a, b from p join n as na on na.doc_id = a join n as nb on nb.doc_id = b where 100 * k >= 85 * (na.n + nb.n - k)),
 reach as (select doc_id as a, doc_id as b from d union select reach.a, e.b from reach join e on e.a = reach.b)
 select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, (select min(b) from reach where reach.a = d.doc_id) as component_id from d left join n using (doc_id)""",
+    "op11_pane_revisions": rf"""
+with one as (select click_id, min({{'a': arrived_at, 't': ts, 'k': kind, 'v': value}}) as x from clicks where ts is not null group by click_id),
+r as (select click_id, coalesce(x.k, 'none') as kind, cast(epoch_us(x.t) as bigint) as us, coalesce(cast(floor(100 * x.v + 0.5) as bigint), 0) as cents,
+    coalesce(date_diff('day', date '1970-01-01', cast(x.a as date)), 0) as d,
+    {_crc32("cast(click_id as varchar)")} as h from one),
+b as (select click_id, kind, cents, us - (d - d % 12) * 86400000000 as e, cast(least(11, d % 12 + greatest(0, h % 30 - 23)) as bigint) as batch from r),
+w as (select i as batch, max(m) over (order by i rows between unbounded preceding and 1 preceding) as w from range(12) as n(i) left join (select batch, max(e) as m from b group by 1) as x on x.batch = i),
+p as (select click_id, kind, cents, cast(floor(e / 3600000000.0) as bigint) as hour, batch, coalesce(w >= (floor(e / 3600000000.0) + 73) * 3600000000, false) as late from b join w using (batch)),
+s as (select kind, hour, batch, count(*) as n, sum(cents) as c from p where not late group by 1, 2, 3),
+g as (select *, sum(n) over q as tn, sum(c) over q as tc, lead(batch) over (partition by kind, hour order by batch) as following from s window q as (partition by kind, hour order by batch)),
+due as (select hour, min(w.batch) as due from (select distinct hour from s) as h join w on w.w >= (h.hour + 3) * 3600000000 group by 1),
+f as (select g.*, due, case when due is not null then greatest(due, (min(batch) over (partition by kind, hour))) end as first_ from g left join due using (hour))
+select batch, 'late' as record, kind, hour, click_id, cast(1 as bigint) as n_rows, cents from p where late
+union all select cast(first_ as bigint), 'emit', kind, hour, -1, cast(tn as bigint), cast(tc as bigint) from f where first_ >= batch and (following is null or following > first_)
+union all select batch, 'replace', kind, hour, -1, cast(tn as bigint), cast(tc as bigint) from f where batch > first_
+union all select batch, 'retract', kind, hour, -1, cast(tn - n as bigint), cast(tc - c as bigint) from f where batch > first_
+union all select 11, 'final', kind, hour, -1, cast(tn as bigint), cast(tc as bigint) from f where first_ is null and following is null""",
 }
