@@ -238,7 +238,14 @@ class Panes(StatefulProcessor):
         pass
 
 
-STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+#: Settings of the stream: small stores that take no space ahead, closed soon after their start of the query is over; no batch without rows.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def _move(spark: SparkSession, at: str, to: str) -> None:
