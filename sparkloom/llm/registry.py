@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, fixity, jaccard_join, mixing, packing, panes, pii, quality, token_counts
+from . import bpe, chat, decontamination, exact_dedup, fixity, jaccard_join, mixing, packing, panes, pii, quality, spelling, token_counts
 from .common import documents
 
 
@@ -62,9 +62,18 @@ def op11_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panes.panes(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_skip_chain_crf_pii, op2_merkle_fixity_audit, op3_snapshot_collapse, op4_factorisation_machine_quality, op5_transducer_token_counts,
-    op6_minhash_containment, op7_bloom_exact_dedup, op8_best_fit_packing, op9_systematic_mixing, op10_divideskip_jaccard, op11_pane_revisions,
+    op6_minhash_containment, op7_bloom_exact_dedup, op8_best_fit_packing, op9_systematic_mixing, op10_divideskip_jaccard, op11_pane_revisions, op12_spelling_variants,
+    op13_chunked_bpe,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,4 +163,18 @@ union all select cast(first_ as bigint), 'emit', kind, hour, -1, cast(tn as bigi
 union all select batch, 'replace', kind, hour, -1, cast(tn as bigint), cast(tc as bigint) from f where batch > first_
 union all select batch, 'retract', kind, hour, -1, cast(tn - n as bigint), cast(tc - c as bigint) from f where batch > first_
 union all select 11, 'final', kind, hour, -1, cast(tn as bigint), cast(tc as bigint) from f where first_ is null and following is null""",
+    "op12_spelling_variants": rf"""
+with recursive r as (select doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) as w from documents),
+h as (select w, {_crc32("coalesce(cast(doc_id as varchar), '') || ':' || w")} as h from r),
+s as (select case when h % 199 = 0 then substr(w, 1, cast(h % length(w) as int)) || substr(w, cast(h % length(w) as int) + 2) else w end as word from h),
+v as (select word, count(*) as n from s where length(word) >= 6 group by 1 having count(*) >= 5),
+d as (select word, n, i, substr(word, 1, cast(i as int)) || substr(word, cast(i as int) + 2) as cut from v, unnest(range(length(word))) as u(i)),
+p as (select a.word, b.word as other, b.n as m from d as a join d as b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+  union select d.word, v.word, v.n from d join v on d.cut = v.word
+  union select v.word, d.word, d.n from d join v on d.cut = v.word),
+b as (select word, count(*) as n_near, arg_min(other, [lpad(cast(1000000000000 - m as varchar), 13, '0'), other]) as form, max(m) as form_n from p group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n from v left join b using (word)),
+c as (select word, word as root, 0 as step from f union all select c.word, f.form, step + 1 from c join f on f.word = c.root where f.form is not null)
+select f.word, f.form, root, cast(n as bigint) as n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n
+from f join (select word, arg_max(root, step) as root from c group by 1) using (word)""",
 }
