@@ -238,12 +238,14 @@ class Panes(StatefulProcessor):
         pass
 
 
-#: Settings of the stream: small stores that take no space ahead, closed soon after their start of the query is over; no batch without rows.
+#: Settings of the stream: small stores that take no space ahead and are closed some time after their start of the query is over, one
+#: file a commit, and no batch without rows. Closing them at once costs more than it frees, as each look at a store lists its files.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "30s",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -269,7 +271,10 @@ def panes(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark, root = session(clicks.sparkSession), new_path(clicks.sparkSession, "panes")
     rows = dealt(clicks, batches).select("click_id", "kind", F.expr(f"(event - pmod(event, {HOUR})) div {HOUR}").alias("hour"), "cents", "event", F.lit(None).cast("int").alias("shard"), "batch")
     ticks = spark.range(batches).select(F.col("id").cast("int").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"))
-    rows.unionByName(ticks, allowMissingColumns=True).write.partitionBy("batch").parquet(f"{root}/staged")
+    # a batch is written by its share of the tasks, so that files are as many as tasks, not tasks times batches
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) // batches + 1
+    rows = rows.unionByName(ticks, allowMissingColumns=True).repartition("batch", F.pmod(F.xxhash64("click_id", "shard"), F.lit(parts)))
+    rows.write.partitionBy("batch").parquet(f"{root}/staged")
     staged = spark.read.schema(rows.schema).parquet(f"{root}/staged")
     clock(staged, batches).coalesce(1).write.parquet(f"{root}/clock")
     times = spark.read.parquet(f"{root}/clock")  # one row a batch
