@@ -1,7 +1,9 @@
 """Registry of the library's own queries and the SQL that each must agree with."""
 
+from .plans import arrivals as _arrivals  # noqa: F401  registers its queries
 from .plans import cadence as _cadence  # noqa: F401  registers its queries
 from .plans import extraction as _extraction  # noqa: F401  registers its queries
+from .plans import flows as _flows  # noqa: F401  registers its queries
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +11,12 @@ from ..storage import written
 DISCOUNT_RANK = {"free": 3, "percent": 2, "fixed": 1}
 
 
-def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float = 0.6) -> DataFrame:
-    """(dup_id, keep_id): each item with the first earlier item of its host that has all its magnitudes and a like text.
+def _alike(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, class) and (class, l): items of a host with equal tokens and magnitudes are one class, named by its least key; l is a like class with all magnitudes of class.
 
-    Items of a host with the same tokens and magnitudes are one class with its least
-    key. Of like classes the smaller one's rarest tokens hold one of the larger one's
+    Of like classes the smaller one's rarest tokens hold one of the larger one's
     (prefix filter), so candidates come from an equality join on host and token; they
-    are compared exactly afterwards. Classes, not items, are paired, so m equal items
-    of a host cost m rows.
+    are compared exactly afterwards.
     """
     base = written(items.select(host, F.col(key).alias("id"), F.sort_array(tokens).alias("t"), F.sort_array(magnitudes).alias("m")), "promos")
     base = base.filter((F.size("m") > 0) & (F.size("t") > 0) & F.col(host).isNotNull())
@@ -54,41 +48,46 @@ def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitu
     like = near.join(t(1), "c1").join(t(2), "c2").filter(both >= threshold * F.size(F.array_union("t1", "t2")))
     has = lambda a, b: F.size(F.array_except(b, a)) == 0
     ways = F.array(F.when(has("m1", "m2"), F.struct(F.col("c2").alias("class"), F.col("c1").alias("l"))), F.when(has("m2", "m1"), F.struct(F.col("c1").alias("class"), F.col("c2").alias("l"))))
-    others = like.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).groupBy("w.class").agg(F.min("w.l").alias("l"))
+    return named, like.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.class", "w.l")
+
+def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float = 0.6) -> DataFrame:
+    """(dup_id, keep_id): each item with the first earlier item of its host that has all its magnitudes and a like text.
+
+    Classes of equal items, not items, are paired, so m equal items of a host cost m rows.
+    """
+    named, links = _alike(items, host, key, tokens, magnitudes, threshold)
+    others = links.groupBy("class").agg(F.min("l").alias("l"))
     first = F.least("class", "l")
     return named.join(others, "class", "left").filter(first < F.col("id")).select(F.col("id").alias("dup_id"), first.alias("keep_id"))
 
 
 def leader_clusters(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, decided: str, threshold: float = 0.6) -> DataFrame:
-    """(dup_id, keep_id): undecided items that repeat an earlier leader of their host; an item that does not is a leader.
+    """(dup_id, keep_id): undecided items that repeat an earlier leader of their host, with the first such; an item that does not is a leader.
 
-    The result of one item decides the next, so a host is walked in key order by one
-    task. Leaders are found by their rarest tokens (prefix filter), not one by one.
+    Decided items lead always. What an undecided one is depends on the earlier ones that it is like, so it is settled in
+    rounds: one that is like an earlier leader repeats it, and one whose earlier like items all repeat others leads. Every
+    round settles all that it can, over all hosts at once, and the first unsettled item of a host at least; a round is a
+    join over classes of equal items, in which only the first undecided item is ever open.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        texts = [frozenset(t) for t in rows[tokens]]
-        seen = Counter(w for t in texts for w in t)
-        found: dict[str, list[int]] = defaultdict(list)
-        leaders, out = [], []
-        for item, text, mags, settled in zip(rows[key], texts, map(frozenset, rows[magnitudes]), rows[decided]):
-            rare = sorted(text, key=lambda w: (seen[w], w))[: len(text) - math.ceil(threshold * len(text) - 1e-9) + 1]
-            match = None
-            for i in sorted({i for w in rare for i in found[w]}) if mags else ():
-                leader, other, theirs = leaders[i]
-                if mags <= theirs and len(text & other) >= threshold * len(text | other):
-                    match = leader
-                    break
-            if match is not None and not settled:
-                out.append((item, match))
-            elif mags:
-                for w in rare:
-                    found[w].append(len(leaders))
-                leaders.append((item, text, mags))
-        return pd.DataFrame(out, columns=["dup_id", "keep_id"], dtype="int64")
-
-    return items.select(host, key, tokens, magnitudes, decided).groupBy(host).applyInPandas(walk, "dup_id long, keep_id long")
+    named, links = _alike(items, host, key, tokens, magnitudes, threshold)
+    settled = F.coalesce(F.col(decided), F.lit(False)).alias("settled")
+    named, links = written(named.join(items.select(F.col(key).alias("id"), settled), "id"), "leaders"), written(links, "leaders")
+    firsts = named.groupBy("class").agg(F.min(F.when(F.col("settled"), F.col("id"))).alias("d"), F.min(F.when(~F.col("settled"), F.col("id"))).alias("u"))
+    state = written(firsts.withColumn("leads", F.when(F.col("u").isNull(), False)), "leaders")
+    leader = F.least("d", F.when(F.col("leads"), F.col("u")))  # the first known leader of a class
+
+    def around(state: DataFrame) -> DataFrame:
+        """For each class the first leader that it is like, its own included, and the first open item of the others."""
+        theirs = state.select(F.col("class").alias("l"), leader.alias("first"), F.when(F.col("leads").isNull(), F.col("u")).alias("open"))
+        near = links.join(theirs, "l").groupBy("class").agg(F.min("first").alias("first"), F.min("open").alias("open"))
+        return state.join(near, "class", "left").withColumn("first", F.least("first", leader))
+
+    while not state.filter("leads is null").isEmpty():
+        repeats, waits = F.coalesce(F.col("first") < F.col("u"), F.lit(False)), F.coalesce(F.col("open") < F.col("u"), F.lit(False))
+        now = F.when(F.col("leads").isNull(), F.when(repeats, False).when(~waits, True)).otherwise(F.col("leads"))
+        state = written(around(state).select("class", "d", "u", now.alias("leads")), "leaders")
+    cover = around(state).select("class", F.col("first").alias("keep_id"))
+    return named.filter("not settled").join(cover, "class").filter("keep_id < id").select(F.col("id").alias("dup_id"), "keep_id")
 
 
 def best_discount(group: list[str], discounts: DataFrame, kind: str, value: str, position: str) -> DataFrame:

@@ -48,20 +48,62 @@ def sitemap_locations(body: bytes) -> tuple[str, list[str]]:
     return kind, [e.text.strip() for e in root.iter() if local(e) == "loc" and e.text]
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+
+def _rename(fs, at, to) -> bool:
+    return bool(fs.rename(at, to))
+
+
+def recover_state(spark: SparkSession, path: str) -> bool:
+    """Puts back the state that a save which was cut off had moved aside; whether there is a state at path."""
+    fs, make = _store(spark, path)
+    where = make(path.rstrip("/"))
+    aside = fs.globStatus(make(f"{path.rstrip('/')}.*.old")) or []
+    if fs.exists(where):
+        for left in aside:  # the new state was in place, only this was still to go
+            fs.delete(left.getPath(), True)
+        return True
+    newest = max(aside, key=lambda s: s.getModificationTime(), default=None)
+    if newest is not None and not _rename(fs, newest.getPath(), where):
+        raise OSError(f"could not put back {newest.getPath()}")
+    return newest is not None
+
+
 def save_state(df: DataFrame, path: str) -> None:
-    """df as JSON lines at path, all of it or, if the write fails, what was there before."""
-    spark = df.sparkSession
-    hadoop, new = spark.sparkContext._jvm.org.apache.hadoop.fs, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """df as JSON lines at path, all of it or, if the write fails at any step, what was there before.
+
+    A file system without an atomic exchange of folders has an instant in which nothing is
+    at path; a save that is cut off there is put right by the next save, or by load_state.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, make = _store(spark, path)
+    recover_state(spark, path)
+    new = f"{path}.{uuid.uuid4().hex}"
+    where, fresh, old = make(path), make(new), make(f"{new}.old")
     df.write.json(new)
-    where, fresh = hadoop.Path(path), hadoop.Path(new)
-    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    old = hadoop.Path(f"{new}.old")
-    had = fs.exists(where) and fs.rename(where, old)
-    fs.rename(fresh, where)
+    had = fs.exists(where)
+    if had and not _rename(fs, where, old):
+        fs.delete(fresh, True)
+        raise OSError(f"could not move {path} aside")
+    if not _rename(fs, fresh, where):
+        if had and not _rename(fs, old, where):
+            raise OSError(f"could not put {path} back; it is at {old}")
+        fs.delete(fresh, True)
+        raise OSError(f"could not put the new state at {path}")
     if had:
         fs.delete(old, True)
 
 
+def load_state(spark: SparkSession, path: str, schema: StructType | str, defaults: dict | None = None) -> DataFrame:
+    """What save_state left at path, see json_lines; a save that was cut off counts as not done."""
+    recover_state(spark, path)
+    return json_lines(spark, path, schema, defaults)
+
+
 def snapshot(df: DataFrame, folder: str, keep: int = 7) -> str:
     """Writes a new snapshot folder and removes all but the newest `keep`; readers take the greatest name."""
     spark = df.sparkSession
