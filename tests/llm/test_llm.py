@@ -315,6 +315,44 @@ def test_empty_tables(spark):
     assert quality.scored(empty, quality.fit(empty, labels)).count() == 0
     assert chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
+def _meeting(spark, n):
+    """Places of which other wordings leave the XOR of fixed-seed hashes of n turns as it is: what prefix hashes must not be."""
+    rows = [(i, w, "user", f"{'ab'[w]} {i}") for i in range(1, n + 1) for w in (0, 1)]
+    turns = spark.createDataFrame(rows, "place long, w int, role string, text string")
+    turns = turns.select("place", "w", *(F.xxhash64("role", "text", F.lit(i)).alias(f"h{i}") for i in (1, 2)))
+    turns = turns.select("place", "w", *(F.xxhash64("place", f"h{i}", F.lit(i + 2)).alias(f"t{i}") for i in (1, 2)))
+    found = {(r.place, r.w): (r.t1 % 2**64) << 64 | r.t2 % 2**64 for r in turns.collect()}
+    basis = {}
+    for i in range(1, n + 1):
+        value, used = found[i, 0] ^ found[i, 1], 1 << i
+        while value and value.bit_length() in basis:
+            other, with_ = basis[value.bit_length()]
+            value, used = value ^ other, used ^ with_
+        if not value:
+            return {j for j in range(1, n + 1) if used >> j & 1}
+        basis[value.bit_length()] = value, used
+    raise AssertionError("more turns than bits must meet")
+
+
+def test_crafted_conversations_stay(spark):
+    n = 140
+    other = _meeting(spark, n)
+    first = [(1, i, "user", f"a {i}") for i in range(1, n + 1)]
+    second = [(2, i, "user", f"{'ab'[i in other]} {i}") for i in range(1, n + 1)] + [(2, n + 1, "user", "end")]
+    assert other
+    rows = first + second + [(3, i, "user", f"a {i}") for i in range(1, 100)]  # continued by the first
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.n_turns) for r in got) == [(1, n), (2, n + 1)]
+
+
+def test_equal_sums_are_not_equal_turns(spark, monkeypatch):
+    """Whatever the hashes, a conversation goes only if another has its turns."""
+    rows = [(i, k, "user", f"{i if k == 2 else 'x'}") for i in range(6) for k in range(1, 3 + (i % 2))]
+    real = chat.prefix_hashes
+    monkeypatch.setattr(chat, "prefix_hashes", lambda c: real(c).withColumn("p1", F.lit(0).cast("decimal(38,0)")).withColumn("p2", F.lit(0).cast("decimal(38,0)")))
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.conv_id for r in got) == list(range(6))
+
 
 def test_pipeline(spark):
     import corpus_pipeline
