@@ -29,8 +29,11 @@ from . import tokenizer as K
 CHUNK = 1 << 15
 #: A border is sure where so many bytes of the chunk follow: one character, of which a piece may depend.
 SURE = 4
-#: Pieces of more bytes are merged with a heap, shorter ones by looking through all pairs.
+#: Pieces of more bytes are merged one by one with a heap, shorter ones all together, those of one length as the rows of a matrix.
 SHORT = 40
+#: Slots of the table of pairs, as a power of two, for each pair at least.
+ROOM = 4
+NONE = np.int32(2**31 - 1)
 #: Ids kept before the table of pieces is dropped and built again.
 MOST_IDS = 4_000_000
 
@@ -53,28 +56,96 @@ class Ranks:
             self.bytes[i] = token
         self.size = np.fromiter(map(len, self.bytes), np.int64, size)
         self.flat, self.at = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.size) - self.size
+        self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
+        self._pair_table()
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.ids, self.used = K.PieceCache(), np.zeros(1 << 16, np.int32), 0
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The ids of one piece: of all neighbours the pair of least rank is joined, the first of equal ones, until no pair has a rank."""
+    def _pair_table(self) -> None:
+        """The pairs of tokens that together are a token, and its rank, in an open hash table."""
         rank = self.rank
-        if piece in rank:
-            return [rank[piece]]
-        if len(piece) > SHORT:
-            return self._merged_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 40:
+        pairs = [(x, y, r) for token, r in rank.items() for i in range(1, len(token)) if (x := rank.get(token[:i])) is not None and (y := rank.get(token[i:])) is not None]
+        left, right, value = (np.array(x, np.int64) for x in zip(*pairs))
+        self.mask = (1 << (ROOM * len(pairs)).bit_length()) - 1
+        self.pair_key, self.pair_rank = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NONE, np.int32)
+        key, at = left << 32 | right, self._slot(left, right)
+        while len(key):
+            free = self.pair_key[at] < 0
+            first = np.unique(at[free], return_index=True)[1]
+            taken = np.flatnonzero(free)[first]
+            self.pair_key[at[taken]], self.pair_rank[at[taken]] = key[taken], value[taken]
+            rest = np.ones(len(key), bool)
+            rest[taken] = False
+            key, value, at = key[rest], value[rest], at[rest] + 1 & self.mask
+
+    def _slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left * 0x9E3779B1 ^ right * 0x85EBCA6B) >> 7 & self.mask
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NONE where it is no token."""
+        left, right = left.astype(np.int64), right.astype(np.int64)
+        key, at = (left << 32 | right).ravel(), self._slot(left, right).ravel()
+        out, open_ = self.pair_rank[at], np.flatnonzero((self.pair_key[at] != key) & (self.pair_key[at] >= 0))
+        out[self.pair_key[at] < 0] = NONE
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            held = self.pair_key[at[open_]]
+            out[open_] = np.where(held == key[open_], self.pair_rank[at[open_]], NONE)
+            open_ = open_[(held != key[open_]) & (held >= 0)]
+        return out.reshape(left.shape)
+
+    def merged_rows(self, data: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of pieces of one length: rows, and a matrix with what these are merged to. In every step each row that is left joins its pair of least rank, the first of equal ones."""
+        ids, rows, out = self.byte[data[starts[:, None] + np.arange(length)]], np.arange(len(starts)), []
+        rank = self._pairs(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            n, parts = ids.shape
+            if parts == 1:
+                out.append((rows, ids))
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [rank[p] for p in parts]
+            best = rank.argmin(axis=1)
+            least = rank[np.arange(n), best]
+            done = least == NONE
+            if done.any():
+                out.append((rows[done], ids[done]))
+                rows, ids, rank, best, least = rows[~done], ids[~done], rank[~done], best[~done], least[~done]
+                n = len(rows)
+                if not n:
+                    break
+            line = np.arange(n)
+            ids[line, best] = least
+            keep = np.ones((n, parts), bool)
+            keep[line, best + 1] = False
+            ids = ids[keep].reshape(n, parts - 1)
+            keep = np.ones((n, parts - 1), bool)
+            keep[line, best] = False
+            rank = rank[keep].reshape(n, parts - 2)
+            left, right = np.flatnonzero(best > 0), np.flatnonzero(best < parts - 2)
+            rank[left, best[left] - 1] = self._pairs(ids[left, best[left] - 1], ids[left, best[left]])
+            rank[right, best[right]] = self._pairs(ids[right, best[right]], ids[right, best[right] + 1])
+        return out
+
+    def merged(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and how many each has. A piece that is a token is that token."""
+        whole = np.fromiter((self.rank.get(data[a : a + n].tobytes(), -1) for a, n in zip(starts.tolist(), size.tolist())), np.int64, len(starts))
+        count, found = np.ones(len(starts), np.int64), [(np.flatnonzero(whole >= 0), whole[whole >= 0][:, None])]
+        for length in np.unique(size[(whole < 0) & (size <= SHORT)]).tolist():
+            mine = np.flatnonzero((whole < 0) & (size == length))
+            found += [(mine[rows], ids) for rows, ids in self.merged_rows(data, starts[mine], length)]
+        for i in np.flatnonzero((whole < 0) & (size > SHORT)).tolist():
+            found.append((np.array([i]), np.array([self._merged_long(data[starts[i] : starts[i] + size[i]].tobytes())])))
+        for rows, ids in found:
+            count[rows] = ids.shape[1]
+        at = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        for rows, ids in found:
+            out[at[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, count
 
     def _merged_long(self, piece: bytes) -> list[int]:
-        """The same, with the pairs in a heap: as long as n log n for n bytes."""
+        """The ids of one piece, with its pairs in a heap: as long as n log n for n bytes."""
         rank, n = self.rank, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each byte; where the part before it starts
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
@@ -101,12 +172,11 @@ class Ranks:
 
     def _learn(self, found: K.Pieces, new: np.ndarray) -> np.ndarray:
         """Where the ids of the pieces new begin, and how many they are, as one number a piece."""
-        each = [self.merged(found.data[a : a + n].tobytes()) for a, n in zip(found.starts[new].tolist(), found.size[new].tolist())]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        total = int(sizes.sum())
+        ids, sizes = self.merged(found.data, found.starts[new], found.size[new])
+        total = len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in each for i in x), np.int32, total)
+        self.ids[self.used : self.used + total] = ids
         value = (self.used + np.cumsum(sizes) - sizes) << 30 | sizes
         self.used += total
         self.known.add(found, new, value)
@@ -191,16 +261,18 @@ def _parts(path: str):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                start, head, tail = (one.column(k)[0].as_py() for k in (3, 4, 5))
-                data = np.frombuffer(one.column(6)[0].as_py(), np.uint8)
-                ids, starts, sums, _ = ranks(path).encode(data, np.array([0, len(data)], np.int64))
-                h = starts <= head - SURE
-                t = (starts >= tail) & (starts <= len(data) - SURE)
-                each = [(ids, pa.int32()), (starts[h] + start, pa.int64()), (sums[:-1][h], pa.int32()), (starts[t] + start, pa.int64()), (sums[:-1][t], pa.int32())]
-                lists = [_lists(x, np.array([0, len(x)]), kind) for x, kind in each]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), *lists], ["at", "doc_id", "place", "ids", "heads", "head_ids", "tails", "tail_ids"])
+            start, head, tail = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            chunks = batch.column(6).to_pylist()
+            off = np.concatenate([[0], np.cumsum([len(x) for x in chunks])]).astype(np.int64)
+            for a, b in T.slices(off):
+                data, at = np.frombuffer(b"".join(chunks[a:b]), np.uint8), off[a : b + 1] - off[a]
+                ids, starts, sums, first = ranks(path).encode(data, at)
+                for i, (p, q) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    place, before = starts[p:q] - at[i], (sums[p:q] - sums[p]).astype(np.int32)
+                    h, t = place <= head[a + i] - SURE, (place >= tail[a + i]) & (place <= at[i + 1] - at[i] - SURE)
+                    each = [(ids[sums[p] : sums[q]], pa.int32()), (place[h] + start[a + i], pa.int64()), (before[h], pa.int32()), (place[t] + start[a + i], pa.int64()), (before[t], pa.int32())]
+                    lists = [_lists(x, np.array([0, len(x)]), kind) for x, kind in each]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a + i, 1) for k in range(3)), *lists], ["at", "doc_id", "place", "ids", "heads", "head_ids", "tails", "tail_ids"])
 
     return encode
 

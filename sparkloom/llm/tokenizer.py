@@ -173,6 +173,26 @@ def _byte_of_char() -> dict[str, int]:
 
 _ONE_BYTE = [bytes([i]) for i in range(256)]
 
+#: What is compiled: the settings of a tokenizer file that change its counts, and the values that they must have. truncation and padding
+#: are not used; of the pre-tokenizer trim_offsets, and the decoder, change no count.
+COMPILED = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def refuse_others(whole: dict, path: str) -> None:
+    """An error for a tokenizer file that sets anything else than what is compiled, so that none is counted wrongly."""
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False} | whole["model"]
+    given = {"normalizer": whole.get("normalizer"), "pre_tokenizer": whole.get("pre_tokenizer"), "model": {k: model[k] or COMPILED["model"][k] for k in COMPILED["model"]}}
+    if isinstance(given["pre_tokenizer"], dict):
+        given["pre_tokenizer"] = {k: given["pre_tokenizer"].get(k) for k in COMPILED["pre_tokenizer"]} | ({"more": True} if "pretokenizers" in given["pre_tokenizer"] else {})
+    odd = [k for k, v in COMPILED.items() if given[k] != v]
+    odd += [f"added token {t['content']!r}" for t in whole.get("added_tokens") or () if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"{path}: only byte-level BPE without a normalizer, a prefix space or word ends is compiled; other settings: {', '.join(odd)}")
+
 
 class PieceMachine:
     """Counts the tokens of one piece; transitions are compiled when first taken."""
@@ -183,6 +203,7 @@ class PieceMachine:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
+        refuse_others(whole, path)
         model, of = whole["model"], _byte_of_char()
         raw = {token: bytes(of[c] for c in token) for token in model["vocab"]}
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
@@ -419,7 +440,10 @@ def unspecial(texts: pa.Array, special: list[str]) -> tuple[pa.Array, np.ndarray
 
 
 def count_tokens(column: pa.Array, path: str) -> np.ndarray:
-    """The number of tokens of every text; special strings count one each."""
+    """The number of tokens of every text by a file with the settings of COMPILED, another is an error; special strings count one each.
+
+    The machine of the splitter is scanned in chunks; that of the pieces reads each distinct piece byte by byte.
+    """
     piece_machine, known = machine(path)
     texts, owner, total = unspecial(column.fill_null(""), piece_machine.special)
     data, off = T.flat(texts)

@@ -760,3 +760,20 @@ def test_stages_of_tables_in_folders_by_column(spark, docs, tmp_path, monkeypatc
     plain = corpus_pipeline.near_duplicates(spark, table(spark, docs), "").collect()
     got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
     assert sorted(str((r.doc_id, r.text and r.text.lower())) for r in got) == sorted(str((r.doc_id, r.text and r.text.lower())) for r in plain)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    for name in ("word_bpe_49k.json",):
+        with pytest.raises(ValueError, match="normalizer, pre_tokenizer, model"):
+            tokenizer.count_tokens(pa.array(["some text"]), public_tokenizers.path(name))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        whole = json.load(f)
+    tokenizer.refuse_others(whole, "x")
+    tokenizer.refuse_others(whole | {"model": {k: v for k, v in whole["model"].items() if k != "dropout"}}, "x")
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": whole["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": whole["model"] | {"ignore_merges": True}}, {"model": whole["model"] | {"end_of_word_suffix": "</w>"}}, {"added_tokens": [whole["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            tokenizer.refuse_others(whole | change, "x")
