@@ -72,6 +72,11 @@ def new_items(items: DataFrame, source: str, order: list[Column], key: str, curs
     return items.withColumn("_met", F.coalesce(met, F.lit(0))).withColumn("_rn", F.row_number().over(w)).filter((F.col("_met") == 0) & (F.col("_rn") <= most)).drop("_met", "_rn")
 
 
+def first_item(items: DataFrame, source: str, order: list[Column], key: str) -> DataFrame:
+    """(source, cursor): the key of each source's first item, at which the next reading stops."""
+    return items.groupBy(source).agg(F.min_by(key, F.struct(*order)).alias("cursor"))
+
+
 def request_times(rows: DataFrame, key: str, order: list[Column], at: Column, delay: Column, least: int) -> DataFrame:
     """Rows with start, when a limiter lets each request of a key through.
 

@@ -77,10 +77,3 @@ def expire_stale(items: DataFrame, status: str, seen: str, as_of: Column, days:
     stale = (F.col(status) == "published") & (F.col(seen) < as_of - F.make_dt_interval(F.lit(days)))
     stale = F.coalesce(stale & eligible if eligible is not None else stale, F.lit(False))
     return items.withColumn(status, F.when(stale, "expired").otherwise(F.col(status)))
-
-
-def without_blocked(rows: DataFrame, host: str, blocked: DataFrame) -> DataFrame:
-    """Rows whose host is not blocked (column host), nor lies below a blocked one; distinct hosts are looked up, each by its suffixes."""
-    each = rows.select(host).distinct().select(host, F.explode(urls.host_suffixes(F.col(host))).alias("_suffix"))
-    held = each.join(blocked.select(urls.bare_host(F.col("host")).alias("_suffix")).filter("_suffix <> ''"), "_suffix", "left_semi").select(host).distinct()
-    return rows.join(held, host, "left_anti").select(rows.columns)

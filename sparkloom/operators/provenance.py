@@ -41,6 +41,22 @@ def attribution(channel: Column, noise: Column, name: Column, ref: Column, brand
     return F.when(yes(channel), F.when(~yes(noise), out(F.coalesce(name, ref), True, ref))).otherwise(website)
 
 
+def plain_attribution(ref: Column, brand: Column, host: Column, blocks: Column, blocked: Column, own_words: Column, target: Column, target_blocked: Column) -> Column:
+    """(provider, first_party, ref) of a website's item by the older, simpler rules, null if it has no provider.
+
+    target is the first outside link, whatever its host; one to a blocked host is no provider. Articles and
+    pages of many links are not told apart.
+    """
+    nonempty = lambda x: F.when(x != "", x)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    brand, host, target = map(nonempty, (brand, host, target))
+    out = lambda provider, own, at: F.struct(provider.alias("provider"), F.lit(own).alias("first_party"), at.alias("ref"))
+    own = out(brand, True, F.coalesce(urls.origin(ref), F.concat(F.lit("https://"), host)))
+    other = out(F.coalesce(nonempty(urls.bare_host(target)), target), False, urls.origin(target))
+    named = brand.isNotNull()
+    return F.when(yes(blocked), None).when(yes(own_words) & named, own).when(target.isNotNull() & ~yes(target_blocked), other).when(yes(blocks <= 1) & named, own)
+
+
 def errors(valid_from: Column, valid_until: Column, kind: Column, value: Column, **links: Column) -> Column:
     """What is wrong with an offer, in order: bad_<link>, dates, value_missing, value_unwanted."""
     valued = F.coalesce(kind.isin(*VALUE_TYPES), F.lit(False))

@@ -124,7 +124,7 @@ def text_mail_hosts(t, spark, sf):
     """Hosts of the addresses in whole texts that may be sources: not one's own, free mail, foreign or blocked."""
     text = F.when(c("doc_id") % 5 == 0, F.concat("text", lit(" a@gmail.com, b@shop.de, c@deep.example.net d@own.ua"))).otherwise(c("text"))
     found = t("documents").select("doc_id", F.explode(U.mail_hosts(text, lit(None).cast("array<string>"), lit("https://own.ua/x"))).alias("host"))
-    return hosts.without_blocked(found, "host", spark.createDataFrame([(b,) for b in _BLOCKED], "host string"))
+    return hosts.not_blocked(found, "host", spark.createDataFrame([(b,) for b in _BLOCKED], "host string"))
 
 
 # ---- offers in texts ----
