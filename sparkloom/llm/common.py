@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_folder
 
-__all__ = ["by_place", "documents", "few", "join_counted", "made", "places", "release", "scanned", "session", "shared_folder", "unused", "written"]
+__all__ = ["appended", "by_place", "documents", "few", "join_counted", "made", "places", "release", "scanned", "session", "shared_folder", "unused", "written"]
 
 #: Python workers give large freed blocks back to the system at once, so that an idle worker holds little.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
@@ -43,14 +44,23 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: the lineage is cut and a lost executor costs nothing done before."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, a folder for each value of the column by: the lineage is cut and a lost executor costs nothing done before."""
     spark = df.sparkSession
     path = _new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The rows of frames of one schema as one table, each written before the next is made."""
+    path = schema = spark = None
+    for part in parts:
+        spark, schema, path = part.sparkSession, part.schema, path or _new_path(part.sparkSession, name)
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def made() -> int:
     """How many tables have been written; see release."""
     return len(_made)

@@ -6,9 +6,9 @@ more than once. Pass 2 asks for every row: only rows all of whose positions were
 hit again are shuffled by their digest and resolved exactly. All other rows are
 proven unique and go straight to the result. Texts are never shuffled.
 
-The filter grows with the table. Up to FILTER_BITMAPS bitmaps of 4 KB it is
-broadcast, and no other row moves. A larger one is not; then every row goes to its
-first position as 56 bytes (ids, digest, position), with no bitmap beside it.
+The filter grows with the table, and FILTER_BITMAPS bitmaps of 4 KB are broadcast at
+most. Where it is larger, rows are written by ranges of their hash, equal texts in
+one, and each range has both passes with a filter of its own; no more rows move.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, join_counted, written
+from .common import appended, join_counted, written
 
 #: Filter positions for each row; the filter grows with the table.
 BITS_PER_ROW = 16
 SEEDS = (1, 2)
+#: Of the hash by whose ranges rows are split.
+RANGE_SEED = 3
 #: Bitmaps of 32,768 positions, 4 KB each, that may be broadcast together: 64 MB, enough for 33 million rows.
 FILTER_BITMAPS = 16_384
 
@@ -65,13 +67,12 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
     of rows with the same doc_id one stays). Texts of any length are read whole. An
     empty table gives no rows; other columns of docs are not read.
     """
-    rows = written(digests(docs), "digests")
-    bits = max(1 << 15, rows.count() * bits_per_row)
-    if bits <= FILTER_BITMAPS << 15:
-        asked = _asked(rows, written(bitmaps(repeated(rows, bits)), "bloom"), bits)
-    else:
-        asked = _asked_by_position(rows, written(repeated(rows, bits, SEEDS[:1]), "positions"), bits)
-    asked = written(asked, "asked")
+    total = docs.count() * bits_per_row
+    ranges = _ranges(total)
+    bits = max(1 << 15, -(-total // ranges))
+    rows = digests(docs).withColumn("range", F.pmod(F.xxhash64("digest", F.lit(RANGE_SEED)), F.lit(ranges)).cast("int"))
+    rows = written(rows, "digests", by="range") if ranges > 1 else written(rows.drop("range"), "digests")
+    asked = appended((_asked_of(rows.filter(F.col("range") == i).drop("range") if ranges > 1 else rows, bits) for i in range(ranges)), "asked")
     unique = asked.filter(~F.col("maybe")).select("doc_id", "row", "digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     shared = asked.filter("maybe").select("doc_id", "row", "digest")
     groups = written(shared.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -89,10 +90,12 @@ def _asked(rows: DataFrame, table: DataFrame, bits: int) -> DataFrame:
     return asked.select("doc_id", "row", "digest", maybe.alias("maybe"))
 
 
-def _asked_by_position(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
-    """rows with maybe: whether their first position was hit again. A position of very many rows is broadcast and moves none of them."""
-    asked = rows.withColumn("at", _positions(bits)[0])
-    again = join_counted(asked, hits, ["at"], "n").select(*rows.columns, F.lit(True).alias("maybe"))
-    hot = F.broadcast(hits.orderBy(F.desc("n")).limit(HOT_KEYS).select("at"))
-    rest = asked.join(hot, "at", "left_anti").join(hits.select("at"), "at", "left_anti")
-    return again.unionByName(rest.select(*rows.columns, F.lit(False).alias("maybe")))
+def _asked_of(rows: DataFrame, bits: int) -> DataFrame:
+    """Both passes over the rows of one range, with a filter of so many positions."""
+    return _asked(rows, written(bitmaps(repeated(rows, bits)), "bloom"), bits)
+
+
+def _ranges(bits: int) -> int:
+    """Ranges, so that the filter of one may be broadcast. Its size is that of an even share: hashes spread different texts evenly, and
+    equal ones, however many, are at the same few positions."""
+    return max(1, -(-bits // (max(1, FILTER_BITMAPS) << 15)))

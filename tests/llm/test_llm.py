@@ -543,8 +543,9 @@ def test_exact_dedup_beyond_the_broadcast_filter(spark, docs, monkeypatch):
     monkeypatch.setattr(exact_dedup, "FILTER_BITMAPS", 0)
     frame = exact_dedup.exact_dedup(table(spark, rows))
     assert sorted(map(key, frame.collect())) == want
-    plan = exact_dedup._asked_by_position(*(lambda r: (r, exact_dedup.written(exact_dedup.repeated(r, 1 << 15, (1,)), "p"), 1 << 15))(exact_dedup.written(exact_dedup.digests(table(spark, rows)), "r")))
-    assert "bitmap" not in plan._jdf.queryExecution().toString() and "text" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    rows = exact_dedup.written(exact_dedup.digests(table(spark, rows)).withColumn("range", (F.col("row") % 3).cast("int")), "r", by="range")
+    plan = exact_dedup._asked_of(rows.filter("range = 1").drop("range"), 1 << 15)._jdf.queryExecution()
+    assert "text" not in plan.optimizedPlan().toString() and "PartitionFilters: [isnotnull(range" in plan.executedPlan().toString()
 
 
 def test_stages_beyond_the_broadcast_limit(spark, docs, monkeypatch):
@@ -777,3 +778,16 @@ def test_other_tokenizers_are_refused(tmp_path):
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": whole["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": whole["model"] | {"ignore_merges": True}}, {"model": whole["model"] | {"end_of_word_suffix": "</w>"}}, {"added_tokens": [whole["added_tokens"][0] | {"lstrip": True}]}):
         with pytest.raises(ValueError):
             tokenizer.refuse_others(whole | change, "x")
+
+
+def test_exact_dedup_by_ranges(spark, docs, monkeypatch):
+    """Where the filter is too large for one broadcast, rows are split by their hash; the result is the same."""
+    order = lambda df: sorted(map(tuple, df.drop("row").collect()), key=repr)
+    frame = table(spark, docs)
+    want = order(exact_dedup.exact_dedup(frame))
+    monkeypatch.setattr(exact_dedup, "FILTER_BITMAPS", 1)
+    seen = []
+    real = exact_dedup._asked_of
+    monkeypatch.setattr(exact_dedup, "_asked_of", lambda rows, bits: seen.append(rows.count()) or real(rows, bits))
+    assert order(exact_dedup.exact_dedup(frame, bits_per_row=1 << 10)) == want
+    assert len(seen) == -(-len(docs) * 1024 // 32768) > 3 and sum(seen) == len(docs)
