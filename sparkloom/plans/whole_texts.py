@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import offers
+from ..functions import offers, registered
 from ..functions import urls as U
 from ..operators import hosts
-from .queries import _ENC, _HOST, _KV, _PATH, c, lit, query
+from .queries import _ENC, _HOST, _KV, _PATH, ORACLES, c, lit, query
 
 
 def _listed(values: tuple[str, ...]) -> str:
@@ -137,9 +137,29 @@ select doc_id, case k when 0 then 'percent' when 1 then 'fixed' else 'free' end
   case when k = 1 then 'warrior' else 'veteran' end as audiences, title, sha256(trim(regexp_replace(lower(title), '\s+', ' ', 'g')) || ' | заклад | ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as hash from d where k < 3""")
 def text_offers(t, spark, sf):
     """Offers in whole texts: a promise by rule, and then the text itself, without figures."""
+    none = lit(None).cast("string")
+    made = offers.candidate(c("body"), c("url"), lit("Заклад"), none, none, none, F.array().cast("array<string>"), 2030)
+    found = _promised(t).select("doc_id", made.alias("offer")).filter("offer is not null")
+    return found.select("doc_id", "offer.kind", "offer.value", "offer.valid_until", F.array_join("offer.audiences", ",").alias("audiences"), "offer.title", c("offer.content_hash").alias("hash"))
+
+
+def _promised(t) -> DataFrame:
     n = c("doc_id")
     promise = F.when(n % 4 == 0, F.concat(lit("Знижка "), (n % 60 + 1).cast("string"), lit("% для ветеранів до 31.12.2030. "))).when(n % 4 == 1, F.concat(lit("Знижка "), (n % 900 + 100).cast("string"), lit(" грн на ноутбуки військовим. "))).when(n % 4 == 2, "Безкоштовний вхід до музею ветеранам. ").otherwise("")
-    text, none = F.concat(promise, F.coalesce(F.regexp_replace("text", "[0-9%]", " "), lit(""))), lit(None).cast("string")
-    made = offers.candidate(text, F.concat(lit("https://a.ua/"), n.cast("string")), lit("Заклад"), none, none, none, F.array().cast("array<string>"), 2030)
-    found = t("documents").select("doc_id", made.alias("offer")).filter("offer is not null")
-    return found.select("doc_id", "offer.kind", "offer.value", "offer.valid_until", F.array_join("offer.audiences", ",").alias("audiences"), "offer.title", c("offer.content_hash").alias("hash"))
+    return t("documents").select("doc_id", F.concat(promise, F.coalesce(F.regexp_replace("text", "[0-9%]", " "), lit(""))).alias("body"), F.concat(lit("https://a.ua/"), n.cast("string")).alias("url"))
+
+
+@query(ORACLES["text_offers"])
+def sql_offers(t, spark, sf):
+    """text_offers as a user of SQL writes it, with the library's functions of SQL."""
+    registered.register(spark, ["offer_in", "offers_in"])
+    found = "select d.doc_id, o.kind, o.value, o.valid_until, o.audiences, o.title, o.content_hash as hash from {promised} as d, lateral offers_in(d.body, d.url, 'Заклад', 2030) as o"
+    return spark.sql(found, promised=_promised(t))
+
+
+@query(ORACLES["text_handles"])
+def sql_handles(t, spark, sf):
+    """text_handles in SQL."""
+    registered.register(spark, ["social_handles", "handles_in"])
+    named = t("documents").select("doc_id", _named(c("text")).alias("body"))
+    return spark.sql("select d.doc_id, h.type, h.handle from {named} as d, lateral handles_in(d.body) as h", named=named)
