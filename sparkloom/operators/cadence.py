@@ -5,7 +5,7 @@ Times are seconds as numbers; the present is always an argument.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import running
@@ -66,10 +66,10 @@ def rejections(rows: DataFrame, host: str) -> DataFrame:
 
 
 def new_items(items: DataFrame, source: str, order: list[Column], key: str, cursor: str, most: int) -> DataFrame:
-    """Per source the leading items up to the one that the cursor names, at most so many."""
-    w = Window.partitionBy(source).orderBy(*order)
-    met = F.max((F.col(key) == F.col(cursor)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("_met", F.coalesce(met, F.lit(0))).withColumn("_rn", F.row_number().over(w)).filter((F.col("_met") == 0) & (F.col("_rn") <= most)).drop("_met", "_rn")
+    """Per source the leading items up to the one that the cursor names, at most so many; the order is unique in a source. A source of very many items is walked by ranges."""
+    met = F.coalesce((F.col(key) == F.col(cursor)).cast("int"), F.lit(0))
+    along = running(items, [source], order, {"_met": ("max", met), "_rn": ("count", F.lit(1))})
+    return along.filter((F.col("_met") == 0) & (F.col("_rn") <= most)).drop("_met", "_rn")
 
 
 def first_item(items: DataFrame, source: str, order: list[Column], key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import numbered, running
@@ -35,8 +35,8 @@ def rotation(rows: DataFrame, position: str, size: int, cursor: int, n: int) ->
 
 
 def interleave(feeds: DataFrame, feed: str, order: list[Column]) -> DataFrame:
-    """Rows with their round: the k-th of every feed before the next of any."""
-    return feeds.withColumn("round", F.row_number().over(Window.partitionBy(feed).orderBy(*order)))
+    """Rows with their round: the k-th of every feed before the next of any. The order is unique in a feed; a feed of very many rows is numbered by ranges."""
+    return running(feeds, [feed], order, {"round": ("count", F.lit(1))})
 
 
 def top(rows: DataFrame, eligible: Column, order: list[Column], n: int, known: DataFrame | None = None, key: str | None = None) -> DataFrame:
@@ -65,7 +65,8 @@ def retain_bytes(rows: DataFrame, group: list[str], newest_first: list[Column],
 
 
 def newest(rows: DataFrame, group: list[str], newest_first: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*newest_first))).filter(F.col("_rn") <= n).drop("_rn")
+    """The first n rows of each group; a group of very many rows is numbered by ranges."""
+    return running(rows, group, newest_first, {"_rn": ("count", F.lit(1))}).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def unseen(rows: DataFrame, key: Column, known: DataFrame, known_key: Column) -> DataFrame:

@@ -22,8 +22,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that written made and release has not deleted.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage is cut and a lost executor costs nothing done before."""
     path = new_path(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many tables there are between steps; see release."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written after the first since ones. Results that read them end with them, so write these first."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _made[since:]:
+        make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(make(path), True)
+    del _made[since:]

@@ -170,3 +170,13 @@ def test_a_save_that_fails_leaves_what_was(spark, monkeypatch):
     assert read() == [0, 1, 2]
     files.save_state(spark.range(4), path)
     assert read() == [0, 1, 2, 3]
+
+
+def test_tables_between_steps_are_released(spark):
+    kept = storage.written(spark.range(3), "kept")
+    began = storage.made()
+    paths = [storage.written(spark.range(n), "gone").inputFiles()[0] for n in (1, 2)]
+    storage.release(spark, began)
+    assert storage.made() == began and kept.count() == 3
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    assert not any(make(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(make(p)) for p in paths)

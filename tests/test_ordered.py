@@ -81,3 +81,20 @@ def test_an_axis_is_bounded(spark, monkeypatch):
     assert feeds.grid(axis, axis.limit(2)).count() == 6
     with pytest.raises(ValueError):
         feeds.grid(axis.limit(2), axis)
+
+
+def test_feeds_and_cursors_of_hot_groups(spark, monkeypatch):
+    """What a hot feed or source gives does not depend on whether it is walked in one piece or by ranges."""
+    rows = spark.createDataFrame([(1 if i % 5 else 2 + i % 3, i, "x" if i in (30, 7, 61) else None if i % 11 == 0 else "y") for i in range(200)], "s long, p long, k string").withColumn("cur", F.lit("x")).repartition(6)
+    found = []
+    for limit in (ordered.GROUP_ROWS, 10):
+        monkeypatch.setattr(ordered, "GROUP_ROWS", limit)
+        found.append((
+            sorted(map(repr, feeds.interleave(rows, "s", [F.desc("p")]).select("s", "p", "round").collect())),
+            sorted(map(repr, feeds.newest(rows, ["s"], [F.desc("p")], 7).select("s", "p").collect())),
+            sorted(map(repr, cadence.new_items(rows, "s", [F.col("p")], "k", "cur", 25).select("s", "p").collect())),
+        ))
+    assert found[0] == found[1]
+    hot = sorted(i for i in range(200) if i % 5)
+    assert sum("s=1," in r for r in found[0][1]) == 7
+    assert sum("s=1," in r for r in found[0][2]) == hot.index(7)
