@@ -166,10 +166,13 @@ class Field:
 
     def __init__(self, node: np.ndarray, chain: float, skip: float):
         self.node, self.chain, self.skip = node, chain, skip
+        #: Whether the messages of the last text had stopped changing.
+        self.settled = True
 
     def posterior(self, graph: Graph, clamp: np.ndarray) -> np.ndarray:
         """Beliefs of all units by sum-product messages; units with a base label keep it."""
         n, k = len(graph.units), len(LABELS)
+        self.settled = True
         local = graph.x @ self.node
         for i in np.flatnonzero(clamp):
             local[i] = -30
@@ -202,12 +205,13 @@ class Field:
             count = first[reached + 1] - first[reached]
             following = by_source[np.repeat(first[reached] - np.cumsum(count) + count, count) + np.arange(count.sum())]
             active = np.unique(np.concatenate([moved, following]))
+        self.settled = not len(active)
         total = np.exp(total - total.max(1, keepdims=True))
         return total / total.sum(1, keepdims=True)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        """Units that messages label with certainty and that touch no base span."""
-        graph = Graph(text)
+        """Units that messages label with certainty and that touch no base span; settled says whether the messages stopped."""
+        graph, self.settled = Graph(text), True
         if not graph.units:
             return []
         gold = graph.gold(base)
@@ -224,19 +228,27 @@ class Field:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.5) -> Field:
-    """examples: features, labels, and for each unit how many chain and skip neighbours that have a sure label have each label."""
+    """examples: features, labels, for each unit how many chain and skip neighbours that have a sure label have each label, and how many
+    linked mentions have which two base labels.
+
+    Where both of two linked mentions are clear, one is also learnt from with its own features hidden, so that only
+    the other can tell its label: these pairs, by themselves, teach what a skip edge is worth.
+    """
     k = len(LABELS)
     if not examples:
         return Field(np.zeros((FEATURES, k)), 0.0, 0.0)
     x, y, chain, skip = (np.concatenate([e[i] for e in examples]) for i in range(4))
     node, pair, prior = np.zeros((FEATURES, k)), np.array([0.0, SKIP_PRIOR]), np.array([0.0, SKIP_PRIOR])
+    linked = sum((np.asarray(e[4]).reshape(k, k) for e in examples if len(e) > 4), np.zeros((k, k)))
+    agree = np.trace(linked) / linked.sum() if linked.any() else None
     for _ in range(steps):
         logits = x @ node + pair[0] * chain + pair[1] * skip
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         node -= rate * (x.T @ p / len(y) + 1e-3 * node)
-        pair -= rate * (np.array([(p * chain).sum() / len(y), (p * skip).sum() / len(y)]) + 1e-3 * (pair - prior))
+        hidden = 0.0 if agree is None else np.exp(pair[1]) / (np.exp(pair[1]) + k - 1) - agree
+        pair -= rate * (np.array([(p * chain).sum() / len(y), (p * skip).sum() / len(y) + hidden]) + 1e-3 * (pair - prior))
     # large weights only slow the messages down
     return Field(node, float(np.clip(pair[0], -1, 1)), float(np.clip(pair[1], -SKIP_MOST, SKIP_MOST)))
 
@@ -257,9 +269,14 @@ def _examples(text: str) -> tuple[np.ndarray, ...] | None:
             counts[a, y[b]] += sure[b]
             counts[b, y[a]] += sure[a]
         near.append(counts)
+    linked = np.zeros((len(LABELS), len(LABELS)))
+    for a, b in graph.skip:
+        if y[a] and y[b]:
+            linked[y[a], y[b]] += 1
+            linked[y[b], y[a]] += 1
     kept = np.flatnonzero(sure)
     kept = kept[:: -(-len(kept) // SAMPLE_UNITS) or 1]
-    return graph.x[kept], y[kept], near[0][kept], near[1][kept]
+    return graph.x[kept], y[kept], near[0][kept], near[1][kept], linked
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
@@ -270,12 +287,12 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
         for batch in batches:
             seen = {h: e for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (e := _examples(t)) is not None}
             rows = [[np.ascontiguousarray(p, "<f8").tobytes() for p in e] for e in seen.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], ["th", "x", "y", "chain", "skip"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(5))], ["th", "x", "y", "chain", "skip", "linked"])
 
     sample = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "th")
-    found = sample.mapInArrow(run, "th long, x binary, y binary, chain binary, skip binary").dropDuplicates(["th"]).collect()
+    found = sample.mapInArrow(run, "th long, x binary, y binary, chain binary, skip binary, linked binary").dropDuplicates(["th"]).collect()
     k = len(LABELS)
-    return train([tuple(np.frombuffer(v, "<f8").reshape(-1, w) if w else np.frombuffer(v, "<f8").astype(int) for v, w in zip(r[1:], (FEATURES, 0, k, k))) for r in sorted(found)])
+    return train([tuple(np.frombuffer(v, "<f8").reshape(-1, w) if w else np.frombuffer(v, "<f8").astype(int) for v, w in zip(r[1:], (FEATURES, 0, k, k, k))) for r in sorted(found)])
 
 
 def _text(spans: list[Span]) -> str:
@@ -283,10 +300,11 @@ def _text(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, the number of base spans by kind, base_sha256, spans, n_added.
+    """One row for each row of docs: doc_id, the number of base spans by kind, base_sha256, spans, n_added, settled.
 
     Spans are kind:start:end in code points, end exclusive, by start and then by
-    kind. base_sha256 is of the base spans' text; spans has the field's too. A null
+    kind. base_sha256 is of the base spans' text; spans has the field's too. settled is false where messages still changed after VISITS
+    rounds over their edges; the beliefs are then those of the last. A null
     or empty text has none, a null doc_id stays null. Texts of any length are read whole,
     in linear time. Rows that repeat get equal results; other columns of docs are not
     read; an empty table gives no rows.
@@ -297,17 +315,17 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
         none = ("", hashlib.sha256(b"").hexdigest(), "")
         for batch in batches:
             texts = batch.column(1).fill_null("")
-            rows = [(0, 0, 0, 0, none[1], none[2], 0)] * len(texts)
+            rows = [(0, 0, 0, 0, none[1], none[2], 0, True)] * len(texts)
             for i in np.flatnonzero(pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False)).tolist():
                 text = texts[i].as_py()
                 base = base_spans(text)
                 added = field.added(text, base)
                 counts = [sum(s[2] == k for s in base) for k in range(4)]
-                rows[i] = (*counts, hashlib.sha256(_text(base).encode()).hexdigest(), _text(sorted(base + added, key=lambda s: (s[0], s[2]))), len(added))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                rows[i] = (*counts, hashlib.sha256(_text(base).encode()).hexdigest(), _text(sorted(base + added, key=lambda s: (s[0], s[2]))), len(added), field.settled)
+            columns = list(zip(*rows)) if rows else [()] * 8
+            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "settled"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, settled boolean"
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)

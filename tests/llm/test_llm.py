@@ -791,3 +791,24 @@ def test_exact_dedup_by_ranges(spark, docs, monkeypatch):
     monkeypatch.setattr(exact_dedup, "_asked_of", lambda rows, bits: seen.append(rows.count()) or real(rows, bits))
     assert order(exact_dedup.exact_dedup(frame, bits_per_row=1 << 10)) == want
     assert len(seen) == -(-len(docs) * 1024 // 32768) > 3 and sum(seen) == len(docs)
+
+
+def test_linked_mentions_teach_the_skip_weight(spark, monkeypatch):
+    """Clear mentions of one thing that agree make a skip edge worth more than its prior; such that do not, less; without any it is the prior."""
+    k = len(pii.LABELS)
+    x, none = np.zeros((4, pii.FEATURES)), np.zeros((4, k))
+    plain = (x, np.array([0, 0, 1, 2]), none, none)
+    same, other = np.zeros((k, k)), np.zeros((k, k))
+    same[1, 1] = same[2, 2] = 6
+    other[1, 2] = other[2, 1] = 6
+    learnt = [pii.train([(*plain, *more)]).skip for more in ((), (same,), (other,))]
+    assert learnt[0] == pytest.approx(pii.SKIP_PRIOR, abs=1e-6) and learnt[1] > pii.SKIP_PRIOR + 0.2 and learnt[2] < pii.SKIP_PRIOR - 0.2
+    text = "write to a.b@c.org or a.b@c.org, not to x@y.net"
+    linked = pii._examples(text)[4]
+    assert linked[1, 1] == 2 and linked.sum() == 2
+    docs = table(spark, [(1, text + " call 017 5550199 or 017 5550199 again", "s"), (2, None, "s")])
+    assert all(r.settled for r in pii.find_pii(docs).collect())
+    monkeypatch.setattr(pii, "VISITS", 0)
+    field = pii.train([pii._examples(text)])
+    field.added(text, pii.base_spans(text))
+    assert not field.settled
