@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,45 +16,129 @@ from ..storage import written
 DISCOUNT_RANK = {"free": 3, "percent": 2, "fixed": 1}
 
 
+#: Tokens of the classes that one task meets at a time, about; a pair of such blocks is a group.
+BLOCK_TOKENS = 1 << 21
+#: So many of the commonest tokens are told apart by how common they are; the rest counts as rare.
+COMMON_TOKENS = 1 << 17
+
+
+def _near_pairs(ids: np.ndarray, size: np.ndarray, tokens: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs (larger, smaller) of ids, one of each side, or both of side 0 if there is no other, whose sets have at least threshold in common.
+
+    tokens has the sets one behind the other, each ascending, rare numbers first. Of like classes the smaller one's first
+    tokens hold one of the larger one's (prefix filter); what shares one is counted exactly.
+    """
+    if not len(tokens):
+        return
+    n, (_, code) = size, np.unique(tokens, return_inverse=True)
+    code = code.astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(size)])
+    of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    place = (np.arange(len(code)) - start[of]).astype(np.int32)
+    prefix = lambda share: np.maximum(size - np.ceil(n * share - 1e-9).astype(np.int64) + 1, 0).clip(max=size)
+    large, small = prefix(threshold), prefix(2 * threshold / (1 + threshold))
+    inside, mark = not side.any(), np.zeros(code.max() + 1, bool)
+    for other in (0,) if inside else (0, 1):
+        rows = np.flatnonzero((place < small[of]) & (side[of] == other))
+        rows = rows[np.argsort(code[rows], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code[rows], minlength=len(mark)))])
+        for i in np.flatnonzero((side == 0) if inside else (side != other)).tolist():
+            own = code[start[i] : start[i] + large[i]]
+            count = ends[own + 1] - ends[own]
+            total = int(count.sum())
+            if not total:
+                continue
+            at = np.repeat(np.arange(len(own)), count)
+            hit = rows[np.arange(total) + np.repeat(ends[own] - (np.cumsum(count) - count), count)]
+            j = of[hit]
+            ok = ((n[j] < n[i]) | ((n[j] == n[i]) & (ids[j] > ids[i]))) & (n[j] >= n[i] * threshold)
+            # the first token in common is at these places: no more can follow than is left of either
+            ok &= np.minimum(size[i] - at, size[j] - place[hit]) >= np.ceil((n[i] + n[j]) * (threshold / (1 + threshold)) - 1e-9)
+            j = np.unique(j[ok])
+            if not len(j):
+                continue
+            mark[code[start[i] : start[i + 1]]] = True
+            for k in j.tolist():
+                both = int(np.count_nonzero(mark[code[start[k] : start[k + 1]]]))
+                if both >= threshold * (n[i] + n[k] - both):
+                    yield int(ids[i]), int(ids[k])
+            mark[code[start[i] : start[i + 1]]] = False
+
+
+def _numbered(rows: DataFrame, tokens: str, common: np.ndarray) -> DataFrame:
+    """rows with their hashed tokens as numbers in one order, the common ones last, the commonest as the greatest."""
+    known = np.sort(common)
+    number = len(common) - np.argsort(common, kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(tokens)
+            value, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            out = value | np.int64(-(2**63))
+            if len(known):
+                at = np.searchsorted(known, value).clip(max=len(known) - 1)
+                out = np.where(known[at] == value, number[at], out)
+            out = out[np.lexsort((out, np.repeat(np.arange(len(size)), size)))]
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays([made if c == tokens else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _met(classes: DataFrame, host: str, threshold: float) -> DataFrame:
+    """(class, ends): the pairs (p, q) of blocks that a class (host, class, n) is searched in, and its side in each.
+
+    A block is a range of sizes of a host, or a part of one that is large; only blocks that can hold like classes are paired.
+    """
+    sizes = classes.groupBy(host, "n").agg((F.count(F.lit(1)) * F.col("n")).alias("tokens"))
+    before = F.sum("tokens").over(Window.partitionBy(host).orderBy("n")) - F.col("tokens")  # as many rows as there are sizes
+    sizes = sizes.select(host, "n", F.floor(before / BLOCK_TOKENS).alias("first"), F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("parts"))
+    blocked = written(classes.join(sizes, [host, "n"]).select(host, "class", "n", (F.col("first") + F.pmod(F.xxhash64("class"), "parts")).alias("block")), "promos")
+    blocks = blocked.groupBy(host, "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p, q = (blocks.select(host, F.col("block").alias(b), F.col("lo").alias(f"lo_{b}"), F.col("hi").alias(f"hi_{b}")) for b in "pq")
+    pairs = p.join(q, host).filter((F.col("p") <= F.col("q")) & (F.col("hi_p") >= F.col("lo_q") * threshold) & (F.col("hi_q") >= F.col("lo_p") * threshold))
+    end = lambda b, side: F.struct(F.col(b).alias("block"), F.lit(side).alias("side"))
+    both = F.when(F.col("p") == F.col("q"), F.array(end("p", 0))).otherwise(F.array(end("p", 0), end("q", 1)))
+    ends = pairs.select(host, "p", "q", F.explode(both).alias("e")).groupBy(host, "e.block").agg(F.collect_list(F.struct("p", "q", "e.side")).alias("ends"))
+    return blocked.join(ends, [host, "block"]).select("class", "ends")
+
+
 def _alike(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, class) and (class, l): items of a host with equal tokens and magnitudes are one class, named by its least key; l is a like class with all magnitudes of class.
 
-    Of like classes the smaller one's rarest tokens hold one of the larger one's
-    (prefix filter), so candidates come from an equality join on host and token; they
-    are compared exactly afterwards.
+    Tokens are 64-bit hashes under a key of this call. Classes are cut into blocks by size, and every two blocks that can hold
+    like classes are searched by one task (_near_pairs), so neither candidates nor the token sets of pairs are shuffled.
     """
-    base = written(items.select(host, F.col(key).alias("id"), F.sort_array(tokens).alias("t"), F.sort_array(magnitudes).alias("m")), "promos")
-    base = base.filter((F.size("m") > 0) & (F.size("t") > 0) & F.col(host).isNotNull())
-    of = F.unhex(F.sha2(F.concat_ws("\u0001", F.col(host), F.concat_ws("\u0002", "t"), F.concat_ws("\u0002", F.transform("m", lambda x: x.cast("string")))), 256))
-    named = written(base.select("id", of.alias("same")), "promos")
-    least = named.groupBy("same").agg(F.min("id").alias("class"))
-    named = written(named.join(least, "same").select("id", "class"), "promos")
+    given = items.select(F.col(host).alias("host"), F.col(key).alias("id"), F.sort_array(tokens).alias("t"), F.sort_array(magnitudes).alias("m"))
+    given = given.filter((F.size("m") > 0) & (F.size("t") > 0) & F.col("host").isNotNull())
+    same = F.unhex(F.sha2(F.concat_ws("\u0001", "host", F.concat_ws("\u0002", "t"), F.concat_ws("\u0002", F.transform("m", lambda x: x.cast("string")))), 256))
+    secret = F.lit(secrets.randbits(63))
+    given = given.select("host", "id", "m", same.alias("same"), F.transform("t", lambda w: F.xxhash64(secret, w)).alias("x"))
+    often = given.select(F.explode("x").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(COMMON_TOKENS)
+    common = np.array([r[0] for r in often.select("token").collect()], np.int64)
+    base = written(_numbered(given, "x", common), "promos")
+    least = base.groupBy("same").agg(F.min("id").alias("class"))
+    named = written(base.select("id", "same").join(least, "same").select("id", "class"), "promos")
     # a class has the least id of its items
-    classes = base.join(named.filter("id = class").select("id"), "id", "left_semi").withColumnRenamed("id", "class")
-    each = classes.select(host, "class", F.size("t").alias("n"), F.explode("t").alias("token"))
-    rarity = each.groupBy(host, "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = each.join(rarity, [host, "token"]).groupBy(host, "class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
-    ranked = written(ranked, "promos")
-
-    def prefix(share: float, *names: str) -> DataFrame:
-        """Of each class the first tokens, all but a share of them and one; tokens of one class alone come first and are not in x."""
-        kept = F.greatest(F.size("x") - F.ceil(F.col("n") * share - 1e-9) + 1, F.lit(0)).cast("int")
-        rows = ranked.select(host, "class", "n", F.size("x").alias("s"), F.posexplode(F.slice("x", F.lit(1), kept)["token"]).alias("pos", "token"))
-        return rows.select(host, "token", *(F.col(c).alias(new) for c, new in zip(("class", "n", "pos", "s"), names)))
-
-    larger = prefix(threshold, "c1", "n1", "p1", "s1")
-    smaller = prefix(2 * threshold / (1 + threshold), "c2", "n2", "p2", "s2")
-    need = F.ceil((F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
-    near = larger.join(smaller, [host, "token"]).filter((F.col("n1") >= F.col("n2")) & (F.col("n2") >= F.col("n1") * threshold) & (F.col("c1") != F.col("c2")))
-    # the first token in common is at these places: no more can follow than is left of either
-    near = near.filter(F.least(F.col("s1") - F.col("p1"), F.col("s2") - F.col("p2")) >= need).select("c1", "c2").distinct()
-    t = lambda i: classes.select(F.col("class").alias(f"c{i}"), F.col("t").alias(f"t{i}"), F.col("m").alias(f"m{i}"))
-    both = F.size(F.array_intersect("t1", "t2"))
-    like = near.join(t(1), "c1").join(t(2), "c2").filter(both >= threshold * F.size(F.array_union("t1", "t2")))
+    classes = base.select("host", F.col("id").alias("class"), F.size("x").alias("n")).join(named.filter("id = class").select("class"), "class", "left_semi")
+    met = written(_met(classes, "host", threshold), "promos")
+    rows = base.select("host", F.col("id").alias("class"), "x").join(met, "class").select("host", "class", "x", F.explode("ends").alias("e")).select("host", "e.p", "e.q", "e.side", "class", "x")
+
+    def search(rows: pa.Table) -> pa.Table:
+        sets = rows["x"].combine_chunks()
+        size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = list(_near_pairs(rows["class"].to_numpy(), size, sets.flatten().to_numpy(zero_copy_only=False), rows["side"].to_numpy(), threshold))
+        c1, c2 = zip(*found) if found else ((), ())
+        return pa.table({"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64())})
+
+    near = written(rows.withColumn("class", F.col("class").cast("long")).groupBy("host", "p", "q").applyInArrow(search, "c1 long, c2 long"), "promos")
+    m = lambda i: base.select(F.col("id").alias(f"c{i}"), F.col("m").alias(f"m{i}"))
     has = lambda a, b: F.size(F.array_except(b, a)) == 0
     ways = F.array(F.when(has("m1", "m2"), F.struct(F.col("c2").alias("class"), F.col("c1").alias("l"))), F.when(has("m2", "m1"), F.struct(F.col("c1").alias("class"), F.col("c2").alias("l"))))
+    like = near.join(m(1), "c1").join(m(2), "c2")
     return named, like.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.class", "w.l")
 
+
 def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float = 0.6) -> DataFrame:
     """(dup_id, keep_id): each item with the first earlier item of its host that has all its magnitudes and a like text.
 

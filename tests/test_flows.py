@@ -180,3 +180,18 @@ def test_tables_between_steps_are_released(spark):
     assert storage.made() == began and kept.count() == 3
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     assert not any(make(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(make(p)) for p in paths)
+
+
+def test_like_items_are_found_across_blocks(spark, monkeypatch):
+    """Blocks of few tokens, so that like items of a host meet in pairs of blocks."""
+    monkeypatch.setattr(resolution, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(resolution, "COMMON_TOKENS", 3)
+    rnd = random.Random(5)
+    rows = [("h" if i % 3 else "g", i, sorted(rnd.sample("abcdefghijkl", rnd.randrange(1, 9))), sorted(rnd.sample([1, 2], rnd.choice([1, 2])))) for i in range(300)]
+    want = {}
+    for (h1, a, t1, m1), (h2, b, t2, m2) in itertools.combinations(rows, 2):
+        if h1 == h2 and set(m2) <= set(m1) and len(set(t1) & set(t2)) >= 0.6 * len(set(t1) | set(t2)):
+            want.setdefault(b, a)
+    frame = spark.createDataFrame(rows, "host string, id long, t array<string>, m array<int>")
+    got = dict(tuple(r) for r in resolution.promo_duplicates(frame, "host", "id", "t", "m").collect())
+    assert got == want and len(got) > 100
