@@ -168,3 +168,33 @@ def test_state_is_replaced_as_a_whole(spark, tmp_path):
         files.save_state(spark.range(n), path)
     assert files.json_lines(spark, path, "id long, v string", {"v": "x"}).collect() == [(0, "x")] and files.json_lines(spark, path + "none", "id long").count() == 0
     assert [p.name for p in tmp_path.iterdir() if "." in p.name.strip(".")] == []
+
+
+def test_a_reference_that_was_cut_off_stays(spark):
+    page = "<html><head><title>Salt &amp; oil &amp</title></head><body><p>Thirty letters and more of salt &amp; oil &copy</p><p><a href='/x?a=1&copy=2'>link</a></p></body></html>"
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    assert [r.title for r in html.metadata(pages).orderBy("page_id").collect()] == ["Salt & oil &amp", None]
+    assert [r.text for r in html.blocks(pages).collect()] == ["Thirty letters and more of salt & oil &copy"]
+    assert [r.href for r in html.links(pages).collect()] == ["/x?a=1&copy=2"]
+
+
+def test_the_first_block_of_a_page_leads_by_its_place(spark, tmp_path):
+    """Items over a million move a line's place behind the next one's, in the title as in the SQL."""
+    from sparkloom.plans import extraction as plans  # noqa: F401
+    from sparkloom.plans.queries import QUERIES
+
+    line = spark.range(1).select(F.lit(1).cast("long").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1_100_000).cast("long").alias("l_partkey"), F.lit(5).cast("long").alias("l_suppkey"), F.lit(3.0).alias("l_quantity"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.title for r in QUERIES["page_offers"](spark, str(tmp_path)).collect()] == ["T2"]
+
+
+def test_an_offer_and_its_accounts_are_made_once(spark):
+    """Patterns are in the plan once for each time that they are tried on a text."""
+    rows = spark.createDataFrame([("@Shop_a t.me/shop_A instagram.com/x.y facebook.com/zz @other1", "https://a.ua/x")], "body string, url string")
+    found = rows.select(F.explode_outer(U.handles(F.col("body"))).alias("x")).filter("x is not null")
+    assert [(r.x.type, r.x.handle) for r in found.collect()] == [("telegram", "shop_A"), ("telegram", "other1"), ("instagram", "x.y"), ("facebook", "zz")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("t\\.me/") == 1
+    none = F.lit(None).cast("string")
+    offer = offers.candidate(F.col("body"), F.col("url"), F.lit("Заклад"), none, none, none, F.array().cast("array<string>"), 2030)
+    plan = rows.select(F.explode(F.array(offer)).alias("o")).select("o.kind", "o.value", "o.title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(offers.PRICE_RANGE) == 1

@@ -33,3 +33,9 @@ def test_pages_that_say_nothing(spark):
     assert one(spark, markup.visible_text, None) == "" and one(spark, markup.visible_text, " a\n<b> c") == "a c"
     assert one(spark, markup.language, "<html lang=''>") is None
     assert len(one(spark, markup.visible_text, "<p>word " * 50_000)) == 5 * 50_000 - 1
+
+
+def test_a_text_in_an_attribute_is_read_as_it_was(spark):
+    text = "Salt &amp; \"oil\" <b> it's &"
+    row = spark.createDataFrame([(text,)], "t string").select(F.concat(F.lit("<meta content=\""), markup.quoted(F.col("t")), F.lit("\" property='og:title'>")).alias("h"))
+    assert row.select(markup.card(F.col("h"))).first()[0] == text

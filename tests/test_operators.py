@@ -243,3 +243,24 @@ def test_equal_new_offers_link_once(spark):
     sources = offers.filter("source_host is not null").select(F.col("source_host").alias("host"))
     found = provenance.promoted(offers.withColumn("article", F.lit(None).cast("string")), sources, "id", F.lit(True), "site", "article", "content")
     assert {tuple(r) for r in found.collect()} == {(1, "a.ua", True, True), (2, "a.ua", True, False), (3, "b.ua", False, False), (6, "b.ua", False, True)}
+
+
+def test_term_counts_are_made_once(spark):
+    from sparkloom.operators import mining
+
+    rows = spark.createDataFrame([("a b", True, "h"), ("b c", False, "g")], "t string, p boolean, h string")
+    counts = mining.term_counts(rows, F.split("t", " "), F.col("p"), F.lit(1), F.col("h"), F.lit(False))
+    scores = mining.log_odds(counts)
+    assert scores.count() == 3 and "Generate explode" not in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replay_by_class_is_replay_by_tokens():
+    rnd = random.Random(3)
+    subs = [_sub(i, hash=f"h{i}", article=rnd.choice(["a", "a/1", "a/2", "a/3"]), host="a", source=rnd.choice([None, 1, 2]), mags=[rnd.choice("pq")], tokens=sorted(rnd.sample("abcde", 3)), blocked=rnd.random() < 0.1) for i in range(200)]
+    kinds = sorted({(tuple(s["mags"]), tuple(s["tokens"])) for s in subs})
+    like = lambda a, b: set(a[0]) <= set(b[0]) and len(set(a[1]) & set(b[1])) >= 0.6 * len(set(a[1]) | set(b[1]))
+    named = []
+    for s in subs:
+        own = (tuple(s["mags"]), tuple(s["tokens"]))
+        named.append({k: v for k, v in s.items() if k != "tokens"} | {"class": kinds.index(own), "likes": [i for i, k in enumerate(kinds) if like(own, k)]})
+    assert replay.replay(iter(named), ordered=True) == replay.replay(subs)

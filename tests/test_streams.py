@@ -222,3 +222,11 @@ def test_ranges_of_a_cursor():
     parts = reader.partitions({"cursor": -(1 << 63)}, {"cursor": 1000})
     assert (parts[0].low, parts[-1].high, len(parts)) == (4, 1000, 4) and all(a.high == b.low for a, b in zip(parts, parts[1:]))
     assert reader.partitions({"cursor": 1000}, {"cursor": 1000}) == []
+
+
+def test_rows_exactly_gap_apart_are_two_sessions(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = spark.createDataFrame([(0, 1, at(100)), (0, 1, at(106)), (0, 1, at(111)), (1, 1, at(3))], "batch int, k long, ts timestamp").select("ts", "k", "batch")
+    assert keyed.latest_ms(rows, "batch", "ts") == 108 * 3_600_000 and keyed.latest_ms(rows.limit(0), "batch", "ts") == 0
+    found = keyed.in_order(keyed.with_end(rows, "batch", 2, "ts"), "batch", 3, lambda s: keyed.sessions(s, "ts", "6 hours", "k", f"{108 * 3_600_000} milliseconds"))
+    assert sorted((r.start, r.finish, r.n) for r in found.filter("k is not null").collect()) == [(at(3), at(9), 1), (at(100), at(106), 1), (at(106), at(117), 2)]
