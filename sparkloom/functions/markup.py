@@ -23,6 +23,13 @@ def plain(text: Column) -> Column:
     return text
 
 
+def quoted(text: Column) -> Column:
+    """A text as it is written in an attribute; plain undoes it."""
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
 def shown(html: Column) -> Column:
     """HTML without comments, scripts and styles; a null page is empty."""
     return F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")

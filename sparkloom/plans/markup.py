@@ -33,7 +33,7 @@ i as (select page_id, case when page_id % 3 = 1 then trim(title) else trim(title
 select page_id, sha1(text) as key, text from i where text <> ''""")
 def page_cards(t, spark, sf):
     """The item that a page's metadata makes; of two pages in three the metadata is its own title, and for one its heading too."""
-    own = lambda name, value: F.concat(lit(f'<meta content="'), value, lit(f"\" property='{name}'>"))  # noqa: E731, F541
+    own = lambda name, value: F.concat(lit(f'<meta content="'), markup.quoted(value), lit(f"\" property='{name}'>"))  # noqa: E731, F541
     head = F.when(c("page_id") % 3 == 1, own("og:title", markup.title(c("html")))).when(c("page_id") % 3 == 2, F.concat(own("og:title", markup.title(c("html"))), own("og:description", F.substring(F.trim(F.regexp_extract("html", "<h1>([^<]*)", 1)), 1, 40)))).otherwise("")
     made = t("pages").select("page_id", markup.card(F.replace("html", lit("<head>"), F.concat(lit("<head>"), head))).alias("text"))
     return made.filter("text is not null").select("page_id", F.sha1("text").alias("key"), "text")
