@@ -91,6 +91,8 @@ def stream_sliding(t, spark, sf):
 g as (select *, sum(new) over (partition by client_id order by ts rows unbounded preceding) as s from e)
 select client_id, min(ts) as start, max(ts) + interval 6 hour as finish, count(*) as n from g group by client_id, s""")
 def stream_sessions(t, spark, sf):
-    """Sessions of clients with gaps under six hours; the watermark waits for clicks three days and a half late, so none is."""
-    found = _drained(_arrivals(t, "client_id"), lambda s: keyed.sessions(s, "ts", "6 hours", "client_id", "84 hours"))
+    """Sessions of clients with gaps under six hours; the watermark waits three days and a half, or for the latest click if that is more, so none is late."""
+    rows = _arrivals(t, "client_id")
+    delay = max(84 * 3_600_000, keyed.latest_ms(rows.filter(c("batch") < BATCHES), "batch", "ts"))
+    found = _drained(rows, lambda s: keyed.sessions(s, "ts", "6 hours", "client_id", f"{delay} milliseconds"))
     return found.filter("client_id is not null").select("client_id", c("start").cast("timestamp_ntz").alias("start"), c("finish").cast("timestamp_ntz").alias("finish"), "n")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
@@ -101,6 +101,14 @@ def in_time(rows: DataFrame, time: str) -> DataFrame:
     return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 
+def latest_ms(rows: DataFrame, batch: str, time: str) -> int:
+    """How many milliseconds, rounded up, the latest row of a batch is behind the rows of the batches before; 0 if none is."""
+    ends = in_time(rows, time).groupBy(batch).agg(F.min(time).alias("least"), F.max(time).alias("most"))
+    before = F.max("most").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1))  # a row for each batch
+    behind = F.unix_micros(before) - F.unix_micros("least")
+    return max(0, -(-(ends.select(behind.alias("b")).agg(F.max("b")).first()[0] or 0) // 1000))
+
+
 # ---- what a run of rows does to a state ----
 @dataclass(frozen=True)
 class Decayed:
@@ -337,5 +345,6 @@ def sliding_counts(stream: DataFrame, time: str, width: str, step: str, by: str,
 
 def sessions(stream: DataFrame, time: str, gap: str, by: str, delay: str) -> DataFrame:
     """(start, finish, by, n) of each session, rows of a key with less than gap between them, written once it is over; finish is gap after its last row."""
-    found = in_time(stream, time).withWatermark(time, delay).groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n"))
-    return found.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), by, "n")
+    # windows of Spark that touch are one; less by the least unit of time, rows exactly gap apart do not
+    found = in_time(stream, time).withWatermark(time, delay).groupBy(F.session_window(time, f"{gap} -1 microseconds"), by).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("finish"), by, "n")
