@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def term_counts(rows: DataFrame, terms: Column, passed: Column, weight: Column, host: Column, negative: Column) -> DataFrame:
     """(term, y_pass, y_fail, docs, domains, negative); each text counts a term once."""
@@ -17,6 +19,7 @@ def term_counts(rows: DataFrame, terms: Column, passed: Column, weight: Column,
 
 def log_odds(counts: DataFrame, alpha: float = 0.5, known_stems: tuple[str, ...] = (), stoplist: DataFrame | None = None) -> DataFrame:
     """counts with z; the totals are of all terms, known and stopped ones go afterwards. Fewer than two terms give none."""
+    counts = written(counts, "terms")  # read for the totals and for every use of the scores
     totals = counts.agg((F.sum("y_pass") + alpha * F.count(F.lit(1))).alias("n_pass"), (F.sum("y_fail") + alpha * F.count(F.lit(1))).alias("n_fail"), F.count(F.lit(1)).alias("vocabulary"))
     c = counts.join(F.broadcast(totals))  # one row
     p, f = F.col("y_pass") + alpha, F.col("y_fail") + alpha
