@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,23 +70,38 @@ def _lower(text: Column) -> Column:
 
 def stems_hit(text: Column, stems: tuple[str | tuple[str, str], ...]) -> Column:
     """Whether a stem begins a word of the text and is not followed by what it excludes."""
+    return _begins(_lower(text), stems)
+
+
+def _begins(low: Column, stems: tuple[str | tuple[str, str], ...]) -> Column:
     pattern = "|".join(s if isinstance(s, str) else f"{s[0]}(?!{s[1]})" for s in stems)
-    return _lower(text).rlike(rf"{_U}(?<!\w)(?:{pattern})")
+    there = F.lit(False)  # to look for a stem anywhere costs far less than the pattern
+    for stem in stems:
+        there = there | low.contains(stem if isinstance(stem, str) else stem[0])
+    return there & low.rlike(rf"{_U}(?<!\w)(?:{pattern})")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
 
 
 def labels(text: Column, lexicon: dict[str, tuple[str | tuple[str, str], ...]]) -> Column:
     """Labels of the lexicon, in its order, with a stem in the text."""
-    found = F.array(*(F.when(stems_hit(text, stems), F.lit(label)) for label, stems in lexicon.items()))
-    return F.filter(found, lambda x: x.isNotNull())
+    found = lambda low: F.array(*(F.when(_begins(low, stems), F.lit(label)) for label, stems in lexicon.items()))
+    return F.filter(_once(_lower(text), found), lambda x: x.isNotNull())
 
 
 def triggered(text: Column, more: tuple[str, ...] = ()) -> Column:
     """A trigger anywhere in the text, and no raised price without a reduced one."""
-    low = _lower(text)
-    any_ = F.lit(False)
-    for trigger in TRIGGERS + more:
-        any_ = any_ | low.contains(trigger)
-    return any_ & ~(low.rlike(_U + RAISED) & ~low.rlike(_U + REDUCED))
+
+    def said(low: Column) -> Column:
+        any_ = F.lit(False)
+        for trigger in TRIGGERS + more:
+            any_ = any_ | low.contains(trigger)
+        return any_ & ~(low.rlike(_U + RAISED) & ~low.rlike(_U + REDUCED))
+
+    return _once(_lower(text), said)
 
 
 def discount(text: Column, url: Column) -> Column:
@@ -153,17 +170,22 @@ def target(links: Column, page: Column) -> Column:
 def candidate(text: Column, url: Column, provider: Column, site_name: Column, tagline: Column, logo_alt: Column, links: Column, default_year: int) -> Column:
     """The offer of an item, null where it has none: no trigger, or no audience in provider, site name and text."""
     blob = F.concat_ws(" ", provider, F.coalesce(site_name, F.lit("")), text)
-    audience, found = labels(blob, AUDIENCES), discount(text, url)
     shown = F.trim(F.coalesce(F.when(logo_alt != "", logo_alt), site_name, F.lit("")))
-    lead, line = F.trim(F.coalesce(tagline, F.lit(""))), headline(text)
-    label = F.when(line != "", line)
-    one = F.array(F.struct(label.alias("label"), found["kind"].alias("kind"), found["value"].alias("value")))
-    offer = F.struct(
-        F.when(lead != "", lead).otherwise(line).alias("title"), F.when(shown != "", shown).otherwise(provider).alias("provider"), found["kind"].alias("kind"), found["value"].alias("value"),
-        valid_until(text, default_year).alias("valid_until"), content_hash(line, provider, text).alias("content_hash"), urls.origin(url).alias("site_url"), url.alias("article_url"),
-        target(links, url).alias("target_url"), audience.alias("audiences"), labels(blob, KINDS).alias("kinds"), F.when(found.isNotNull(), one).otherwise(F.slice(one, 1, 0)).alias("discounts"),
-    )
-    return F.when(triggered(text) & (F.size(audience) > 0), offer)
+    lead = F.trim(F.coalesce(tagline, F.lit("")))
+
+    def made(b: Column) -> Column:
+        audience, found, line = b["audience"], b["found"], b["line"]
+        label = F.when(line != "", line)
+        one = F.array(F.struct(label.alias("label"), found["kind"].alias("kind"), found["value"].alias("value")))
+        offer = F.struct(
+            F.when(lead != "", lead).otherwise(line).alias("title"), F.when(shown != "", shown).otherwise(provider).alias("provider"), found["kind"].alias("kind"), found["value"].alias("value"),
+            valid_until(text, default_year).alias("valid_until"), content_hash(line, provider, text).alias("content_hash"), urls.origin(url).alias("site_url"), url.alias("article_url"),
+            target(links, url).alias("target_url"), audience.alias("audiences"), labels(blob, KINDS).alias("kinds"), F.when(found.isNotNull(), one).otherwise(F.slice(one, 1, 0)).alias("discounts"),
+        )
+        return F.when(F.size(audience) > 0, offer)
+
+    parts = F.struct(labels(blob, AUDIENCES).alias("audience"), discount(text, url).alias("found"), headline(text).alias("line"))
+    return F.when(triggered(text), _once(parts, made))
 
 
 def page_hash(title: Column, provider: Column, article: Column, discounts: Column) -> Column:

@@ -242,7 +242,11 @@ def handles(text: Column) -> Column:
         found("facebook", r"(?i)(?:https?://)?(?:www\.)?facebook\.com/([A-Za-z0-9_.]{2,})"),
     )
     lower = lambda x: F.concat_ws(":", x["type"], normalized_ref(x["handle"]))
-    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lower), lower(x)) == i + 1)
+    # sorted by spelling, the first of each, and then by place again: no pattern is tried once more for each account
+    by_name = F.array_sort(F.transform(every, lambda x, i: F.struct(lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = lambda s: F.filter(s, lambda v, i: (i == 0) | (F.get(s, i - 1)["k"] != v["k"]))
+    found = F.flatten(F.transform(F.array(by_name), lambda s: F.array_sort(F.transform(first(s), lambda v: F.struct(v["i"].alias("i"), v["x"].alias("x"))))))
+    return F.transform(found, lambda v: v["x"])
 
 
 def mail_hosts(text: Column, links: Column, own: Column) -> Column:

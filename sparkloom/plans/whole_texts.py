@@ -108,8 +108,8 @@ x as (select doc_id, place, unnest(range(len(m))) as i, type, unnest(m) as handl
 f as (select *, row_number() over (partition by doc_id, type, lower(handle) order by place, i) as rn from x)
 select doc_id, type, handle from f where rn = 1""")
 def text_handles(t, spark, sf):
-    """Accounts that whole texts name."""
-    return t("documents").select("doc_id", F.explode(U.handles(_named(c("text")))).alias("x")).select("doc_id", "x.type", "x.handle")
+    """Accounts that whole texts name. Spark asks an array twice more if it is not exploded as outer."""
+    return t("documents").select("doc_id", F.explode_outer(U.handles(_named(c("text")))).alias("x")).filter("x is not null").select("doc_id", "x.type", "x.handle")
 
 
 _BLOCKED = ("mail5.example.com", "example.net")
@@ -139,7 +139,8 @@ def text_offers(t, spark, sf):
     """Offers in whole texts: a promise by rule, and then the text itself, without figures."""
     none = lit(None).cast("string")
     made = offers.candidate(c("body"), c("url"), lit("Заклад"), none, none, none, F.array().cast("array<string>"), 2030)
-    found = _promised(t).select("doc_id", made.alias("offer")).filter("offer is not null")
+    # exploded, so that it is made once, not for each of its columns
+    found = _promised(t).select("doc_id", F.explode(F.array(made)).alias("offer")).filter("offer is not null")
     return found.select("doc_id", "offer.kind", "offer.value", "offer.valid_until", F.array_join("offer.audiences", ",").alias("audiences"), "offer.title", c("offer.content_hash").alias("hash"))
 
 
