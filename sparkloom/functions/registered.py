@@ -50,7 +50,7 @@ SCALARS: dict[str, tuple[str, Callable[..., Column]]] = {
 TABLES: dict[str, tuple[str, str, str]] = {
     "offers_in": (
         "body string, url string, provider string, max_year int", "kind string, value string, valid_until date, audiences string, title string, content_hash string",
-        "select o.kind, o.value, o.valid_until, array_join(o.audiences, ','), o.title, o.content_hash from (select explode(array(offer_in(body, url, provider, max_year))) as o) where o is not null",
+        "select o.kind, o.value, o.valid_until, array_join(o.audiences, ','), o.title, o.content_hash from (select explode_outer(every) as o from (select array(offer_in(body, url, provider, max_year)) as every)) where o is not null",
     ),
     "handles_in": ("body string", "type string, handle string", "select h.type, h.handle from (select explode_outer(every) as h from (select social_handles(body) as every)) where h is not null"),
 }
