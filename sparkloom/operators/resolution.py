@@ -20,6 +20,8 @@ DISCOUNT_RANK = {"free": 3, "percent": 2, "fixed": 1}
 BLOCK_TOKENS = 1 << 21
 #: So many of the commonest tokens are told apart by how common they are; the rest counts as rare.
 COMMON_TOKENS = 1 << 17
+#: Groups that hosts of less than a block are dealt into.
+SMALL_HOSTS = 4096
 
 
 def _near_pairs(ids: np.ndarray, size: np.ndarray, tokens: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
@@ -86,24 +88,26 @@ def _numbered(rows: DataFrame, tokens: str, common: np.ndarray) -> DataFrame:
 
 
 def _met(classes: DataFrame, host: str, threshold: float) -> DataFrame:
-    """(class, ends): the pairs (p, q) of blocks that a class (host, class, n) is searched in, and its side in each.
+    """(class, ends): the groups (g, p, q) that a class (host, class, n) is searched in, and its side in each; p and q are blocks of a host, or of several small ones.
 
     A block is a range of sizes of a host, or a part of one that is large; only blocks that can hold like classes are paired.
     """
     sizes = classes.groupBy(host, "n").agg((F.count(F.lit(1)) * F.col("n")).alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy(host).orderBy("n")) - F.col("tokens")  # as many rows as there are sizes
-    sizes = sizes.select(host, "n", F.floor(before / BLOCK_TOKENS).alias("first"), F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("parts"))
-    blocked = written(classes.join(sizes, [host, "n"]).select(host, "class", "n", (F.col("first") + F.pmod(F.xxhash64("class"), "parts")).alias("block")), "promos")
-    blocks = blocked.groupBy(host, "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    p, q = (blocks.select(host, F.col("block").alias(b), F.col("lo").alias(f"lo_{b}"), F.col("hi").alias(f"hi_{b}")) for b in "pq")
-    pairs = p.join(q, host).filter((F.col("p") <= F.col("q")) & (F.col("hi_p") >= F.col("lo_q") * threshold) & (F.col("hi_q") >= F.col("lo_p") * threshold))
+    small = F.sum("tokens").over(Window.partitionBy(host)) <= BLOCK_TOKENS
+    group = F.when(small, F.pmod(F.xxhash64(host), F.lit(SMALL_HOSTS))).otherwise(F.xxhash64(host))
+    sizes = sizes.select(host, "n", F.floor(before / BLOCK_TOKENS).alias("first"), F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("parts"), group.alias("g"))
+    blocked = written(classes.join(sizes, [host, "n"]).select(host, "class", "n", "g", (F.col("first") + F.pmod(F.xxhash64("class"), "parts")).alias("block")), "promos")
+    blocks = blocked.groupBy(host, "g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p, q = (blocks.select(host, "g", F.col("block").alias(b), F.col("lo").alias(f"lo_{b}"), F.col("hi").alias(f"hi_{b}")) for b in "pq")
+    pairs = p.join(q, [host, "g"]).filter((F.col("p") <= F.col("q")) & (F.col("hi_p") >= F.col("lo_q") * threshold) & (F.col("hi_q") >= F.col("lo_p") * threshold))
     end = lambda b, side: F.struct(F.col(b).alias("block"), F.lit(side).alias("side"))
     both = F.when(F.col("p") == F.col("q"), F.array(end("p", 0))).otherwise(F.array(end("p", 0), end("q", 1)))
-    ends = pairs.select(host, "p", "q", F.explode(both).alias("e")).groupBy(host, "e.block").agg(F.collect_list(F.struct("p", "q", "e.side")).alias("ends"))
+    ends = pairs.select(host, "g", "p", "q", F.explode(both).alias("e")).groupBy(host, "e.block").agg(F.collect_list(F.struct("g", "p", "q", "e.side")).alias("ends"))
     return blocked.join(ends, [host, "block"]).select("class", "ends")
 
 
-def _alike(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+def alike(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, class) and (class, l): items of a host with equal tokens and magnitudes are one class, named by its least key; l is a like class with all magnitudes of class.
 
     Tokens are 64-bit hashes under a key of this call. Classes are cut into blocks by size, and every two blocks that can hold
@@ -122,16 +126,18 @@ def _alike(items: DataFrame, host: str, key: str, tokens: str, magnitudes: str,
     # a class has the least id of its items
     classes = base.select("host", F.col("id").alias("class"), F.size("x").alias("n")).join(named.filter("id = class").select("class"), "class", "left_semi")
     met = written(_met(classes, "host", threshold), "promos")
-    rows = base.select("host", F.col("id").alias("class"), "x").join(met, "class").select("host", "class", "x", F.explode("ends").alias("e")).select("host", "e.p", "e.q", "e.side", "class", "x")
+    rows = base.select("host", F.col("id").alias("class"), "x").join(met, "class").select(F.xxhash64(secret, "host").alias("own"), F.col("class").cast("long").alias("class"), "x", F.explode("ends").alias("e")).select("e.g", "e.p", "e.q", "e.side", "own", "class", "x")
 
     def search(rows: pa.Table) -> pa.Table:
         sets = rows["x"].combine_chunks()
         size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        found = list(_near_pairs(rows["class"].to_numpy(), size, sets.flatten().to_numpy(zero_copy_only=False), rows["side"].to_numpy(), threshold))
+        # a group may have several hosts, whose tokens are not the same
+        token = sets.flatten().to_numpy(zero_copy_only=False) ^ np.repeat(rows["own"].to_numpy(), size)
+        found = list(_near_pairs(rows["class"].to_numpy(), size, token, rows["side"].to_numpy(), threshold))
         c1, c2 = zip(*found) if found else ((), ())
         return pa.table({"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64())})
 
-    near = written(rows.withColumn("class", F.col("class").cast("long")).groupBy("host", "p", "q").applyInArrow(search, "c1 long, c2 long"), "promos")
+    near = written(rows.groupBy("g", "p", "q").applyInArrow(search, "c1 long, c2 long"), "promos")
     m = lambda i: base.select(F.col("id").alias(f"c{i}"), F.col("m").alias(f"m{i}"))
     has = lambda a, b: F.size(F.array_except(b, a)) == 0
     ways = F.array(F.when(has("m1", "m2"), F.struct(F.col("c2").alias("class"), F.col("c1").alias("l"))), F.when(has("m2", "m1"), F.struct(F.col("c1").alias("class"), F.col("c2").alias("l"))))
@@ -144,7 +150,7 @@ def promo_duplicates(items: DataFrame, host: str, key: str, tokens: str, magnitu
 
     Classes of equal items, not items, are paired, so m equal items of a host cost m rows.
     """
-    named, links = _alike(items, host, key, tokens, magnitudes, threshold)
+    named, links = alike(items, host, key, tokens, magnitudes, threshold)
     others = links.groupBy("class").agg(F.min("l").alias("l"))
     first = F.least("class", "l")
     return named.join(others, "class", "left").filter(first < F.col("id")).select(F.col("id").alias("dup_id"), first.alias("keep_id"))
@@ -158,7 +164,7 @@ def leader_clusters(items: DataFrame, host: str, key: str, tokens: str, magnitud
     round settles all that it can, over all hosts at once, and the first unsettled item of a host at least; a round is a
     join over classes of equal items, in which only the first undecided item is ever open.
     """
-    named, links = _alike(items, host, key, tokens, magnitudes, threshold)
+    named, links = alike(items, host, key, tokens, magnitudes, threshold)
     settled = F.coalesce(F.col(decided), F.lit(False)).alias("settled")
     named, links = written(named.join(items.select(F.col(key).alias("id"), settled), "id"), "leaders"), written(links, "leaders")
     firsts = named.groupBy("class").agg(F.min(F.when(F.col("settled"), F.col("id"))).alias("d"), F.min(F.when(~F.col("settled"), F.col("id"))).alias("u"))
