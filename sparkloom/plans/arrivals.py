@@ -27,8 +27,8 @@ def _arrivals(t, *columns: str) -> DataFrame:
     return keyed.with_end(rows.select("ts", *columns, batch.alias("batch")), "batch", BATCHES, "ts")
 
 
-def _drained(rows: DataFrame, build) -> DataFrame:
-    return keyed.in_order(rows, "batch", BATCHES + 1, build)
+def _drained(rows: DataFrame, build, states: int | None = None) -> DataFrame:
+    return keyed.in_order(rows, "batch", BATCHES + 1, build, states=states)
 
 
 _RANGE_HOURS = 120
@@ -58,7 +58,7 @@ select client_id, o.n, coalesce(fails, 0) as fails, coalesce(t + least(60.0 * po
 def stream_keyed_backoff(t, spark, sf):
     """Failures of clients in a row and what they lead to; a purchase is a success."""
     rows = _arrivals(t, "client_id", F.when(c("kind").isin("error", "purchase"), c("click_id")).alias("click_id"), (c("kind") == "error").cast("double").alias("blocked"))
-    found = _drained(rows, lambda s: keyed.folded(s, "client_id", "ts", "click_id", "blocked", keyed.Backoff(**_WAITS), f"{DELAY_HOURS} hours", _RANGE_HOURS))
+    found = _drained(rows, lambda s: keyed.folded(s, "client_id", "ts", "click_id", "blocked", keyed.Backoff(**_WAITS), f"{DELAY_HOURS} hours", _RANGE_HOURS), keyed.STATES)
     return keyed.standing(found).withColumnRenamed("key", "client_id")
 
 

@@ -26,6 +26,10 @@ from ..storage import new_path
 
 #: Groups that the keys of one range are dealt into.
 SHARDS = 16
+#: Groups that the keys are dealt into for what stands of them.
+STANDING_SHARDS = 128
+#: State partitions for groups as few as these; each costs every batch its start and commit, rows or not.
+STATES = 32
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -34,11 +38,14 @@ _STORE = {
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """While a query starts, the session names the state store that transformWithState needs; then it has its own settings again."""
-    before = {k: spark.conf.get(k, None) for k in _STORE}
+def state_store(spark: SparkSession, states: int | None = None) -> Iterator[None]:
+    """While a query starts, the session names the state store that transformWithState needs, with states partitions at most; then it has its own settings again."""
+    named = dict(_STORE)
+    if states:
+        named["spark.sql.shuffle.partitions"] = str(min(states, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    before = {k: spark.conf.get(k, None) for k in named}
     try:
-        for k, v in _STORE.items():
+        for k, v in named.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -62,10 +69,11 @@ def moved(spark: SparkSession, at: str, to: str) -> bool:
     return True
 
 
-def in_order(rows: DataFrame, batch: str, batches: int, build: Callable[[DataFrame], DataFrame], mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+def in_order(rows: DataFrame, batch: str, batches: int, build: Callable[[DataFrame], DataFrame], mode: str = "append", write: Callable[[DataFrame, int], None] | None = None, states: int | None = None) -> DataFrame | None:
     """What build makes of the rows as a stream, fed batch after batch (column batch, 0 to batches - 1); a column _epoch numbers the writes.
 
     A write is a folder of its number, so one that runs again replaces itself. With a write of the caller's own there is no result.
+    State has as many partitions as the session shuffles into, states at most.
     """
     spark, root = rows.sparkSession, new_path(rows.sparkSession, "stream")
     rows.write.partitionBy(batch).parquet(f"{root}/staged")
@@ -76,7 +84,7 @@ def in_order(rows: DataFrame, batch: str, batches: int, build: Callable[[DataFra
     def kept(out: DataFrame, epoch: int) -> None:
         out.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
 
-    with state_store(spark):
+    with state_store(spark, states):
         query = made.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write or kept).start()
     try:
         for number in range(batches):
@@ -109,7 +117,7 @@ def latest_ms(rows: DataFrame, batch: str, time: str) -> int:
     return max(0, -(-(ends.select(behind.alias("b")).agg(F.max("b")).first()[0] or 0) // 1000))
 
 
-# ---- what a run of rows does to a state ----
+# ---- what a run of rows does to a state; lift is of one run, after and result are of numbers or of arrays of them ----
 @dataclass(frozen=True)
 class Decayed:
     """score -> max(0, score * decay + value) for each row. As a piece: score -> max(low, score * by + more)."""
@@ -124,10 +132,10 @@ class Decayed:
         return low, by, more
 
     def after(self, a: tuple[float, ...], b: tuple[float, ...]) -> tuple[float, ...]:
-        return max(b[0], a[0] * b[1] + b[2]), a[1] * b[1], a[2] * b[1] + b[2]
+        return np.maximum(b[0], a[0] * b[1] + b[2]), a[1] * b[1], a[2] * b[1] + b[2]
 
     def result(self, a: tuple[float, ...]) -> tuple:
-        return (float(max(a[0], a[2])),)
+        return (np.maximum(a[0], a[2]),)
 
 
 @dataclass(frozen=True)
@@ -152,18 +160,20 @@ class Backoff:
         return float(reset), float(n), last, last if reset and 0 < self.threshold <= n else -1.0
 
     def after(self, a: tuple[float, ...], b: tuple[float, ...]) -> tuple[float, ...]:
-        if b[0]:
-            return b
-        n = a[1] + b[1]
-        last = b[2] if b[1] else a[2]
-        return a[0], n, last, last if b[1] and 0 < self.threshold <= n else a[3]
+        n, more = a[1] + b[1], np.not_equal(b[1], 0)
+        last = np.where(more, b[2], a[2])
+        held = np.where(more & self._held(n), last, a[3])
+        return tuple(np.where(b[0], y, x)[()] for x, y in zip((a[0], n, last, held), b))
 
     def result(self, a: tuple[float, ...]) -> tuple:
-        if not a[1]:
-            return 0, 0.0, 0.0, 0.0
+        n, some = np.asarray(a[1]), np.not_equal(a[1], 0)
         # what nothing came before is as if a success had
-        held = a[2] if 0 < self.threshold <= a[1] else a[3]
-        return int(a[1]), a[2] + min(self.base * 2.0 ** (a[1] - 1), self.cap), *((held + self.quarantine, held + self.reprobe) if held >= 0 else (0.0, 0.0))
+        held = np.where(self._held(n), a[2], a[3])
+        rest = np.where(some, a[2] + np.minimum(self.base * 2.0 ** np.minimum(n - 1, 1000), self.cap), 0.0)
+        return n.astype(np.int64)[()], rest[()], *(np.where(some & (held >= 0), held + wait, 0.0)[()] for wait in (self.quarantine, self.reprobe))
+
+    def _held(self, n: np.ndarray) -> np.ndarray:
+        return (0 < self.threshold) & np.less_equal(self.threshold, n)
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
@@ -214,31 +224,74 @@ class Ranges(StatefulProcessor):
 
 
 class Standing(StatefulProcessor):
-    """The one piece that is left of a key; late rows go through."""
+    """The one piece that is left of each key of a shard, the numbers of all pieces side by side; late rows go through.
+
+    A batch costs a shard one reading and one writing of its state, however many of its keys have news.
+    """
 
     def __init__(self, fold: Decayed | Backoff, idle_ms: int | None):
         self.fold, self.idle = fold, idle_ms
         self.names = [x.split(" ")[0] for x in fold.results.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kind = StructType().add("piece", ArrayType(DoubleType())).add("n", LongType())
-        self.piece = handle.getValueState("piece", kind, self.idle) if self.idle else handle.getValueState("piece", kind)
+        self.handle = handle
+        self.keys = handle.getValueState("keys", StructType().add("some", BinaryType()))  # key, its rows and when it had news, in the order of the pieces
+        self.piece = handle.getValueState("piece", StructType().add("piece", ArrayType(BinaryType())).add("n", LongType()))  # a value for each number of a piece; n rows of all keys
+
+    def _known(self, now: int) -> tuple[pd.DataFrame, np.ndarray] | None:
+        """The keys and their pieces, without those that were idle."""
+        if not self.keys.exists():
+            return None
+        keys = pa.ipc.open_stream(self.keys.get()[0]).read_pandas()
+        pieces = np.array([np.frombuffer(x) for x in self.piece.get()[0]])
+        if self.idle:
+            there = keys["news"].to_numpy() + self.idle > now
+            keys, pieces = keys[there], pieces[:, there]
+        return keys, pieces
+
+    def _keep(self, keys: pd.DataFrame, pieces: np.ndarray) -> None:
+        if not len(keys):
+            self.keys.clear()
+            self.piece.clear()
+            return
+        self.keys.update((_packed(keys),))
+        self.piece.update(([x.tobytes() for x in pieces], int(keys["n"].sum())))
+        if self.idle:
+            self.handle.registerTimer(int(keys["news"].min()) + self.idle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        folded = []
+        came = []
         for frame in rows:
-            late = frame[frame["record"] == "late"]
-            if len(late):
-                yield late[["key", "record", "n", "at", "tie", "value"]].assign(**dict.fromkeys(self.names))
-            folded += frame.loc[frame["record"] == "folded", ["range", "n", "piece"]].to_numpy().tolist()
-        if not folded:
+            late = frame["record"] == "late"
+            if late.any():
+                yield frame.loc[late, ["key", "record", "n", "at", "tie", "value"]].assign(**dict.fromkeys(self.names))
+            if not late.all():
+                came.append(frame.loc[~late, ["key", "range", "n", "piece"]])
+        if not came:
             return
-        was = self.piece.get() if self.piece.exists() else None
-        piece, n = (tuple(was[0]), was[1]) if was else (None, 0)
-        for _, more, new in sorted(folded, key=lambda x: x[0]):
-            piece, n = tuple(map(float, new)) if piece is None else self.fold.after(piece, tuple(new)), n + int(more)
-        self.piece.update(([float(x) for x in piece], n))
-        yield pd.DataFrame([(key[0], "standing", n, None, None, None, *self.fold.result(piece))], columns=["key", "record", "n", "at", "tie", "value", *self.names])
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle else 0
+        new = pd.concat(came, ignore_index=True)
+        keys, pieces = new[["key", "range", "n"]].astype("int64").assign(news=now), np.array(new["piece"].tolist(), float).T
+        known = self._known(now)
+        if known:
+            keys, pieces = pd.concat([known[0].assign(range=np.iinfo(np.int64).min), keys], ignore_index=True), np.concatenate([known[1], pieces], axis=1)
+        order = np.lexsort((keys["range"], keys["key"]))
+        keys, pieces = keys.iloc[order], pieces[:, order]
+        _, first, each = np.unique(keys["key"].to_numpy(), return_index=True, return_counts=True)
+        whole = pieces[:, first]
+        for i in range(1, each.max()):  # the second pieces of all keys, then the third ones, in the order of time
+            some = np.flatnonzero(each > i)
+            whole[:, some] = self.fold.after(whole[:, some], pieces[:, first[some] + i])
+        kept = keys.groupby("key", as_index=False).agg(n=("n", "sum"), news=("news", "max"))
+        self._keep(kept, whole)
+        told = kept["key"].isin(new["key"]).to_numpy()
+        results = dict(zip(self.names, self.fold.result(whole[:, told])))
+        yield kept.loc[told, ["key", "n"]].assign(record="standing", at=None, tie=None, value=None, **results)[["key", "record", "n", "at", "tie", "value", *self.names]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if known := self._known(timerValues.getCurrentProcessingTimeInMs()):
+            self._keep(*known)
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -261,7 +314,8 @@ def folded(stream: DataFrame, key: str, time: str, tie: str, value: str, fold: D
     )
     pieces = rows.groupBy("shard", "range").transformWithStateInPandas(Ranges(fold, width), _RANGE_OUT, "Append", "EventTime")
     out = f"key long, record string, n long, at long, tie long, value double, {fold.results}"
-    return pieces.groupBy("key").transformWithStateInPandas(Standing(fold, idle_ms), out, "Append", "ProcessingTime" if idle_ms else "None")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(STANDING_SHARDS)).cast("int"))
+    return pieces.groupBy("shard").transformWithStateInPandas(Standing(fold, idle_ms), out, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def standing(found: DataFrame) -> DataFrame:

@@ -147,6 +147,61 @@ def test_state_of_a_key_is_bounded():
     assert n == 50_000 and len(piece) == 3
 
 
+@pytest.mark.parametrize("fold", [keyed.Backoff(60, 3600, 2, 86400, 21600)])
+def test_keys_of_a_shard_are_one_state(fold):
+    """Many keys with news in several ranges are one frame, read and written together, and each has its own pieces in order of time."""
+    import pandas as pd
+
+    rnd, handle, history = np.random.default_rng(3), _Handle(), {}
+    standing = keyed.Standing(fold, None)
+    standing.init(handle)
+    for batch in range(4):
+        pieces, told = [], {}
+        for day in (2 * batch, 2 * batch + 1):
+            ranges = keyed.Ranges(fold, 24 * HOUR)
+            ranges.init(_Handle())
+            n = 700
+            rows = pd.DataFrame({"key": rnd.integers(0, 300, n), "at": day * 24 * HOUR + np.sort(rnd.integers(0, 24 * HOUR, n)), "tie": np.arange(n), "value": rnd.choice([1.0, 1.0, 0.0, -0.5], n)})
+            for k, some in rows.groupby("key"):
+                history.setdefault(k, []).append(some)
+                told[k] = None
+            assert list(ranges.handleInputRows((0, day), iter([rows]), _Clock(0))) == []
+            pieces += ranges.handleExpiredTimer((0, day), _Clock((day + 1) * 24 * HOUR), None)
+        (found,) = standing.handleInputRows((0,), iter(pieces[::-1]), _Clock(0))
+        assert found["key"].tolist() == sorted(told)
+        for r in found.itertuples():
+            rows = pd.concat(history[r.key])
+            want = fold.result(fold.lift(rows["at"].to_numpy(), rows["value"].to_numpy()))
+            assert r.n == len(rows) and tuple(getattr(r, x) for x in standing.names) == pytest.approx(want)
+    assert handle.values["piece"][1] == 4 * 2 * 700
+
+
+def test_idle_keys_of_a_shard_are_forgotten():
+    import pandas as pd
+
+    class Clock(_Clock):
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.w
+
+    handle, standing = _Handle(), keyed.Standing(keyed.Decayed(0.5), 100)
+    standing.init(handle)
+    come = lambda now, *keys: [
+        (r.key, r.n) for x in standing.handleInputRows((0,), iter([pd.DataFrame({"key": keys, "record": "folded", "range": now, "n": 5, "piece": [[0.0, 0.5, 1.0]] * len(keys)})]), Clock(now)) for r in x.itertuples()
+    ]
+    assert come(0, 1, 2) == [(1, 5), (2, 5)] and come(50, 2) == [(2, 10)] and handle.timers == {100}
+    assert come(120, 1) == [(1, 5)]  # as if it had not been
+    assert list(standing.handleExpiredTimer((0,), Clock(150), None)) == [] and handle.values["piece"][1] == 5 and 220 in handle.timers
+    assert list(standing.handleExpiredTimer((0,), Clock(220), None)) == [] and not handle.values.get("piece")
+
+
+def test_state_partitions_are_bounded_while_a_query_starts(spark):
+    name = "spark.sql.shuffle.partitions"
+    for states, wanted in ((2, "2"), (100, "4"), (None, "4")):
+        with keyed.state_store(spark, states):
+            assert spark.conf.get(name) == wanted
+        assert spark.conf.get(name) == "4"
+
+
 def test_rows_that_come_again(spark):
     t = lambda h: START + dt.timedelta(hours=h)
     rows = [(1, t(0), 0), (2, t(1), 0), (1, t(5), 0), (1, t(9), 1), (3, t(40), 1), (1, t(38), 2), (2, t(8), 2), (2, t(41), 2), (None, t(1), 0), (4, None, 0)]
