@@ -43,7 +43,7 @@ def stream_keyed_scores(t, spark, sf):
     """Decayed scores of clients, and the clicks that came after their range of time was folded."""
     gain = F.coalesce(c("kind") == "purchase", lit(False)).cast("double") - 0.5 * F.coalesce(c("kind") == "error", lit(False)).cast("double")
     rows = _arrivals(t, "client_id", "click_id", gain.alias("gain"))
-    found = _drained(rows, lambda s: keyed.folded(s, "client_id", "ts", "click_id", "gain", keyed.Decayed(0.5), f"{DELAY_HOURS} hours", _RANGE_HOURS))
+    found = _drained(rows, lambda s: keyed.folded(s, "client_id", "ts", "click_id", "gain", keyed.Decayed(0.5), f"{DELAY_HOURS} hours", _RANGE_HOURS), keyed.STATES)
     last = keyed.standing(found).select(c("key").alias("client_id"), lit("standing").alias("record"), "n", F.round("score", 6).alias("score"), lit(None).cast("long").alias("click_id"))
     late = found.filter("record = 'late'").select(c("key").alias("client_id"), "record", "n", lit(None).cast("double").alias("score"), c("tie").alias("click_id"))
     return last.unionByName(late)

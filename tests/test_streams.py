@@ -147,7 +147,7 @@ def test_state_of_a_key_is_bounded():
     assert n == 50_000 and len(piece) == 3
 
 
-@pytest.mark.parametrize("fold", [keyed.Backoff(60, 3600, 2, 86400, 21600)])
+@pytest.mark.parametrize("fold", [keyed.Backoff(60, 3600, 2, 86400, 21600), keyed.Decayed(0.5)])
 def test_keys_of_a_shard_are_one_state(fold):
     """Many keys with news in several ranges are one frame, read and written together, and each has its own pieces in order of time."""
     import pandas as pd
